@@ -5,6 +5,7 @@ from __future__ import annotations
 from kairograph.llm.bpe import op1
 from kairograph.llm.language import op4
 from kairograph.llm.packing import op2
+from kairograph.llm.pii import op5
 from kairograph.llm.quality import op10
 from kairograph.llm.simhash import op6
 
@@ -14,6 +15,7 @@ def queries() -> dict:
         "op1_byte_bpe": op1,
         "op2_packing": op2,
         "op4_language_id": op4,
+        "op5_pii": op5,
         "op6_simhash": op6,
         "op10_quality": op10,
     }
