@@ -54,6 +54,18 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kinds, lower, script
 
 
+def slices(texts: list[str | None], most: int = 3 * MOST_CHARS) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of at most `most` characters, or one text; bounds what is held at once."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text or "") > most:
+            yield first, i
+            first, size = i, 0
+        size += len(text or "")
+    if texts:
+        yield first, len(texts)
+
+
 def blocks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, end, code points, lengths) of consecutive texts; each text is followed by a line feed."""
     first, size = 0, 0

@@ -189,8 +189,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def found(texts):
         import pandas as pd
 
-        names, score, spans = label_texts(texts.tolist(), sent.value)
-        return pd.DataFrame({"lang_pred": names, "lang_score": score, "lang_spans": [[{"start": a, "end": b, "lang": c} for a, b, c in s] for s in spans]})
+        texts = texts.tolist()
+        parts = [label_texts(texts[first:end], sent.value) for first, end in chars.slices(texts)]
+        spans = [[{"start": a, "end": b, "lang": c} for a, b, c in s] for part in parts for s in part[2]]
+        return pd.DataFrame({"lang_pred": [x for part in parts for x in part[0]], "lang_score": np.concatenate([part[1] for part in parts]), "lang_spans": spans})
 
     held = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_spans")]
     return docs.select(*held, found(F.col("text").cast("string")).alias("__lang")).select(*held, "__lang.lang_pred", "__lang.lang_score", "__lang.lang_spans")

@@ -119,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mod: int =
     joined = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # at most `rows` ids
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = vectors(batch.column(1).to_pylist())
+        texts = batch.column(1).to_pylist()
+        got = [v for first, end in chars.slices(texts) for v in vectors(texts[first:end])]
         parts = [pa.array([x.tobytes() for x in col], pa.binary()) for col in zip(*got, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), *parts, batch.column(2)], ["doc_id", "ids", "x", "y"])
 
@@ -136,10 +137,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mod: int =
 
 def score_texts(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     """Sparse dot products: a text's mean weight over its tokens' features, times SCALE, and the intercept."""
-    ids, rows, tokens = features(texts)
-    total = np.bincount(rows, weights=weights[ids], minlength=len(texts)) if len(ids) else np.zeros(len(texts))
-    logit = np.clip(SCALE * total / np.maximum(tokens, 1) + weights[-1], -35, 35)
-    return 1 / (1 + np.exp(-logit))
+    logit = np.full(len(texts), weights[-1])
+    for first, end in chars.slices(texts):
+        ids, rows, tokens = features(texts[first:end])
+        if len(ids):
+            logit[first:end] += SCALE * np.bincount(rows, weights=weights[ids], minlength=end - first) / np.maximum(tokens, 1)
+    return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
 def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
