@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kairograph.llm.bpe import op1
+from kairograph.llm.hmm import op8
 from kairograph.llm.language import op4
 from kairograph.llm.packing import op2
 from kairograph.llm.pii import op5
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op4_language_id": op4,
         "op5_pii": op5,
         "op6_simhash": op6,
+        "op8_hmm_lm": op8,
         "op10_quality": op10,
     }
 
