@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kairograph.llm.bpe import op1
+from kairograph.llm.embeddings import op3
 from kairograph.llm.hmm import op8
 from kairograph.llm.language import op4
 from kairograph.llm.packing import op2
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op1_byte_bpe": op1,
         "op2_packing": op2,
+        "op3_embedding_dedup": op3,
         "op4_language_id": op4,
         "op5_pii": op5,
         "op6_simhash": op6,
