@@ -6,6 +6,7 @@ from kairograph.llm.bpe import op1
 from kairograph.llm.embeddings import op3
 from kairograph.llm.hmm import op8
 from kairograph.llm.language import op4
+from kairograph.llm.media import op7
 from kairograph.llm.packing import op2
 from kairograph.llm.pii import op5
 from kairograph.llm.quality import op10
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op4_language_id": op4,
         "op5_pii": op5,
         "op6_simhash": op6,
+        "op7_media": op7,
         "op8_hmm_lm": op8,
         "op10_quality": op10,
     }
