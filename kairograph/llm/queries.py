@@ -11,6 +11,7 @@ from kairograph.llm.packing import op2
 from kairograph.llm.pii import op5
 from kairograph.llm.quality import op10
 from kairograph.llm.simhash import op6
+from kairograph.llm.urls import OP9_SQL, op9
 
 
 def queries() -> dict:
@@ -23,9 +24,10 @@ def queries() -> dict:
         "op6_simhash": op6,
         "op7_media": op7,
         "op8_hmm_lm": op8,
+        "op9_url_filter": op9,
         "op10_quality": op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filter": OP9_SQL}
