@@ -169,22 +169,32 @@ def greedy_basis(sizes: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray
     return columns
 
 
+def _enter(inverse: np.ndarray, u: np.ndarray, out: int) -> None:
+    """The basis inverse after its column `out` is replaced by one whose product with it is u (in place)."""
+    row = inverse[out] / u[out]
+    inverse -= u[:, None] * row
+    inverse[out] = row
+
+
 def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, tolerance: float = 1e-3, rounds: int = 1500) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (columns) and their frequencies in the linear program; each demand is met exactly.
 
     The lower bound objective / (best column's value) ends the search once it is within `tolerance`; so does `rounds`,
     and then the frequencies are still feasible.
     """
-    columns = greedy_basis(sizes, demand, room)
-    inverse = np.linalg.inv(columns)
-    x = np.maximum(inverse @ demand, 0)
-    bound = float(sizes @ demand) / room
+    columns = np.diag(room // sizes).astype(float)
+    inverse = np.diag(1.0 / np.diag(columns))
+    for at, column in enumerate(greedy_basis(sizes, demand, room).T):
+        _enter(inverse, (inverse * column).sum(1), at)
+        columns[:, at] = column
+    x = np.maximum((inverse * demand).sum(1), 0)
+    bound = float((sizes * demand).sum()) / room
     for _ in range(rounds):
         value, uses = best_pattern(sizes, inverse.sum(0), room)
         bound = max(bound, x.sum() / value)
         if x.sum() <= bound * (1 + tolerance):
             break
-        u = inverse @ uses
+        u = (inverse * uses).sum(1)
         ratio = np.where(u > 1e-9, x / np.where(u > 1e-9, u, 1), np.inf)
         out = int(ratio.argmin())
         if value <= 1 + 1e-9 or not np.isfinite(ratio[out]):
@@ -192,9 +202,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, tolerance: f
         x -= ratio[out] * u
         x[out] = ratio[out]
         np.maximum(x, 0, out=x)
-        row = inverse[out] / u[out]
-        inverse -= np.outer(u, row)
-        inverse[out] = row
+        _enter(inverse, u, out)
         columns[:, out] = uses
     return columns.astype(np.int64), x
 
