@@ -65,8 +65,7 @@ class Store:
         where = f"{self.path}/{name}"
         if not self._has(where):
             return self.spark.createDataFrame([], TABLES[name])
-        read = self.spark.read.parquet(where)
-        return read.drop("is_open") if name == "edges" else read
+        return self.spark.read.schema(TABLES[name]).parquet(where).drop("is_open")
 
     def graph(self) -> Graph:
         return Graph(*(latest(self.log(n)) for n in ("entities", "edges", "episodes")))
@@ -98,10 +97,10 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)  # noqa: SLF001
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)  # noqa: SLF001
 
-    def _row(self, name: str, **values) -> None:
-        typed = dict(f.split()[:2] for f in TABLES[name].replace(" not null", "").split(", "))
+    def _row(self, log: str, /, **values) -> None:
+        typed = dict(f.split()[:2] for f in TABLES[log].replace(" not null", "").split(", "))
         row = self.spark.range(1).select(*[(v if isinstance(v, Column) else F.lit(v)).cast(typed[k]).alias(k) for k, v in values.items()])
-        self.append(name, row)
+        self.append(log, row)
 
     # single writes
 

@@ -1,0 +1,73 @@
+"""Traversals against loops over plain lists, on random multigraphs with loops, cycles and closed edges."""
+
+import random
+from collections import deque
+
+import pytest
+
+from kairograph.operators import traverse
+from tests.team import make, numbers
+
+
+def draw(seed):
+    rng = random.Random(seed)
+    names = [f"n{i}" for i in range(rng.randint(2, 9))]
+    return [(rng.choice(names), rng.choice("RS"), rng.choice(names), "2025-01-01", *(["2025-02-01"] if rng.random() < 0.25 else [])) for _ in range(rng.randint(1, 16))]
+
+
+def plain_neighbourhood(links, start, depth):
+    found, seen, queue = set(), {start}, deque([(start, 0)])
+    while queue:
+        at, d = queue.popleft()
+        if d >= depth:
+            continue
+        for i, (s, _, t, _, *closed) in enumerate(links, 1):
+            if not closed and at in (s, t):
+                found.add(i)
+                for other in (s, t):
+                    if other not in seen:
+                        seen.add(other)
+                        queue.append((other, d + 1))
+    return found
+
+
+def plain_impact(links, start, relation, direction):
+    found, seen, stack = set(), {start}, [start]
+    while stack:
+        at = stack.pop()
+        for i, (s, r, t, _, *closed) in enumerate(links, 1):
+            near, far = (s, t) if direction == "out" else (t, s)
+            if not closed and r == relation and near == at:
+                found.add(i)
+                if far not in seen:
+                    seen.add(far)
+                    stack.append(far)
+    return found
+
+
+def plain_path(links, source, target):
+    paths, seen = [[source]], {source}
+    while paths:
+        if hits := [p for p in paths if p[-1] == target]:
+            return min(hits) if len(hits[0]) > 1 else []
+        ahead, fresh = [], set()
+        for p in paths:
+            for s, _, t, *_ in links:
+                for a, b in ((s, t), (t, s)):
+                    if a == p[-1] and b not in seen:
+                        ahead.append([*p, b])
+                        fresh.add(b)
+        paths, seen = [list(p) for p in {tuple(p) for p in ahead}], seen | fresh
+    return []
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_patterns(spark, seed):
+    links = draw(seed)
+    g = make(spark, links)
+    start, end = links[0][0], links[-1][2]
+    for depth in (1, 2, 3):
+        assert numbers(traverse.neighbourhood(g, start, depth)) == plain_neighbourhood(links, start, depth)
+    for direction in ("in", "out"):
+        assert numbers(traverse.impact(g, start, "R", direction)) == plain_impact(links, start, "R", direction)
+    assert traverse.path_nodes(g, start, end) == plain_path(links, start, end)
