@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MOST_CHARS = 2_000_000  # of a block of texts; a longer text is a block of its own
+MOST_CHARS = 400_000  # of a block of texts; a longer text is a block of its own
 SPACE, MARK, DIGIT, LOWER, UPPER = range(5)
 
 # First and last code point of the main blocks of each script that has letters of its own.
@@ -54,7 +54,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kinds, lower, script
 
 
-def slices(texts: list[str | None], most: int = 3 * MOST_CHARS) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], most: int = 4 * MOST_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of at most `most` characters, or one text; bounds what is held at once."""
     first, size = 0, 0
     for i, text in enumerate(texts):

@@ -13,8 +13,21 @@ from pyspark.sql import functions as F
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Of the rows that Spark hands to Python at once: with long texts its own bounds would be hundreds of megabytes.
+BATCH_BYTES = 12 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of Arrow batches in bytes to BATCH_BYTES, unless it is lower already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path may be any URI that Spark's readers open."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -69,4 +82,5 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             if batch.num_rows:
                 yield fn(batch)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import durable, held_out, table
+from kairograph.llm.common import durable, held_out, small_batches, table
 
 ALPHA = 0.1
 END = b"\n"  # can't be a word
@@ -294,6 +294,7 @@ def score(docs: DataFrame, mod: int = 10) -> DataFrame:
     Null and empty texts are the end alone. Rows with a null doc_id are scored but not learnt from; repeated rows
     keep their number. With nothing to learn from all counts are 0 and the scores those of the smoothing alone.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     learnt = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), mod))
     counts = durable(word_counts(learnt), "words")
