@@ -5,10 +5,12 @@ connected components. Candidates differ in at most four bits of one of SEEDS fin
 changed words change many shingles but few words, so word sets bring pairs of that similarity within four bits where
 fingerprints over shingles would not. Texts with equal words in order are one node, named by their 64-bit hash.
 
-A large group of near copies has links in the square of its size, so they are never all made. First each fingerprint
-is compared with the least one of each of its exact segments' buckets, a few pairs a node, and the verified ones are
-joined into components. The full search then returns only pairs that lie in different components, and those that pass
-join them further. No verified link between two nodes is lost: each is inside a component or is found by the search.
+A large group of near copies has links in the square of its size, so neither candidates nor links are made as rows.
+First each node is compared with the next few of each of its exact segments' buckets, a number of pairs linear in the
+nodes; the full search then returns only pairs that lie in different components of those, and both together give the
+components of the candidate graph. These are verified in blocks: a component's nodes are dealt into blocks of about
+BLOCK nodes or BLOCK_BYTES of shingles, small components share one, and each pair of blocks is a group that compares
+its candidates and returns one row a node, its component there. No candidate pair is left out.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairograph.llm.chars import mix
@@ -27,6 +29,10 @@ from kairograph.llm.simhash import MOST_BITS, SEGMENTS, fuzzy_keys
 SEEDS = 3
 WIDTH = 5
 SIMILARITY = 0.8
+NEXT = 4  # nodes of a bucket that each is compared with at first
+BUCKET = 512
+BLOCK = 256
+BLOCK_BYTES = 8 << 20
 MASKS = [((1 << bits) - 1) << low for low, bits in SEGMENTS]
 
 
@@ -63,10 +69,12 @@ def shingles(found: list[bytes], width: int = WIDTH) -> np.ndarray:
 
 def _prints(docs: DataFrame) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [words(x.as_py()) for x in batch.column(1)]
-        prints = np.array([set_fingerprints(w) for w in found], np.int64).reshape(-1, SEEDS)
-        names = ["doc_id", "node", *(f"f{k}" for k in range(SEEDS))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(w) for w in found], pa.int64()), *(pa.array(np.ascontiguousarray(prints[:, k])) for k in range(SEEDS))], names)
+        out = np.empty((batch.num_rows, 1 + SEEDS), np.int64)
+        for row, text in enumerate(batch.column(1)):  # one text's words at a time
+            found = words(text.as_py())
+            out[row, 0] = node_of(found)
+            out[row, 1:] = set_fingerprints(found)
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(out.T))], ["doc_id", "node", *(f"f{k}" for k in range(SEEDS))])
 
     return map_arrow(docs.select("doc_id", F.col("text").cast("string")), fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, " + ", ".join(f"f{k} long" for k in range(SEEDS)))
 
@@ -76,45 +84,46 @@ def _segments(seed: int) -> list:
     return [F.lit((seed * 3 + i) << 22) + F.shiftrightunsigned(f, low).bitwiseAND((1 << bits) - 1) for i, (low, bits) in enumerate(SEGMENTS)]
 
 
-def star_pairs(nodes: DataFrame) -> DataFrame:
-    """(u, v): each node with the least node of each bucket of its exact segments, if within four bits."""
+def window_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): each node with the next NEXT nodes of each bucket of its exact segments, if within four bits.
+
+    A bucket of over BUCKET nodes is dealt by a hash into parts of about that size, so that no task orders it whole.
+    """
     keyed = nodes.select("node", F.explode(F.array(*[F.struct(k.alias("key"), F.col(f"f{s}").alias("fp")) for s in range(SEEDS) for k in _segments(s)])).alias("k")).select("node", "k.key", "k.fp")
-    least = keyed.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("m"))
-    return keyed.join(least.hint("merge"), "key").where(f"node <> m.node and bit_count(fp ^ m.fp) <= {MOST_BITS}").select(F.col("m.node").alias("u"), F.col("node").alias("v")).distinct()
+    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key", F.ceil(F.col("n") / BUCKET).alias("parts"))
+    dealt = keyed.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.coalesce("parts", F.lit(1))))
+    order = Window.partitionBy("key", "part").orderBy("node")
+    ahead = dealt.select("node", "fp", F.array(*[F.struct(F.lead("node", i).over(order).alias("node"), F.lead("fp", i).over(order).alias("fp")) for i in range(1, NEXT + 1)]).alias("ahead"))
+    close = F.filter("ahead", lambda m: F.coalesce(F.bit_count(F.col("fp").bitwiseXOR(m["fp"])) <= MOST_BITS, F.lit(False)))
+    pairs = ahead.select(F.col("node").alias("u"), F.explode(F.transform(close, lambda m: m["node"])).alias("v"))
+    return pairs.distinct()
 
 
 def _fuzzy(nodes: DataFrame, second: bool) -> DataFrame:
-    names = [f"f{k}" for k in range(SEEDS)]
-
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, keys = [], []
+        rows, keys, fps = [], [], []
         for seed in range(SEEDS):
-            r, k = fuzzy_keys(batch.column(2 + seed).to_numpy(zero_copy_only=False), second)
+            of = batch.column(2 + seed).to_numpy(zero_copy_only=False)
+            r, k = fuzzy_keys(of, second)
             rows.append(r)
             keys.append(k + (np.int64(seed) << 26))
+            fps.append(of[r])
         at = pa.array(np.concatenate(rows))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(c.take(at) for c in batch.columns)], ["key", "node", "comp", *names])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(fps)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "fp", "node", "comp"])
 
-    return map_arrow(nodes.select("node", "comp", *names), fn, "key long, node long, comp long, " + ", ".join(f"{n} long" for n in names))
+    return map_arrow(nodes.select("node", "comp", *(f"f{k}" for k in range(SEEDS))), fn, "key long, fp long, node long, comp long")
 
 
 def cross_pairs(nodes: DataFrame) -> DataFrame:
-    """(u, v): all pairs of nodes in different components and within four bits of one fingerprint, each once or twice."""
-    within = [f"bit_count(a.f{k} ^ b.f{k}) <= {MOST_BITS}" for k in range(SEEDS)]
-    apart = "a.key = b.key and a.comp <> b.comp and "
-    # each pair at its first fingerprint, and there at its first equal segment
-    exact_cases, fuzzy_cases = [], []
-    for seed in range(SEEDS):
-        earlier = [f"not {w}" for w in within[:seed]]
-        x = f"(a.f{seed} ^ b.f{seed})"
-        for i in range(len(SEGMENTS)):
-            unequal = [f"({x} & {m}L) <> 0" for m in _signed(MASKS[:i])]
-            exact_cases.append(f"(a.key >> 22 = {seed * 3 + i} and " + " and ".join([within[seed], *earlier, *unequal]) + ")")
-        fuzzy_cases.append(f"(a.key >> 26 = {seed} and " + " and ".join([within[seed], *earlier, *[f"({x} & {m}L) <> 0" for m in _signed(MASKS)]]) + ")")
-    held = ["node", "comp", *(f"f{k}" for k in range(SEEDS))]
-    keyed = nodes.select(F.explode(F.array(*[k for s in range(SEEDS) for k in _segments(s)])).alias("key"), *held)
-    exact = keyed.alias("a").hint("merge").join(keyed.alias("b"), F.expr("a.node < b.node and " + apart + "(" + " or ".join(exact_cases) + ")"))
-    fuzzy = _fuzzy(nodes, False).alias("a").hint("merge").join(_fuzzy(nodes, True).alias("b"), F.expr("a.node < b.node and " + apart + "(" + " or ".join(fuzzy_cases) + ")"))
+    """(u, v): all pairs of nodes in different components and within four bits of one fingerprint, each once."""
+    pair = f"a.key = b.key and a.node < b.node and a.comp <> b.comp and bit_count(a.fp ^ b.fp) <= {MOST_BITS}"
+    first, second, _ = _signed(MASKS)
+    # at a fingerprint's first equal segment; without one, by the Golay keys
+    exact_once = f"case (a.key >> 22) % 3 when 0 then true when 1 then ((a.fp ^ b.fp) & {first}L) <> 0 else ((a.fp ^ b.fp) & {first}L) <> 0 and ((a.fp ^ b.fp) & {second}L) <> 0 end"
+    fuzzy_once = " and ".join(f"((a.fp ^ b.fp) & {m}L) <> 0" for m in _signed(MASKS))
+    keyed = nodes.select(F.explode(F.array(*[F.struct(k.alias("key"), F.col(f"f{s}").alias("fp")) for s in range(SEEDS) for k in _segments(s)])).alias("k"), "node", "comp").select("k.key", "k.fp", "node", "comp")
+    exact = keyed.alias("a").hint("merge").join(keyed.alias("b"), F.expr(f"{pair} and {exact_once}"))
+    fuzzy = _fuzzy(nodes, False).alias("a").hint("merge").join(_fuzzy(nodes, True).alias("b"), F.expr(f"{pair} and {fuzzy_once}"))
     ends = [F.col("a.node").alias("u"), F.col("b.node").alias("v")]
     return exact.select(*ends).union(fuzzy.select(*ends)).distinct()
 
@@ -123,33 +132,71 @@ def _signed(masks: list[int]) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs whose texts' shingle sets are alike; only texts of the pairs are read again."""
-    pairs = durable(pairs, "pairs")
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    ids = prints.where("doc_id is not null").join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+def shingle_sets(nodes: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, s): the sorted shingle hashes of each of the nodes; only their texts, one a node, are read again."""
+    ids = prints.where("doc_id is not null").join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [words(x.as_py()) for x in batch.column(0)]
-        return pa.RecordBatch.from_arrays([pa.array([node_of(w) for w in found], pa.int64()), pa.array([shingles(w).tobytes() for w in found], pa.binary())], ["node", "s"])
+        made = [(node_of(w), shingles(w).tobytes()) for w in (words(x.as_py()) for x in batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in made], pa.int64()), pa.array([s for _, s in made], pa.binary())], ["node", "s"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids.select("doc_id"), "doc_id", "left_semi").select("text")
-    known = durable(map_arrow(texts, sets, "node long, s binary").dropDuplicates(["node"]), "sets")
-
-    def alike(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for a, b in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(s.as_py(), np.uint64) for s in (a, b))
-            if min(len(x), len(y)) < similarity * max(len(x), len(y)) or not len(x):
-                keep.append(False)
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= similarity * (len(x) + len(y) - both))
-        keep = pa.array(keep, pa.bool_())
-        return pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
-
-    left, right = known.select(F.col("node").alias("u"), F.col("s").alias("a")), known.select(F.col("node").alias("v"), F.col("s").alias("b"))
-    return map_arrow(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b"), alike, "u long, v long")
+    return map_arrow(texts, sets, "node long, s binary").dropDuplicates(["node"])
+
+
+def joined_in_block(block: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
+    """(u, v) of the rows (node, comp, fps, s) of a pair of blocks: each node with the least of its component there."""
+    node, comp = block.column("node").to_numpy(), block.column("comp").to_numpy()
+    order = np.argsort(node)
+    node, comp = node[order], comp[order]
+    prints = [block.column(f"f{k}").to_numpy()[order] for k in range(SEEDS)]
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in block.column("s")]
+    sets = [sets[i] for i in order.tolist()]
+    sizes = np.array([len(x) for x in sets])
+    parent = list(range(len(node)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(node) - 1):
+        rest = slice(i + 1, None)
+        near = np.zeros(len(node) - i - 1, bool)
+        for f in prints:
+            near |= np.bitwise_count((f[rest] ^ f[i]).view(np.uint64)) <= MOST_BITS
+        near &= (comp[rest] == comp[i]) & (np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i])) & (sizes[rest] > 0)
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if (a := find(i)) != (b := find(j)):
+                small, large = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int((large[at] == small).sum())
+                if both >= similarity * (len(small) + len(large) - both):
+                    parent[max(a, b)] = min(a, b)
+    root = np.array([find(i) for i in range(len(node))], np.int64)
+    moved = root != np.arange(len(node))
+    return pa.table({"u": node[moved], "v": node[root[moved]]})
+
+
+def verified(candidates: DataFrame, nodes: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v) that join what is alike in each component of candidates (node, component)."""
+    placed = durable(nodes.join(candidates, "node").join(shingle_sets(candidates, prints, docs), "node").withColumnRenamed("component", "comp"), "sets")
+    spread = placed.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("s")).alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    spread = durable(spread.withColumn("parts", parts), "spread")
+    small = spread.where("parts = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    bins = int(max(1, small[0] // BLOCK, small[1] // BLOCK_BYTES))
+    dealt = placed.join(spread.select("comp", "parts"), "comp")
+    one = dealt.where("parts = 1").select(F.lit(0).cast("long").alias("big"), F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("x"), F.lit(0).cast("long").alias("y"), *placed.columns)
+    mine = F.pmod(F.xxhash64("node"), "parts")
+    many = dealt.where("parts > 1").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    many = many.select(F.col("comp").alias("big"), F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), *placed.columns)
+
+    def join(block: pa.Table) -> pa.Table:
+        return joined_in_block(block)
+
+    return one.union(many).groupBy("big", "x", "y").applyInArrow(join, "u long, v long")
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -157,11 +204,11 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = durable(_prints(docs), "prints")
     fps = [f"f{k}" for k in range(SEEDS)]
     nodes = durable(prints.where("doc_id is not null").groupBy("node").agg(*[F.first(f).alias(f) for f in fps]), "nodes")
-    first = durable(verified(star_pairs(nodes), prints, docs), "stars")
+    first = durable(window_pairs(nodes), "near")
     joined = durable(components(first), "joined")
-    placed = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), *fps)
-    more = verified(cross_pairs(durable(placed, "placed")), prints, docs)
-    return prints, components(first.union(more))
+    placed = durable(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), *fps), "placed")
+    candidates = durable(components(first.union(cross_pairs(placed))), "candidates")
+    return prints, components(verified(candidates, nodes, prints, docs))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -175,8 +222,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     per_id = durable(ids.groupBy("doc_id").agg(F.min("comp").alias("comp"), F.count("*").alias("times")), "ids")
     least = per_id.groupBy("comp").agg(F.min("doc_id").alias("least"))
     gone = durable(per_id.join(least, "comp").where("doc_id <> least or times > 1").select(F.col("doc_id").alias("__id"), (F.col("doc_id") == F.col("least")).alias("__once")), "gone")
-    out = docs.join(gone.select("__id"), docs["doc_id"] == F.col("__id"), "left_anti")
-    if gone.where("__once").isEmpty():
+    ids, once = gone.select("__id").alias("g"), gone.where("__once").select("__id").alias("g")
+    same = F.expr("d.doc_id = g.__id")
+    out = docs.alias("d").join(ids, same, "left_anti")
+    if once.isEmpty():
         return out
-    once = docs.join(gone.where("__once").select("__id"), docs["doc_id"] == F.col("__id"), "left_semi")
-    return out.unionByName(once.dropDuplicates(["doc_id"]))
+    return out.unionByName(docs.alias("d").join(once, same, "left_semi").dropDuplicates(["doc_id"]))
