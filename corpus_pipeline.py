@@ -18,14 +18,14 @@ LANGUAGE_SCORE = 0.3
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are null, hold no letter, or are in no learnt language. With nothing to learn from all go."""
-    found = language.identify(docs, language.train(docs))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    found = language.identified(docs, language.train(docs))
+    return found.where((F.col("lang.lang_pred") != language.UNKNOWN) & (F.col("lang.lang_score") >= LANGUAGE_SCORE)).select("row.*")
 
 
 def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that the classifier scores below its threshold. Without labels all stay."""
-    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), "__score")
-    return scored.where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    scored = quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col("score") >= quality.THRESHOLD).select("row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

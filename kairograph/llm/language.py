@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.llm import chars
-from kairograph.llm.common import crc_mod, held_out, map_arrow, table
+from kairograph.llm.common import crc_mod, held_out, map_arrow, small_batches, table
 
 BITS = 16
 TRAIN_ROWS = 6000
 SWITCH = 9.0
 MIN_SHARE = 0.01
+PATH_CHARS = 6_000_000  # of the texts whose paths advance together
 UNKNOWN = "und"
 
 
@@ -181,8 +182,9 @@ def label_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str
     return names, score, spans
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of docs, and lang_pred, lang_score and lang_spans; every row is kept, in its own right."""
+def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """(row, lang): each row of docs whole, whatever its columns are named, and its lang_pred, lang_score, lang_spans."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS rows by the number of languages
 
     @F.pandas_udf("lang_pred string, lang_score double, lang_spans array<struct<start:int,end:int,lang:string>>")
@@ -190,12 +192,17 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         import pandas as pd
 
         texts = texts.tolist()
-        parts = [label_texts(texts[first:end], sent.value) for first, end in chars.slices(texts)]
+        parts = [label_texts(texts[first:end], sent.value) for first, end in chars.slices(texts, PATH_CHARS)]
         spans = [[{"start": a, "end": b, "lang": c} for a, b, c in s] for part in parts for s in part[2]]
         return pd.DataFrame({"lang_pred": [x for part in parts for x in part[0]], "lang_score": np.concatenate([part[1] for part in parts]), "lang_spans": spans})
 
-    held = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_spans")]
-    return docs.select(*held, found(F.col("text").cast("string")).alias("__lang")).select(*held, "__lang.lang_pred", "__lang.lang_score", "__lang.lang_spans")
+    return docs.select(F.struct(*docs.columns).alias("row"), found(F.col("text").cast("string")).alias("lang"))
+
+
+def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """All columns of docs, and lang_pred, lang_score and lang_spans, which replace columns of these names."""
+    held = [f"row.{c}" for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_spans")]
+    return identified(docs, model).select(*held, "lang.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -233,15 +233,14 @@ def train(docs: DataFrame) -> PiiModel:
     return PiiModel(trees, tuple(thresholds))
 
 
-def detect(docs: DataFrame, model: PiiModel) -> DataFrame:
-    """All columns of docs, and pii_base and pii_spans: arrays of (start, no, end, kind), by start and kind's number.
+def detected(docs: DataFrame, model: PiiModel) -> DataFrame:
+    """(row, text, base, spans): each row of docs whole, whatever its columns are named, and its arrays of spans.
 
-    Null and empty texts have empty arrays. Columns of docs with these names are replaced.
+    A span is (start, no, end, kind), in order of start and the kind's number; null and empty texts have none.
     """
-    held = [c for c in docs.columns if c not in ("pii_base", "pii_spans")]
-    df = base_spans(docs.select(*held))
+    df = base_spans(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")))
     if all(math.isinf(t) for t in model.thresholds):
-        return df.select(*held, F.col("__base").alias("pii_base"), F.col("__base").alias("pii_spans"))
+        return df.select("row", "text", F.col("__base").alias("base"), F.col("__base").alias("spans"))
     df = candidates(df)
     names = list(FEATURES)
     total = " + ".join(_sql(t, names) for t in model.trees)
@@ -252,24 +251,28 @@ def detect(docs: DataFrame, model: PiiModel) -> DataFrame:
     longer = "(o.end - o.start > n.end - n.start or (o.end - o.start = n.end - n.start and (o.start < n.start or (o.start = n.start and o.no < n.no))))"
     kept = f"filter(__new, n -> not exists(__new, o -> o.start < n.end and n.start < o.end and {longer}))"
     df = df.withColumn("__all", F.expr(f"if(size(__new) > 0, array_sort(concat(__base, {kept})), __base)"))
-    return df.select(*held, F.col("__base").alias("pii_base"), F.col("__all").alias("pii_spans"))
+    return df.select("row", "text", F.col("__base").alias("base"), F.col("__all").alias("spans"))
+
+
+def detect(docs: DataFrame, model: PiiModel) -> DataFrame:
+    """All columns of docs, and pii_base and pii_spans, which replace columns of these names."""
+    held = [f"row.{c}" for c in docs.columns if c not in ("pii_base", "pii_spans")]
+    return detected(docs, model).select(*held, F.col("base").alias("pii_base"), F.col("spans").alias("pii_spans"))
 
 
 def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
     """docs with each span of its texts replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
-    names = docs.columns
-    df = detect(docs, model)
     merged = (
-        "aggregate(pii_spans, cast(array() as array<struct<start:bigint,end:bigint,kind:string>>), (a, s) ->"
+        "aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint,kind:string>>), (a, s) ->"
         " if(size(a) > 0 and element_at(a, -1).end > s.start,"
         " concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end), 'kind', element_at(a, -1).kind))),"
         " concat(a, array(named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))))"
     )
-    df = df.withColumn("__m", F.expr(f"if(size(pii_spans) > 0, {merged}, array())"))
+    df = detected(docs, model).withColumn("__m", F.expr(f"if(size(spans) > 0, {merged}, array())"))
     begin = "if(i = 0, 0, __m[i - 1].end)"
     pieces = f"transform(__m, (s, i) -> concat(substring(text, cast({begin} + 1 as int), cast(s.start - {begin} as int)), '[', upper(s.kind), ']'))"
     text = f"if(size(__m) > 0, concat(array_join({pieces}, ''), substring(text, cast(element_at(__m, -1).end + 1 as int))), text)"
-    return df.withColumn("text", F.expr(text)).select(*names)
+    return df.withColumn("__out", F.expr(text)).select(*[F.col("__out").alias("text") if c == "text" else f"row.{c}" for c in docs.columns])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.llm import chars
-from kairograph.llm.common import crc_mod, held_out, map_arrow, table
+from kairograph.llm.common import crc_mod, held_out, map_arrow, small_batches, table
 
 BITS = 18
 SCALE = 8.0
@@ -145,17 +145,23 @@ def score_texts(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
-def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
-    """All columns of docs and the score of each text; null and empty texts get the intercept's score."""
+def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(row, score): each row of docs whole, whatever its columns are named; null and empty texts get the intercept's score."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 2^BITS + 1 numbers
 
     @F.pandas_udf("double")
-    def scored(texts):
+    def found(texts):
         import pandas as pd
 
         return pd.Series(score_texts(texts.tolist(), sent.value))
 
-    return docs.withColumn(name, scored(F.col("text").cast("string")))
+    return docs.select(F.struct(*docs.columns).alias("row"), found(F.col("text").cast("string")).alias("score"))
+
+
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """All columns of docs and the score of each text under `name`, which replaces a column of that name."""
+    return scored(docs, weights).select(*[f"row.{c}" for c in docs.columns if c != name], F.col("score").alias(name))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

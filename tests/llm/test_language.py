@@ -1,0 +1,52 @@
+import itertools
+import zlib
+
+import numpy as np
+
+from kairograph.llm import language
+from tests.llm.util import EDGE_TEXTS, edge_docs, empty_docs
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        counts = rng.integers(0, 8, 5)
+        scores = rng.normal(0, 4, (counts.sum(), 3)).astype(np.float32)
+        got, at = language.viterbi(scores, counts, 3.0), 0
+        for n in counts.tolist():
+            part = scores[at : at + n]
+            value = lambda q, p=part: sum(p[i, x] for i, x in enumerate(q)) - 3 * sum(a != b for a, b in zip(q, q[1:], strict=False))
+            if n:
+                assert abs(value(tuple(got[at : at + n])) - max(value(q) for q in itertools.product(range(3), repeat=n))) < 1e-3
+            at += n
+
+
+def test_mixed_texts_get_spans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.train(docs)
+    de, en = (docs.where(f"lang = '{x}' and length(text) between 300 and 900").orderBy("doc_id").first().text for x in ("de", "en"))
+    (name,), _, (spans,) = language.label_texts([de + " " + en * 3], model)
+    assert name == "en" and [s[2] for s in spans] == ["de", "en"] and abs(spans[1][0] - len(de)) < 40
+    assert language.label_texts(["Привет мир как дела"], model)[1][0] < 0.3  # no learnt script
+
+
+def test_query_is_accurate_on_held_out_rows(spark):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = language.op4(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(lang) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    out = [r for r in got if r.held_out]
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in out]) > 0.98
+
+
+def test_edge_rows(spark):
+    docs = edge_docs(spark, extra=True)
+    model = language.train(docs)
+    got = language.identify(docs, model).collect()
+    assert len(got) == len(EDGE_TEXTS)
+    for r in got:
+        letters = any(c.isalpha() for c in r.text or "")
+        assert r.lang_pred == ("en" if letters else "und") and (letters or (r.lang_score == 0 and r.lang_spans == []))
+    nothing = language.train(empty_docs(spark))
+    assert nothing.names == [] and {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
+    assert language.identify(empty_docs(spark), model).isEmpty()

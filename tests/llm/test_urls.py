@@ -1,0 +1,54 @@
+import os
+
+import duckdb
+import pytest
+
+from kairograph.llm import urls
+
+URLS = [
+    None, "", "no scheme", "http://", "http://A.Example.NET/en/1", "https://example.net/EN/1", "http://xexample.net/en/1", "http://net", "http://net/", "http://net?x=/",
+    "http://a.example.com/de/2#top", "http://a.example.com/de", "ftp://x.org/fr/", "http://x.org/fr", "a://b://c.net/x", "http://É.net/x", "http://h.com/1/2/3/4/5//6",
+    "http://h.com/" + "deadbeef" * 4 + "/x.html", "http://h.com/\nx", "http://h.com/" + "s/" * 300,
+]
+
+
+def rows(df):
+    return sorted(map(str, (tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in df.collect())))
+
+
+def oracle(table):
+    con = duckdb.connect()
+    con.register("given", table) if not isinstance(table, str) else None
+    con.execute(f"create view pages as select * from {'given' if not isinstance(table, str) else table}")
+    return sorted(map(str, con.execute(f"select page_id, host, path, rule, verdict from ({urls.OP9_SQL})").fetchall()))
+
+
+def test_edge_rows(spark):
+    data = [(i, u) for i, u in enumerate(URLS)] + [(4, URLS[4]), (None, "http://q.net/x")]
+    df = spark.createDataFrame(data, "page_id long, url string").selectExpr("*", "'clash' as host", "'clash' as path", "'clash' as template", "null as html")
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert (got[0].host, got[0].path, got[1].host, got[2].host) == ("", "", "", "")
+    assert (got[4].host, got[4].rule, got[4].verdict) == ("a.example.net", "example.net/en/", "allow")
+    assert got[5].rule == "net/" and got[6].rule == "net/" and got[7].rule is None and got[8].rule == "net/" and got[9].rule is None
+    assert got[10].verdict == "block" and got[10].path == "/de/2" and got[11].rule is None and got[12].rule == "org/fr/" and got[13].rule is None
+    assert got[14].host == "b:" and urls.judge(df).count() == len(data)
+    assert urls.judge(df.limit(0)).isEmpty()
+    assert rows(urls.judge(df)) == oracle(df.toPandas()[["page_id", "url"]].astype({"page_id": "Int64"}))
+
+
+def test_templates_are_rejected_and_merged(spark):
+    data = [f"http://h.com/a{k}/{i}" for k in (1, 2) for i in range(40)] + [f"http://h.com/z/{i}" for i in range(40)] + [f"http://w.com/{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(data)), "page_id long, url string")
+    # rules that label part of the urls: all of a1, a2 are blocked but for a few
+    rules = (("block", "h.com", "/a"), ("allow", "h.com", "/a1/39"), ("block", "w.com", "/a"))
+    got = urls.judge(df, rules).collect()
+    assert {r.verdict for r in got if r.path.startswith("/z/")} == {"allow"} and all((r.rule is None) == (not r.path.startswith("/a")) for r in got)
+    wide = urls.parsed(df).withColumn("template", urls.template())
+    assert {r.template for r in wide.where("host = 'h.com'").select("template").distinct().collect()} == {"/a{n}/{n}", "/z/{n}"}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_query(spark, size):
+    path = f"/root/testdata/{size}"
+    assert os.path.exists(path)
+    assert rows(urls.op9(spark, path)) == oracle(f"'{path}/pages.parquet'")
