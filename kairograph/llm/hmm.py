@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import durable, held_out, small_batches, table
+from kairograph.llm.common import durable, hashed_sample, held_out, small_batches, table
 
 ALPHA = 0.1
 END = b"\n"  # can't be a word
@@ -90,7 +90,16 @@ class Lexicon:
 
 def lexicon(counts: DataFrame, own: int = OWN, known: int = KNOWN) -> Lexicon:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(known).toPandas()
+    # the most frequent words as whole steps of a logarithmic histogram: a top-k would send k rows of every task
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    words = counts.where(F.col("word") != F.lit(END))
+    sizes = sorted(((r.step, r.c) for r in words.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect()), reverse=True)  # 16 rows a doubling
+    least, held = 1 << 30, 0
+    for at, c in sizes:
+        if (held := held + c) > known:
+            break
+        least = at
+    top = words.where(step >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])  # `known` rows at most
     ends = counts.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = [END, *map(bytes, top["word"])]
     n = np.append(ends, top["n"].to_numpy(np.int64)).astype(np.int64)
@@ -247,7 +256,7 @@ def _sequences(batch: pa.RecordBatch, name: str = "classes") -> tuple[np.ndarray
 def baum_welch(encoded: DataFrame, floor: np.ndarray, states: int = STATES, passes: int = PASSES) -> Hmm:
     """Train on all rows of encoded (key, classes); the first rounds' sample only sets where the search begins."""
     spark = encoded.sparkSession
-    sample = encoded.select("key", "classes").orderBy(F.xxhash64("key")).limit(SAMPLE).toPandas().sort_values("key")
+    sample = hashed_sample(encoded.select("key", "classes"), ["key"], SAMPLE).toPandas().sort_values("key")
     noise = np.random.default_rng(5)
     step = (1 - STICKY) / states * noise.uniform(0.5, 1.5, (states, states)) + STICKY * np.eye(states)
     model = Hmm.of(np.ones(states), 1e4 * step, 1e6 * floor * noise.uniform(0.5, 1.5, (states, CLASSES)), floor)
