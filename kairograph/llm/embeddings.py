@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import durable, table
+from kairograph.llm.common import durable, hashed_sample, table
 from kairograph.llm.components import components
 
 COSINE = 0.95
@@ -179,7 +179,7 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, margin: float | Non
     total, size = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     if not total:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    got = classes.orderBy(F.xxhash64("rep"), "rep").limit(max(1, SAMPLE_FLOATS // size)).select("v").toPandas()["v"]
+    got = hashed_sample(classes, ["rep"], max(1, SAMPLE_FLOATS // size)).select("v").toPandas()["v"]
     sample = np.array(got.tolist(), np.float64)
     index = fit(sample / np.sqrt((sample**2).sum(1))[:, None], total, cosine, margin)
     sent = spark.sparkContext.broadcast(index)  # MOST_LISTS centroids and CODEWORDS codewords at most
