@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +16,7 @@ LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 #: Of the rows that Spark hands to Python at once: with long texts its own bounds would be hundreds of megabytes.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -87,6 +89,13 @@ def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return df.orderBy(place, *keys).limit(rows)
 
 
+def give_back() -> None:
+    """Return what the allocators hold free; Python workers live on after a task, beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Map each Arrow batch by fn; Spark bounds a batch in rows and bytes, so a task's memory is bounded."""
 
@@ -94,6 +103,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
+        give_back()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

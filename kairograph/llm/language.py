@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.llm import chars
-from kairograph.llm.common import crc_mod, held_out, map_arrow, small_batches, table
+from kairograph.llm.common import crc_mod, give_back, hashed_sample, held_out, map_arrow, small_batches, table
 
 BITS = 16
 TRAIN_ROWS = 6000
@@ -66,7 +66,7 @@ def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, mod: int = 5) -> LanguageModel:
     """Learn from text and non-null lang of rows whose crc32(doc_id) modulo `mod` is not 0, `rows` of them at most."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_mod(F.col("doc_id"), mod) != 0)
-    picked = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    picked = hashed_sample(known.select("doc_id").distinct(), ["doc_id"], rows)
     sample = known.select("doc_id", F.col("lang").cast("string").alias("__lang"), F.col("text").cast("string").alias("__text")).join(F.broadcast(picked), "doc_id")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -194,6 +194,7 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
         texts = texts.tolist()
         parts = [label_texts(texts[first:end], sent.value) for first, end in chars.slices(texts, PATH_CHARS)]
         spans = [[{"start": a, "end": b, "lang": c} for a, b, c in s] for part in parts for s in part[2]]
+        give_back()
         return pd.DataFrame({"lang_pred": [x for part in parts for x in part[0]], "lang_score": np.concatenate([part[1] for part in parts]), "lang_spans": spans})
 
     return docs.select(F.struct(*docs.columns).alias("row"), found(F.col("text").cast("string")).alias("lang"))

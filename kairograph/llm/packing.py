@@ -47,7 +47,7 @@ class WordBpe:
     normalisation is lower-casing alone, a word's ids don't depend on its neighbours. Other texts go to the library.
     """
 
-    MOST_WORDS = 100_000
+    MOST_WORDS = 50_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

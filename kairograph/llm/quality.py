@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.llm import chars
-from kairograph.llm.common import crc_mod, held_out, map_arrow, small_batches, table
+from kairograph.llm.common import crc_mod, give_back, hashed_sample, held_out, map_arrow, small_batches, table
 
 BITS = 18
 SCALE = 8.0
@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mod: int =
     counts. Without labelled rows all weights are 0 and every score 0.5.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod(F.col("doc_id"), mod) != 0)
-    picked = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    picked = hashed_sample(known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("__y")), ["doc_id"], rows)
     joined = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # at most `rows` ids
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,7 +154,9 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def found(texts):
         import pandas as pd
 
-        return pd.Series(score_texts(texts.tolist(), sent.value))
+        out = pd.Series(score_texts(texts.tolist(), sent.value))
+        give_back()
+        return out
 
     return docs.select(F.struct(*docs.columns).alias("row"), found(F.col("text").cast("string")).alias("score"))
 
