@@ -1,13 +1,17 @@
 """One document of each group of near copies: SimHash candidates by Golay keys, verified by shingles.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; groups are the
-connected components. Candidates differ in at most four bits of one of SEEDS fingerprints over the set of words: a few
-changed words change many shingles but few words, so word sets bring pairs of that similarity within four bits where
-fingerprints over shingles would not. Texts with equal words in order are one node, named by their 64-bit hash.
+connected components. Candidates are found in two ways, either of which suffices.
+  - They differ in at most four bits of one of SEEDS fingerprints over the set of words: a few scattered changes change
+    many shingles but few words.
+  - They agree in one of BANDS bands of ROWS minimum hashes each over the shingles. A minimum is equal with the
+    probability of the Jaccard similarity itself, wherever the texts differ, so this holds for passages appended, cut
+    off or replaced as well: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^24 = 0.00007.
+Texts with equal words in order are one node, named by their 64-bit hash.
 
 A large group of near copies has links in the square of its size, so neither candidates nor links are made as rows.
-First each node is compared with the next few of each of its exact segments' buckets, a number of pairs linear in the
-nodes; the full search then returns only pairs that lie in different components of those, and both together give the
+First each node is compared with the next few of each of its exact segments' buckets, and joined to the least node of
+each of its bands, a number of pairs linear in the nodes; the full search then returns only pairs that lie in different components of those, and both together give the
 components of the candidate graph. These are verified in blocks: a component's nodes are dealt into blocks of about
 BLOCK nodes or BLOCK_BYTES of shingles, small components share one, and each pair of blocks is a group that compares
 its candidates and returns one row a node, its component there. No candidate pair is left out.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,12 +32,14 @@ from kairograph.llm.components import components
 from kairograph.llm.simhash import MOST_BITS, SEGMENTS, fuzzy_keys
 
 SEEDS = 3
+BANDS, ROWS = 24, 5
 WIDTH = 5
 SIMILARITY = 0.8
 NEXT = 4  # nodes of a bucket that each is compared with at first
 BUCKET = 512
 BLOCK = 256
 BLOCK_BYTES = 8 << 20
+MINIMA = 1 << 12  # shingles hashed at once
 MASKS = [((1 << bits) - 1) << low for low, bits in SEGMENTS]
 
 
@@ -67,16 +74,36 @@ def shingles(found: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(b" ".join(found[i : i + width])) for i in range(max(len(found) - width + 1, 1))), np.uint64))
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The signed key of each band of the hashes of one text's shingles; no shingle gives zeros."""
+    if not len(hashes):
+        return np.zeros(BANDS, np.int64)
+    draw = mix(mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)))
+    turn, times = draw[0::2], draw[1::2] | np.uint64(1)
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), MINIMA):
+        np.minimum(least, ((hashes[at : at + MINIMA, None] ^ turn) * times).min(0), out=least)
+    least = least.reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in range(ROWS):
+        key = mix(key ^ least[:, row])
+    return key.view(np.int64)
+
+
 def _prints(docs: DataFrame) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = np.empty((batch.num_rows, 1 + SEEDS), np.int64)
+        bands = np.empty((batch.num_rows, BANDS), np.int64)
         for row, text in enumerate(batch.column(1)):  # one text's words at a time
             found = words(text.as_py())
             out[row, 0] = node_of(found)
             out[row, 1:] = set_fingerprints(found)
-        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(out.T))], ["doc_id", "node", *(f"f{k}" for k in range(SEEDS))])
+            bands[row] = band_keys(shingles(found))
+        held = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, np.ascontiguousarray(out.T)), held], ["doc_id", "node", *(f"f{k}" for k in range(SEEDS)), "bands"])
 
-    return map_arrow(docs.select("doc_id", F.col("text").cast("string")), fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, " + ", ".join(f"f{k} long" for k in range(SEEDS)))
+    fields = ", ".join(f"f{k} long" for k in range(SEEDS))
+    return map_arrow(docs.select("doc_id", F.col("text").cast("string")), fn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, {fields}, bands array<long>")
 
 
 def _segments(seed: int) -> list:
@@ -99,6 +126,13 @@ def window_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def band_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): each node with the least node of each of its bands; one key's nodes are so joined without their square."""
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u < most").select("key", "u")
+    return keyed.join(shared.hint("merge"), "key").where("node > u").select("u", F.col("node").alias("v")).distinct()
+
+
 def _fuzzy(nodes: DataFrame, second: bool) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, keys, fps = [], [], []
@@ -145,11 +179,12 @@ def shingle_sets(nodes: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFr
 
 
 def joined_in_block(block: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
-    """(u, v) of the rows (node, comp, fps, s) of a pair of blocks: each node with the least of its component there."""
+    """(u, v) of the rows (node, comp, fps, bands, s) of a pair of blocks: each node with the least of its component there."""
     node, comp = block.column("node").to_numpy(), block.column("comp").to_numpy()
     order = np.argsort(node)
     node, comp = node[order], comp[order]
     prints = [block.column(f"f{k}").to_numpy()[order] for k in range(SEEDS)]
+    bands = np.ascontiguousarray(pc.list_flatten(block.column("bands")).to_numpy().reshape(-1, BANDS)[order].T)
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in block.column("s")]
     sets = [sets[i] for i in order.tolist()]
     sizes = np.array([len(x) for x in sets])
@@ -166,6 +201,7 @@ def joined_in_block(block: pa.Table, similarity: float = SIMILARITY) -> pa.Table
         near = np.zeros(len(node) - i - 1, bool)
         for f in prints:
             near |= np.bitwise_count((f[rest] ^ f[i]).view(np.uint64)) <= MOST_BITS
+        near |= (bands[:, rest] == bands[:, i, None]).any(0)
         near &= (comp[rest] == comp[i]) & (np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i])) & (sizes[rest] > 0)
         for j in (np.flatnonzero(near) + i + 1).tolist():
             if (a := find(i)) != (b := find(j)):
@@ -200,11 +236,11 @@ def verified(candidates: DataFrame, nodes: DataFrame, prints: DataFrame, docs: D
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node, f0, ...) of every row, and (node, component) of every node that has a near copy."""
+    """(doc_id, node, f0, ..., bands) of every row, and (node, component) of every node that has a near copy."""
     prints = durable(_prints(docs), "prints")
     fps = [f"f{k}" for k in range(SEEDS)]
-    nodes = durable(prints.where("doc_id is not null").groupBy("node").agg(*[F.first(f).alias(f) for f in fps]), "nodes")
-    first = durable(window_pairs(nodes), "near")
+    nodes = durable(prints.where("doc_id is not null").groupBy("node").agg(*[F.first(f).alias(f) for f in (*fps, "bands")]), "nodes")
+    first = durable(window_pairs(nodes).union(band_pairs(nodes)), "near")
     joined = durable(components(first), "joined")
     placed = durable(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), *fps), "placed")
     candidates = durable(components(first.union(cross_pairs(placed))), "candidates")
