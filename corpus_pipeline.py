@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kairograph.llm import language, neardups, packing, pii, quality
 from kairograph.llm.common import durable, table
 
-#: A text stays if letters of one learnt language lead it with at least this score.
+#: A text stays if its spans are in learnt languages with at least this score.
 LANGUAGE_SCORE = 0.3
 
 

@@ -133,8 +133,9 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
 def label_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
     """Per text its language, a score in [0, 1], and spans (start, end, language) in code points.
 
-    The score is the share of letters in the text's language times that language's probability by the sum of all
-    scores. Null texts, texts without a letter, and any text where no language was learnt, are `und` with score 0.
+    The score is the mean over the text's letters of the probability of their span's language, by the sum of the span's
+    scores: a text in several learnt languages scores as its spans do, whatever their shares. Null texts, texts without
+    a letter, and any text where no language was learnt, are `und` with score 0.
     """
     _, _, script = chars.tables()
     width = max(len(model.names), 1)
@@ -164,18 +165,15 @@ def label_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str
     counts = np.bincount(rows, minlength=len(texts))
     label = viterbi(scores, counts)
     letters = np.bincount(rows * width + label, weights=ends - starts, minlength=len(texts) * width).reshape(-1, width)
-    has = counts > 0
     best = letters.argmax(1)
-    sums = np.zeros((len(texts), width))
-    first = (np.cumsum(counts) - counts)[has]
-    sums[has] = np.add.reduceat(scores.astype(np.float64), first, axis=0)
-    odds = np.exp(np.clip(sums - sums.max(1, keepdims=True), -50, 0))
-    each = np.arange(len(texts))
-    score = np.where(has, letters[each, best] / np.maximum(letters.sum(1), 1) * odds[each, best] / odds.sum(1), 0.0)
-    for i in np.flatnonzero(has).tolist():
-        names[i] = model.names[best[i]]
     fresh = np.append(True, (label[1:] != label[:-1]) | (rows[1:] != rows[:-1]))
     at = np.flatnonzero(fresh)
+    sums = np.add.reduceat(scores.astype(np.float64), at, axis=0)
+    odds = np.exp(np.clip(sums - sums.max(1, keepdims=True), -50, 0))
+    sure = odds[np.arange(len(at)), label[at]] / odds.sum(1) * np.add.reduceat(ends - starts, at)
+    score = np.bincount(rows[at], weights=sure, minlength=len(texts)) / np.maximum(letters.sum(1), 1)
+    for i in np.flatnonzero(counts).tolist():
+        names[i] = model.names[best[i]]
     last = np.append(at[1:], len(rows)) - 1
     for r, a, b, k in zip(rows[at].tolist(), starts[at].tolist(), ends[last].tolist(), label[at].tolist(), strict=True):
         spans[r].append((a, b, model.names[k]))
