@@ -226,8 +226,9 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    found = describe(store(table(spark, sf_dir, "documents")))
+    found = pcm(describe(store(table(spark, sf_dir, "documents"))))
     return found.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        F.octet_length("pcm16k").cast("long").alias("pcm_bytes"), F.sha2("pcm16k", 256).alias("pcm_sha256"), "pcm16k",
     )
