@@ -247,20 +247,35 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prints, components(verified(candidates, nodes, prints, docs))
 
 
+def with_node(docs: DataFrame) -> DataFrame:
+    """(row, id, node): each row of docs whole, its doc_id and its text's node."""
+
+    @F.pandas_udf("long")
+    def node(texts):
+        return texts.map(lambda x: node_of(words(x))).astype("int64")
+
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), node(F.col("text").cast("string")).alias("node"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs without all but the least doc_id of each group of near copies.
 
-    Of repeated rows of a doc_id that stays one stays. Rows with a null doc_id stay as they are and compare with
-    nothing. Texts without a word are equal to each other and like no other.
+    Of repeated rows of a doc_id that stays one stays in each group; rows of one doc_id with unlike texts are in groups
+    of their own. Rows with a null doc_id stay as they are and compare with nothing. Texts without a word are equal to
+    each other and like no other.
     """
     prints, joined = groups(docs)
-    ids = prints.where("doc_id is not null").join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("comp"))
-    per_id = durable(ids.groupBy("doc_id").agg(F.min("comp").alias("comp"), F.count("*").alias("times")), "ids")
-    least = per_id.groupBy("comp").agg(F.min("doc_id").alias("least"))
-    gone = durable(per_id.join(least, "comp").where("doc_id <> least or times > 1").select(F.col("doc_id").alias("__id"), (F.col("doc_id") == F.col("least")).alias("__once")), "gone")
-    ids, once = gone.select("__id").alias("g"), gone.where("__once").select("__id").alias("g")
+    ids = prints.where("doc_id is not null").join(joined, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("comp"))
+    pairs = durable(ids.groupBy("doc_id", "node").agg(F.min("comp").alias("comp"), F.count("*").alias("times")), "ids")
+    least = pairs.groupBy("comp").agg(F.min(F.struct("doc_id", "node")).alias("least"))
+    judged = durable(pairs.join(least, "comp").select("doc_id", "node", "times", (F.struct("doc_id", "node") == F.col("least")).alias("stays")), "judged")
+    per_id = judged.groupBy("doc_id").agg(F.sum("times").alias("times"), F.bool_or("stays").alias("stays"))
+    gone = durable(per_id.where("not stays or times > 1").select(F.col("doc_id").alias("__id"), F.col("stays").alias("__again")), "gone")
+    ids, again = gone.select("__id").alias("g"), gone.where("__again").select("__id").alias("g")
     same = F.expr("d.doc_id = g.__id")
     out = docs.alias("d").join(ids, same, "left_anti")
-    if once.isEmpty():
+    if again.isEmpty():
         return out
-    return out.unionByName(docs.alias("d").join(once, same, "left_semi").dropDuplicates(["doc_id"]))
+    rows = with_node(docs.alias("d").join(again, same, "left_semi"))
+    kept = rows.alias("r").join(judged.where("stays").alias("j"), F.expr("r.id = j.doc_id and r.node = j.node"), "left_semi")
+    return out.unionByName(kept.dropDuplicates(["id", "node"]).select("row.*"))

@@ -62,3 +62,10 @@ def test_a_long_chain_of_appended_copies_is_one_group(spark):
         rows.append((i, " ".join(words)))
         words = words + [f"x{rng.randrange(10**6)}" for _ in range(len(words) // 8)]
     assert [r.doc_id for r in neardups.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+def test_unlike_texts_of_one_id_all_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (2, c), (3, c), (4, a), (5, "alone"), (5, "alone")]
+    got = neardups.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (1, b), (2, c), (5, "alone")])
