@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -114,13 +115,11 @@ def _unit(column: pa.Array, size: int) -> np.ndarray:
 def usable(rows: DataFrame) -> DataFrame:
     """(vec_id, v) of rows that can link: an id, and a vector without null or non-finite components that isn't zero.
 
-    Vectors of another length than the most frequent one (the shorter at a tie) link with nothing.
+    Vectors of unlike lengths don't link with each other.
     """
     v = F.col("embedding").cast("array<float>")
     fine = "vec_id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(v, x -> x <> 0)"
-    found = rows.select("vec_id", v.alias("v")).where(fine)
-    sizes = found.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
-    return found.where(F.size("v") == (sizes[0].n if sizes else 0))
+    return rows.select("vec_id", v.alias("v")).where(fine)
 
 
 def blocks(encoded: DataFrame, index: PqIndex) -> tuple[DataFrame, DataFrame]:
@@ -167,18 +166,9 @@ def linked(q: pa.Table, m: pa.Table, index: PqIndex, cosine: float) -> pa.Table:
     return pa.table({"rep": reps[some], "links": links[some], "least": ids[label[where[some]]]})
 
 
-def near_duplicates(rows: DataFrame, cosine: float = COSINE, margin: float | None = None) -> DataFrame:
-    """One row per row (vec_id, embedding): vec_id, n_links, component_id, kept.
-
-    Vectors that can't link (see usable()) have no links and are their own component; repeated rows of one vec_id are
-    vectors of their own that link. No rows give no rows. `margin` below half the radius trades recall for probes.
-    """
-    spark = rows.sparkSession
-    rows = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    classes = durable(usable(rows).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "classes")
-    total, size = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    if not total:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+def _found(classes: DataFrame, total: int, size: int, cosine: float, margin: float | None) -> DataFrame:
+    """(rep, links, least, size) of the blocks of `total` classes of vectors of one length, by an index of their own."""
+    spark = classes.sparkSession
     got = hashed_sample(classes, ["rep"], max(1, SAMPLE_FLOATS // size)).select("v").toPandas()["v"]
     sample = np.array(got.tolist(), np.float64)
     index = fit(sample / np.sqrt((sample**2).sum(1))[:, None], total, cosine, margin)
@@ -206,10 +196,26 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, margin: float | Non
         return linked(q, m, sent.value, cosine)
 
     found = durable(queries.groupBy(*key).cogroup(members.groupBy(*[f"m_{c}" for c in key])).applyInArrow(search, "rep long, links long, least long"), "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    return found.withColumn("size", F.lit(size))
+
+
+def near_duplicates(rows: DataFrame, cosine: float = COSINE, margin: float | None = None) -> DataFrame:
+    """One row per row (vec_id, embedding): vec_id, n_links, component_id, kept.
+
+    Vectors that can't link (see usable()) have no links and are their own component; repeated rows of one vec_id are
+    vectors of their own that link. No rows give no rows. `margin` below half the radius trades recall for probes.
+    """
+    rows = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    classes = durable(usable(rows).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "classes")
+    sizes = classes.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("total")).orderBy("size").collect()  # one row a length
+    if not sizes:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    found = reduce(DataFrame.union, [_found(classes.where(F.size("v") == r["size"]), r["total"], r["size"], cosine, margin) for r in sizes])
+    links = found.groupBy("rep", "size").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("u"), F.col("least").alias("v")))
     known = (
-        classes.join(links, "rep", "left")
+        classes.withColumn("size", F.size("v"))
+        .join(links, ["rep", "size"], "left")
         .join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
         .select("v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n"), F.coalesce("component", "rep").alias("c"))
     )
