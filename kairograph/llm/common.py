@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LETTERS_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of a table of hot keys at most, so that it may be broadcast whatever the data.
+HOT_KEYS = 1 << 18
 
 
 #: Of the rows that Spark hands to Python at once: with long texts its own bounds would be hundreds of megabytes.
@@ -34,9 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one if Spark is a single
+    process, and an error on a cluster, whose machines would each write to a folder of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="kairograph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -66,6 +71,27 @@ def forget(df: DataFrame | None) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def hot_keys(df: DataFrame, keys: list[str], total: int, most: int, rows: Column | None = None) -> DataFrame:
+    """(keys, parts): the keys of over `most` rows among the `total` rows of df, and how many parts keep one below that.
+
+    `most` is raised to total / HOT_KEYS, so there are at most HOT_KEYS such keys. `rows`: how many rows a row stands for.
+    """
+    least = max(most, -(-total // HOT_KEYS))
+    counted = df.groupBy(*keys).agg((F.count("*") if rows is None else F.sum(rows)).alias("__n")).where(F.col("__n") > least)
+    return counted.select(*keys, F.ceil(F.col("__n") / least).cast("int").alias("parts"))
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, spread: list[str], how: str = "inner", extra: list[str] | None = None) -> DataFrame:
+    """many joined with one (few rows a key) by the keys and the extra columns, so that no task gets a hot key whole.
+
+    hot is of hot_keys(). A hot key's rows in many are dealt by a hash of `spread`; its rows in one go to every part.
+    """
+    hot = F.broadcast(hot)
+    dealt = many.join(hot, keys, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    repeated = one.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(repeated.hint("merge"), [*keys, *(extra or []), "__part"], how).drop("__part")
+
+
 def crc_mod(col: Column, mod: int) -> Column:
     """crc32 of the id as decimal text, modulo mod; null ids give null."""
     return F.crc32(F.encode(col.cast("string"), "UTF-8")) % mod

@@ -1,30 +1,52 @@
 """Connected components by alternating star contraction, wholly in joins and aggregates.
 
-Each round is two equi-joins with a minimum per node. Nothing is collected but one row of convergence figures, hub
-nodes are joined by sort-merge joins that AQE may split, and each round's edges are a table in the shared folder.
+Each round is two equi-joins with a minimum per node. Nothing is collected but one row of convergence figures. A hub's
+edges are dealt over parts of at most HUB rows (more only beyond HUB * HOT_KEYS edges), each of which gets the hub's
+minimum, so no task reads a hub whole; each round's edges are a table in the shared folder.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import durable, forget
+from kairograph.llm.common import durable, forget, hot_keys, salted_join
 
+HUB = 256
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def local_components(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node reachable from each of the nodes 0, 1, ... over the edges (a, b)."""
+    label = np.arange(nodes)
+    while len(a):
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Edges (u, v) with m, the least v of their u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return salted_join(edges, least, ["u"], hot_keys(edges, ["u"], total, HUB), ["v"])
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).select(F.col("u").alias("n"), "m")
-    joined = both.join(least.hint("merge"), F.col("u") == F.col("n")).where("v > u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    joined = _with_least(both, 2 * total).where("v > u")
+    return joined.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least.select(F.col("u").alias("n"), "m").hint("merge"), F.col("u") == F.col("n"))
-    moved = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    joined = _with_least(down, total)
+    # the edge to the least itself stays, the others move from u to it
+    return joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -39,17 +61,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    figures = None
-    for _ in range(rounds):
-        following = durable(_small_star(_large_star(now)), "edges")
+    figures, total = None, now.count()
+    for _ in range(rounds if total else 0):
+        star = durable(_large_star(now, total), "edges")
+        following = durable(_small_star(star, total), "edges")
         forget(now)
+        forget(star)
         now = following
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        total = row[0]
         if tuple(row) == figures:
             break
         figures = tuple(row)
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if total:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kairograph.llm import embeddings
@@ -43,7 +44,35 @@ def test_all_links(spark, monkeypatch, seed):
     monkeypatch.setattr(embeddings, "BLOCK", 48)
     monkeypatch.setattr(embeddings, "LIST_SIZE", 32)
     rows = draw(seed)
-    assert sorted(run(spark, rows)) == brute(rows)
+    assert sorted(run(spark, rows, margin=embeddings.fit(np.eye(16), 1).radius / 2)) == brute(rows)  # this margin loses none
+
+
+def test_fitted_margin_and_two_levels_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 48)
+    monkeypatch.setattr(embeddings, "LIST_SIZE", 16)
+    monkeypatch.setattr(embeddings, "COARSE", 8)
+    rows = draw(3, 1500)
+    sample = embeddings.units(pa.array([r[1] for r in rows]), 16)
+    index = embeddings.fit(sample, len(rows))
+    assert len(index.centres) == 8 and len(index.fine) > 4
+    home = index.home(sample)
+    at, lists = index.probes(sample, home)
+    assert set(zip(range(len(home)), home.tolist(), strict=True)) <= set(zip(at.tolist(), lists.tolist(), strict=True))
+    got, want = {r[0]: r[1] for r in run(spark, rows)}, {r[0]: r[1] for r in brute(rows)}
+    assert all(got[i] <= want[i] for i in want)  # no link below the cosine, none counted twice
+    assert sum(got.values()) >= 0.99 * sum(want.values())
+
+
+def test_doubles_stay_doubles(spark):
+    near = float(np.nextafter(1.0, 2.0))
+    rows = [(1, [1e300, 0.0]), (2, [1e300, 0.0]), (3, [1e300, 1e299]), (4, [5e-324, 0.0]), (5, [-0.0, 1.0]), (6, [0.0, 1.0]), (7, [0.0, near]), (8, [1.0, 2.0, 3.0]), (9, [1.0, 2.0, 3.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (2, 5), 6: (2, 5), 7: (2, 5), 8: (1, 8), 9: (1, 8)}
+
+
+def test_unlike_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (1, [0.0, -1.0])]
+    assert sorted(run(spark, rows)) == [(1, 0, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
 
 
 def test_edge_rows(spark):
