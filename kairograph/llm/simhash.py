@@ -10,7 +10,8 @@ segments leave, by pigeonhole, either
   (ii) two segments with at most one error each. If x, y differ in one bit, the codeword that x decodes to (distance
        <= 3) is within 4 of y. So x gives, for each pair of segments, the codeword of the first with every codeword
        within 4 of the second, y the reverse, and the two sets share a key: 24 bits, at most 6 keys a pair and side.
-Every pair found so is verified by its bit count inside the join, so that only links leave it.
+Every pair found so is verified by its bit count where it is found, so that only links leave it. Buckets that many
+fingerprints share are dealt in blocks, each pair of which gives a row a fingerprint and not its links.
 
 Equal fingerprints are one node; a group of copies, however large, costs one row in the joins. Rows of the search:
 3 + 2 * 3 * (1 to 6) per distinct fingerprint. The expected chance pairs are n^2 * (3 / 2^22 + 3 * 28 / 2^25).
@@ -27,12 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kairograph.llm.common import durable, map_arrow
-from kairograph.llm.components import components
+from kairograph.llm.common import durable, hot_keys, map_arrow, salted_join
+from kairograph.llm.components import components, local_components
 
 GOLAY = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the code's generator polynomial
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (lowest bit, bits)
 MOST_BITS = 4
+MOST_KEYS = 6  # Golay keys of a pair of segments
+BUCKET = 512  # rows of a key that one join compares
+CELLS = 1 << 20  # pairs compared at once in a block
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -120,16 +124,48 @@ def _keyed(nodes: DataFrame, second: bool) -> DataFrame:
     return map_arrow(nodes.select("fp"), fn, "key long, fp long")
 
 
+def close_in_block(block: pa.Table) -> pa.Table:
+    """(u, v) of rows (side, fp): each fingerprint with the least that links of the other side within four bits reach here."""
+    side, fp = block.column("side").to_numpy(), block.column("fp").to_numpy()
+    distinct, at = np.unique(fp, return_inverse=True)
+    a, b = np.unique(at[side == 0]), np.unique(at[side == 1])
+    label = np.arange(len(distinct))
+    step = max(1, CELLS // max(len(b), 1))
+    for first in range(0, len(a), step):
+        part = a[first : first + step]
+        i, j = np.nonzero(np.bitwise_count((distinct[part, None] ^ distinct[None, b]).view(np.uint64)) <= MOST_BITS)
+        found = local_components(len(distinct), np.concatenate([part[i], np.arange(len(distinct))]), np.concatenate([b[j], label]))
+        label = found
+    moved = label != np.arange(len(distinct))
+    return pa.table({"u": distinct[moved], "v": distinct[label[moved]]})
+
+
+def close_pairs(a: DataFrame, b: DataFrame, rows: int) -> DataFrame:
+    """(u, v) that join all pairs of a and b (key, fp) of one key and within four bits; `rows` of both together.
+
+    A pair must meet in both orders of a and b, as it does in links().
+
+    A bucket of up to BUCKET rows is compared within the join and gives its pairs. A larger one is dealt by hash into
+    blocks, and each pair of blocks is a group that returns one row a fingerprint: its least in the group's components.
+    """
+    both = a.select("key", "fp", F.lit(0).alias("side")).union(b.select("key", "fp", F.lit(1).alias("side")))
+    hot = F.broadcast(hot_keys(both, ["key"], rows, BUCKET))
+    close = F.expr(f"a.key = b.key and a.fp < b.fp and bit_count(a.fp ^ b.fp) <= {MOST_BITS}")
+    cold_a, cold_b = (x.join(hot, "key", "left_anti") for x in (a, b))
+    found = cold_a.alias("a").hint("merge").join(cold_b.alias("b"), close).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    dealt = both.join(hot, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first = F.col("side") == 0
+    dealt = dealt.select("key", F.when(first, F.col("mine")).otherwise(F.col("other")).alias("x"), F.when(first, F.col("other")).otherwise(F.col("mine")).alias("y"), "side", "fp")
+    return found.union(dealt.groupBy("key", "x", "y").applyInArrow(close_in_block, "u long, v long"))
+
+
 def links(nodes: DataFrame) -> DataFrame:
-    """Of distinct fingerprints fp: every pair (u, v) of them at 1 to 4 differing bits, at least once, u < v."""
-    # merge joins: AQE can split a bucket that many fingerprints share
-    close = F.expr(f"a.fp < b.fp and bit_count(a.fp ^ b.fp) <= {MOST_BITS}")
+    """Of distinct fingerprints fp: pairs (u, v) that join all of them at 1 to 4 differing bits, as close_pairs() does."""
     values = F.array(*[F.shiftrightunsigned("fp", low).bitwiseAND((1 << bits) - 1) + (i << 22) for i, (low, bits) in enumerate(SEGMENTS)])
     exact = nodes.select(F.explode(values).alias("key"), "fp")
-    same = exact.alias("a").hint("merge").join(exact.alias("b"), F.expr("a.key = b.key") & close)
-    fuzzy = _keyed(nodes, False).alias("a").hint("merge").join(_keyed(nodes, True).alias("b"), F.expr("a.key = b.key") & close)
-    ends = [F.col("a.fp").alias("u"), F.col("b.fp").alias("v")]
-    return same.select(*ends).union(fuzzy.select(*ends))
+    number = nodes.count()
+    same = close_pairs(exact, exact, 2 * len(SEGMENTS) * number)
+    return same.union(close_pairs(_keyed(nodes, False), _keyed(nodes, True), 2 * len(SEGMENTS) * MOST_KEYS * number))
 
 
 def link_classes(prints: DataFrame) -> DataFrame:
@@ -144,15 +180,18 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     doc_id takes part, but is a component's id only if all its ids are null. An empty table gives no rows.
     """
     prints = durable(fingerprints(docs.select("doc_id", "text"), width), "prints")
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    classes = link_classes(nodes)
-    linked = nodes.join(classes, "fp", "left").select("fp", F.coalesce("class", "fp").alias("class"), "least")
-    ids = linked.groupBy("class").agg(F.min("least").alias("component_id"))
-    by_fp = linked.join(ids, "class").select("fp", "component_id")
-    return prints.join(by_fp.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
+    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    classes = durable(link_classes(nodes), "classes")
+    linked = classes.join(nodes.select("fp", "least"), "fp")
+    ids = linked.groupBy("class").agg(F.min("least").alias("c"))
+    named = salted_join(linked.select("fp", "class"), ids, ["class"], hot_keys(classes, ["class"], classes.count(), BUCKET), ["fp"]).select("fp", "c")
+    by_fp = nodes.join(named, "fp", "left").select("fp", F.coalesce("c", "least").alias("component_id"))
+    hot = hot_keys(nodes, ["fp"], prints.count(), BUCKET, F.col("n"))
+    return salted_join(prints, by_fp, ["fp"], hot, ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates() of the table documents by four-word shingles."""
     from kairograph.llm.common import table
 
     found = near_duplicates(table(spark, sf_dir, "documents"))

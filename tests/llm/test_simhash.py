@@ -135,3 +135,20 @@ def test_stage_edge_rows(spark):
     assert neardups.one_of_each(empty_docs(spark)).isEmpty()
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c")], "doc_id long, text string")
     assert neardups.one_of_each(twice).count() == 1
+
+
+def test_hot_buckets_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    monkeypatch.setattr(simhash, "CELLS", 64)
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    fps = [base ^ (rng.getrandbits(21)) for _ in range(150)]  # one value of two segments
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for f in fps[:60]]
+    fps = sorted({f - (1 << 64) if f >> 63 else f for f in fps})
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    near = [(a, b) for a in range(len(fps)) for b in range(a) if ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 4]
+    root, least = union_find(len(fps), near), {}
+    for i, r in enumerate(root):
+        least.setdefault(r, fps[i])
+    got = {r.fp: r["class"] for r in simhash.link_classes(nodes).collect()}
+    assert got == {fps[i]: least[root[i]] for pair in near for i in pair}
