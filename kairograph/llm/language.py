@@ -51,8 +51,8 @@ def words(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return starts, ends, (gram >> np.uint32(32 - BITS)).astype(np.int32), letter
 
 
-def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Per text: counts by script, and the trigram table summed over all texts."""
+def _counts(texts: list[str | None]) -> np.ndarray:
+    """Of all texts together: the trigram table, then counts by script."""
     _, _, script = chars.tables()
     grams, scripts = np.zeros(1 << BITS, np.int64), np.zeros(len(chars.SCRIPTS) + 2, np.int64)
     for _, _, cps, _ in chars.blocks(texts):
@@ -60,11 +60,15 @@ def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         letter[ends] = True  # the end of a word is a character too; each block ends with a line feed
         grams += np.bincount(gram[letter], minlength=1 << BITS)
         scripts += np.bincount(script[cps], minlength=len(scripts))
-    return grams, scripts
+    return np.concatenate([grams, scripts])
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, mod: int = 5) -> LanguageModel:
-    """Learn from text and non-null lang of rows whose crc32(doc_id) modulo `mod` is not 0, `rows` of them at most."""
+    """Learn from text and non-null lang of rows whose crc32(doc_id) modulo `mod` is not 0, `rows` ids of them at most.
+
+    All rows of a repeated id count. A table without such rows gives a model of no language. Counts are summed by one
+    aggregate over (language, cell); the driver gets its rows, 2^BITS cells and the scripts a language at most.
+    """
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_mod(F.col("doc_id"), mod) != 0)
     picked = hashed_sample(known.select("doc_id").distinct(), ["doc_id"], rows)
     sample = known.select("doc_id", F.col("lang").cast("string").alias("__lang"), F.col("text").cast("string").alias("__text")).join(F.broadcast(picked), "doc_id")
@@ -73,19 +77,24 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, mod: int = 5) -> LanguageMode
         by: dict[str, list[str]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by.setdefault(lang, []).append(text)
-        got = {lang: _counts(texts) for lang, texts in by.items()}
-        return pa.RecordBatch.from_arrays([pa.array(list(got)), *(pa.array([x[i].tobytes() for x in got.values()], pa.binary()) for i in (0, 1))], ["lang", "grams", "scripts"])
-
-    counts: dict[str, list[np.ndarray]] = {}
-    for row in map_arrow(sample.select("__lang", "__text"), fn, "lang string, grams binary, scripts binary").toLocalIterator():
-        at = counts.setdefault(row.lang, [np.zeros(1 << BITS), np.zeros(len(chars.SCRIPTS) + 2)])
-        at[0] += np.frombuffer(row.grams, np.int64)
-        at[1] += np.frombuffer(row.scripts, np.int64)
-    names = sorted(counts)
+        langs, cells, n = [], [], []
+        for lang, texts in by.items():
+            got = _counts(texts)
+            at = np.flatnonzero(got)
+            langs += [lang] * len(at)
+            cells.append(at)
+            n.append(got[at])
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.concatenate(n))], ["lang", "cell", "n"])
+
+    counted = map_arrow(sample.select("__lang", "__text"), fn, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(counted["lang"].unique())
     scores = np.zeros((1 << BITS, max(len(names), 1)))
     scripts = np.zeros((len(chars.SCRIPTS) + 2, max(len(names), 1)), bool)
     for i, name in enumerate(names):
-        grams, of = counts[name]
+        part = counted[counted["lang"] == name]
+        all_counts = np.zeros((1 << BITS) + len(scripts))
+        all_counts[part["cell"].to_numpy()] = part["n"].to_numpy()
+        grams, of = all_counts[: 1 << BITS], all_counts[1 << BITS :]
         scores[:, i] = np.log((grams + 0.05) / (grams.sum() + 0.05 * (1 << BITS)))
         of[0] = 0
         scripts[:, i] = of >= MIN_SHARE * max(of.sum(), 1)
@@ -181,7 +190,11 @@ def label_texts(texts: list[str | None], model: LanguageModel) -> tuple[list[str
 
 
 def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(row, lang): each row of docs whole, whatever its columns are named, and its lang_pred, lang_score, lang_spans."""
+    """(row, lang): each row of docs whole, whatever its columns are named, and its lang_pred, lang_score, lang_spans.
+
+    Null texts and those without a letter are `und` with score 0 and no span. Repeated rows keep their number, each
+    with the same result; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS rows by the number of languages
 
@@ -199,12 +212,16 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of docs, and lang_pred, lang_score and lang_spans, which replace columns of these names."""
+    """All columns of docs, and lang_pred, lang_score and lang_spans, which replace columns of these names.
+
+    Rows as identified() gives them; of languages with equally many letters on the path the first by name counts.
+    """
     held = [f"row.{c}" for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_spans")]
     return identified(docs, model).select(*held, "lang.*")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """identify() over the table documents, learnt from its own rows; rows as there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = identify(docs.select("doc_id", "text"), train(docs))
     return out.select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

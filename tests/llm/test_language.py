@@ -50,3 +50,19 @@ def test_edge_rows(spark):
     nothing = language.train(empty_docs(spark))
     assert nothing.names == [] and {r.lang_pred for r in language.identify(docs, nothing).collect()} == {"und"}
     assert language.identify(empty_docs(spark), model).isEmpty()
+
+
+def test_training_takes_as_many_jobs_whatever_the_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        jobs, models = [], []
+        for parts in (2, 24):
+            spark.sparkContext.setJobGroup(f"parts{parts}", "")
+            models.append(language.train(docs.repartition(parts)))
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"parts{parts}")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+    assert models[0].names == models[1].names and (models[0].scores == models[1].scores).all()
