@@ -5,7 +5,8 @@ lower-cased tokens and their bigrams, and n-grams (1 to 3) of forms. A form is a
 case pattern, each with whether it repeats the token of its kind before. A text's vector is each feature's share of its
 tokens, times SCALE, so that a text's length does not count; scoring is one sparse dot product.
 
-Training takes at most TRAIN_ROWS labelled texts, those first by a hash of doc_id: a bounded sample, as a classifier's.
+Training takes at most TRAIN_ROWS labelled texts of at most TRAIN_CHARS characters together, those first by a hash of
+doc_id that fit: a bounded sample, as a classifier's.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kairograph.llm import chars
 from kairograph.llm.common import crc_mod, give_back, hashed_sample, held_out, map_arrow, small_batches, table
@@ -23,6 +25,7 @@ from kairograph.llm.common import crc_mod, give_back, hashed_sample, held_out, m
 BITS = 18
 SCALE = 8.0
 TRAIN_ROWS = 6000
+TRAIN_CHARS = 40_000_000
 EPOCHS = 3
 THRESHOLD = 0.3
 
@@ -109,14 +112,22 @@ class Ftrl:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mod: int = 5) -> np.ndarray:
-    """Weights from rows whose crc32(doc_id) modulo `mod` is not 0, `rows` of them at most.
+    """Weights from rows whose crc32(doc_id) modulo `mod` is not 0, `rows` of them and TRAIN_CHARS characters at most.
 
     Null ids, null labels and labels other than 0 and 1 are not learnt from; of several labels of an id the least
-    counts. Without labelled rows all weights are 0 and every score 0.5.
+    counts, and all rows of a repeated id are learnt from. Without labelled rows all weights are 0 and every score 0.5.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod(F.col("doc_id"), mod) != 0)
     picked = hashed_sample(known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("__y")), ["doc_id"], rows)
-    joined = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # at most `rows` ids
+    texts = docs.select("doc_id", F.col("text").cast("string"))
+    sizes = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "__y").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("chars"))
+    fitting, held = [], 0
+    for row in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most `rows` ids
+        if held + row.chars <= TRAIN_CHARS:
+            fitting.append((row.doc_id, row["__y"]))
+            held += row.chars
+    kept = docs.sparkSession.createDataFrame(fitting, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("__y", T.IntegerType())]))
+    joined = texts.join(F.broadcast(kept), "doc_id")
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
@@ -146,7 +157,10 @@ def score_texts(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(row, score): each row of docs whole, whatever its columns are named; null and empty texts get the intercept's score."""
+    """(row, score): each row of docs whole, whatever its columns are named; null and empty texts get the intercept's score.
+
+    Repeated rows keep their number, each with the same score; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # 2^BITS + 1 numbers
 
@@ -167,6 +181,7 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFram
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """score() over the table documents, learnt from labels.quality; rows as there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = train(docs, table(spark, sf_dir, "labels"))
     out = score(docs, weights).select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "score")

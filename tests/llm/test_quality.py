@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -44,3 +46,86 @@ def test_edge_rows(spark):
     none = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert not none.any() and {r.s for r in quality.score(docs, none, "s").collect()} == {0.5}
     assert quality.score(empty_docs(spark), weights).isEmpty()
+
+
+def plain_features(text):
+    """Feature numbers of one text, a token at a time."""
+    m64 = (1 << 64) - 1
+
+    def mix(x):
+        x &= m64
+        x = ((x ^ (x >> 31)) * 0x9E3779B97F4A7C15) & m64
+        return x ^ (x >> 29)
+
+    tokens = []
+    kinds, lower, _ = quality.chars.tables()
+    for c in text or "":
+        kind = int(kinds[ord(c)])
+        group = 2 if kind >= quality.chars.DIGIT else kind
+        if group and tokens and tokens[-1][0] == group and tokens[-1][2]:
+            tokens[-1][1].append(c)
+        elif group:
+            tokens.append([group, [c], True])
+        if not group and tokens:
+            tokens[-1][2] = False
+    lex, form, last = [], [], {}
+    for group, part, _ in tokens:
+        name = mix(sum(mix(int(lower[ord(c)]) + 1) * (2 * i + 1) for i, c in enumerate(part)))
+        of = [int(kinds[ord(c)]) for c in part]
+        case = 2 * (quality.chars.UPPER in of) + (quality.chars.LOWER in of) + 4 * (of[0] == quality.chars.UPPER) + 8 * (len(part) == 1)
+        shape = case + 1 if group == 2 else name
+        form.append(mix(shape + 77) if last.get(group) == name else shape)
+        lex.append(name)
+        last[group] = name
+    ids = [*lex, *((f + 0x5151) & m64 for f in form)]
+    for seq, salt, most in ((lex, 11, 2), (form, 23, 3)):
+        gram = seq
+        for n in range(2, most + 1):
+            gram = [mix(a * 31 + b + salt * n) for a, b in zip(gram, seq[n - 1 :])]
+            ids += gram
+    return [mix(x) & (1 << quality.BITS) - 1 for x in ids], len(tokens)
+
+
+TEXTS = ["The cat, the CAT!! sat 12 times.", "", None, "a", "!! !! ?", "Ünïcode 漢字 e\u0301 x1 x1", "one\ntwo  two\ttwo"]
+
+
+def test_features_one_token_at_a_time():
+    ids, rows, tokens = quality.features(TEXTS)
+    for i, text in enumerate(TEXTS):
+        want, n = plain_features(text)
+        assert sorted(ids[rows == i].tolist()) == sorted(want) and tokens[i] == n
+
+
+def test_ftrl_and_scores_written_plainly():
+    texts, labels = [t for t in TEXTS if t] * 3, [1, 0, 1, 0, 1] * 3
+    model, z, n = quality.Ftrl(), {}, {}
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.02
+
+    def weight(i):
+        a, b = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(a) <= l1 else -(a - math.copysign(l1, a)) / ((beta + math.sqrt(b)) / alpha + l2)
+
+    def vector(text):
+        ids, tokens = plain_features(text)
+        return {i: quality.SCALE * c / max(tokens, 1) for i, c in Counter(ids).items()} | {1 << quality.BITS: 1.0}
+
+    for (ids, values), text, y in zip(quality.vectors(texts), texts, labels, strict=True):
+        model.learn(ids, values, y)
+        x = vector(text)
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+        for i, w in [(i, weight(i)) for i in x]:
+            g = (p - y) * x[i]
+            sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha
+            z[i], n[i] = z.get(i, 0.0) + g - sigma * w, n.get(i, 0.0) + g * g
+    weights = model.weights()
+    assert max(abs(weights[i] - weight(i)) for i in z) < 1e-5
+    want = [1 / (1 + math.exp(-sum(weight(i) * v for i, v in vector(t).items()))) for t in TEXTS]
+    assert np.abs(quality.score_texts(TEXTS, weights) - want).max() < 1e-5
+
+
+def test_a_sample_is_bounded_in_characters_too(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_CHARS", 50)
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "bad " * 500) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    weights = quality.train(docs, labels)
+    assert quality.score_texts(["good words here"], weights)[0] > 0.5  # texts that don't fit are left out, others learnt
