@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from kairograph.llm import hmm
 from tests.llm.util import EDGE_TEXTS, edge_docs, empty_docs
@@ -24,7 +25,7 @@ def small(k=3, classes=5, seed=0):
     rng = np.random.default_rng(seed)
     emit = np.zeros((hmm.CLASSES, k))
     emit[:classes] = rng.dirichlet(np.ones(classes), k).T
-    return hmm.Hmm(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), emit)
+    return hmm.Hmm(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), emit)
 
 
 def paths(seq, m, start):
@@ -43,24 +44,39 @@ def test_forward_is_the_sum_over_paths():
     assert np.allclose(got, [math.log10(sum(p for _, p in paths(s, m, m.start))) for s in seqs])
 
 
-def test_expectations_are_over_paths(monkeypatch):
-    monkeypatch.setattr(hmm, "SEGMENT", 4)
+@pytest.mark.parametrize("segment", [1, 2, 4, 64])
+def test_expectations_and_likelihoods_are_over_paths_of_whole_texts(monkeypatch, segment):
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    monkeypatch.setattr(hmm, "GROUP", 5)
     m, rng = small(), np.random.default_rng(2)
-    seqs = [rng.integers(0, 5, n).astype(np.uint16) for n in (1, 6, 3, 4)]
-    start, step, emit = hmm.expectations(np.concatenate(seqs), np.array([len(s) for s in seqs]), m)
-    ws, wt, we = np.zeros(3), np.zeros((3, 3)), np.zeros((3, hmm.CLASSES))
+    seqs = [rng.integers(0, 5, n).astype(np.uint16) for n in (1, 6, 3, 4, 7)]
+    lengths = np.array([len(s) for s in seqs])
+    start, step, emit = hmm.expectations(np.concatenate(seqs), lengths, m)
+    ws, wt, we, logs = np.zeros(3), np.zeros((3, 3)), np.zeros((3, hmm.CLASSES)), []
     for s in seqs:
-        for at in range(0, len(s), 4):
-            part = s[at : at + 4]
-            found = list(paths(part, m, m.occupancy if at else m.start))
-            total = sum(p for _, p in found)
-            for states, p in found:
-                ws[states[0]] += (p / total) * (at == 0)
-                for a, b in zip(states, states[1:], strict=False):
-                    wt[a, b] += p / total
-                for a, x in zip(states, part, strict=True):
-                    we[a, x] += p / total
+        found = list(paths(s, m, m.start))
+        total = sum(p for _, p in found)
+        logs.append(math.log10(total))
+        for states, p in found:
+            ws[states[0]] += p / total
+            for a, b in zip(states, states[1:], strict=False):
+                wt[a, b] += p / total
+            for a, x in zip(states, s, strict=True):
+                we[a, x] += p / total
     assert np.allclose(start, ws) and np.allclose(step, wt) and np.allclose(emit, we)
+    assert np.allclose(hmm.log_likelihood(np.concatenate(seqs), lengths, m), logs)
+
+
+def test_companions_are_counted_by_text():
+    seqs = [np.array(s, np.uint16) for s in ([0, 5, 5, 6], [7], [hmm.FREQUENT + 1, 0])]
+    got = hmm.companions(np.concatenate(seqs), np.array([4, 1, 2])).reshape(hmm.CLASSES, hmm.FREQUENT)
+    want = np.zeros_like(got)
+    for s in seqs:
+        top = [x for x in s.tolist() if 0 < x <= hmm.FREQUENT]
+        for x in s.tolist():
+            for y in top:
+                want[x, y - 1] += 1 / len(top)
+    assert np.allclose(got, want)
 
 
 def base_of(rows):
@@ -102,3 +118,36 @@ def test_query_beats_unigrams_on_held_out_rows(spark):
     check(rows, got)
     out = [r for r in got if r.held_out]
     assert sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out) > 0.1
+
+
+def test_score_written_plainly(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "SEGMENT", 16)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60]
+    held, whole, trained = {}, hmm.lexicon, hmm.baum_welch
+    monkeypatch.setattr(hmm, "lexicon", lambda counts: held.setdefault("lex", whole(counts, own=40, known=60)))
+    monkeypatch.setattr(hmm, "baum_welch", lambda *a: held.setdefault("model", trained(*a)))
+    got = {r.doc_id: r.score for r in hmm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lex, m, counts = held["lex"], held["model"], base_of(rows)[0]
+    bins = {}
+    for w, c in counts.items():
+        if lex.classes[lex.index[w.encode()]] > hmm.OWN if w.encode() in lex.index else True:
+            size, kinds = bins.get(zlib.crc32(w.encode()) % hmm.REST, (0, 0))
+            bins[zlib.crc32(w.encode()) % hmm.REST] = size + c, kinds + 1
+    for i, text in rows:
+        a, total = m.start, 0.0
+        for t, w in enumerate(plain_tokens(text)):
+            at = lex.index.get(w.encode())
+            kind = 1 + hmm.OWN + zlib.crc32(w.encode()) % hmm.REST if at is None else int(lex.classes[at])
+            a = (a @ m.step if t else a) * m.emit[kind]
+            total += math.log10(a.sum())
+            a = a / a.sum()
+            if kind > hmm.OWN:
+                size, kinds = bins.get(kind - 1 - hmm.OWN, (0, 0))
+                total += math.log10((counts.get(w, 0) + 0.1) / (size + 0.1 * (kinds + 1)))
+        assert abs(got[i] - total) < 1e-6 * max(1, abs(total))
+
+
+def test_a_step_of_equally_frequent_words_is_filled_by_a_hash(spark):
+    counts = spark.createDataFrame([(bytearray(f"w{i}".encode()), 3) for i in range(500)] + [(bytearray(b"top"), 90), (bytearray(hmm.END), 5)], "word binary, n long")
+    lex = hmm.lexicon(counts, own=hmm.OWN, known=200)
+    assert 120 < len(lex.index) <= 240 and b"top" in lex.index
