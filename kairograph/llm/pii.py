@@ -1,17 +1,26 @@
 """Personal data in texts, by DataFrame functions alone: generators, boosted trees over candidates, thresholds.
 
 Base spans are the valid matches of four fixed patterns. Beside them, high-recall generators propose spans that may
-overlap: every match of the base patterns, valid or not, runs of digits with up to two separators between them, and
-addresses with spaces or a bracketed `at`. Candidates that overlap a base span of their kind's family count as positive,
-others as negative. Format and context features are small integers, so the corpus is one aggregate of at most CELLS
-feature cells (candidates, positives), from which trees of depth two are boosted under the logistic loss on the driver.
-The trees are compiled into one SQL expression. Each kind's threshold is the least score from which on the
-cells' share of positives, smoothed by one negative, is at least PRECISION; a kind without such a score adds nothing.
-Selected spans are added where they do not overlap a base span; of two added ones that overlap the longer, then the
-earlier stays.
-
-Positions: the gaps that split() leaves and the matches that regexp_extract_all() finds alternate, so a match starts at
-the sum of the lengths before it, summed by blocks of BLOCK so that many matches in one text stay cheap.
+overlap: addresses with spaces or a bracketed `at`, hosts with spaced or bracketed dots, and runs of digits with up to
+two separators between them, each as a card and as a phone number. Format and context features are small integers, so
+the corpus is one aggregate of at most CELLS feature cells.
+
+What a tree learns from. Positives are base spans, and the forms that such a span would have in another writing (without
+`+`, as a national number, with dots, brackets or wider gaps, `(at)` for `@`, `[.]` for dots), in the span's real
+context: their truth is known, and they are what the generators could add. A rewritten form weighs PRIOR of a span over
+all its forms. Negatives are proposals apart from all base spans that lack a cue (a word such as `phone` before them),
+or have one and can't be valid. A proposal with a cue that might be valid is evidence of neither and is not counted.
+
+Trees of depth two are boosted under the logistic loss on the driver, from the texts whose crc32 modulo HELD_OUT isn't 0.
+On the other texts' cells each kind's threshold is calibrated: the least score from which on the share of positives
+among what could be added, smoothed by half a rewritten form, is at least PRECISION; a kind without such a score adds
+nothing. The trees are compiled into one SQL expression.
+
+Added spans overlap no base span and no other added one: addresses come first, then hosts, cards and phone numbers.
+
+Long texts. A match's place is the sum of the lengths of the matches and gaps before it; overlaps are found by sorting
+spans and candidates together, with the farthest end before and the nearest start after each. All such running values
+are taken by blocks of BLOCK, so that a text of a hundred thousand spans takes seconds.
 """
 
 from __future__ import annotations
@@ -25,10 +34,13 @@ from pyspark.sql import functions as F
 from kairograph.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone")
-BLOCK = 128
+BLOCK = 64
 PRECISION = 0.98
+PRIOR = 0.1
+HELD_OUT = 5
 ROUNDS = 24
 RATE = 0.3
+NEAR = 24  # characters before a candidate that may hold a cue
 
 # A match can't begin within a run of its first class unless the match before ended there (\G); possessive runs are
 # safe where what follows is outside the run's class. Neither changes what matches; both keep the search linear.
@@ -38,19 +50,23 @@ PATTERNS = {
     "card": r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Proposals beside the base patterns, and the kinds that they may be.
+#: Proposals beside the base patterns.
 LOOSE = {
-    "number": r"(?:\G|(?<![0-9]))[0-9](?:[\x20().\x2d]{0,2}[0-9]){6,}+",
     "address": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\x20?[(\[]at[)\]]\x20?|\x20?@\x20?)[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "host": r"(?:\G|(?<![0-9]))[0-9]{1,3}+(?:(?:\[\.\]|\(\.\)|\x20\.\x20?|\.\x20)[0-9]{1,3}+){3}(?![0-9])",
+    "number": r"(?:\G|(?<![0-9]))[0-9](?:[\x20().\x2d]{0,2}[0-9]){6,}+",
 }
+#: What a text must hold for a pattern to be tried.
+NEEDS = {"email": "contains(__t, '@')", "phone": "contains(__t, '+')", "address": r"rlike(__t, r'@|[(\[]at[)\]]')", "host": r"rlike(__t, r'[0-9](?:[\[(]|\x20\.|\.\x20)')"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-CONTEXT = {
-    "email": "(?i)(?:e-?mail|mail to|contact|write to|adresse|correo)",
-    "card": "(?i)(?:card|visa|mastercard|amex|karte|carte|tarjeta|payment|credit)",
-    "phone": "(?i)(?:phone|tel|call|mobile|fax|whatsapp|anruf|appel|llam)",
-}
+CUES = (
+    "(?i)(?:e-?mail|mail to|contact|write to|adresse|correo)",
+    "(?i)(?:\\bip\\b|host|server|addr)",
+    "(?i)(?:card|visa|mastercard|amex|karte|carte|tarjeta|payment|credit)",
+    "(?i)(?:phone|tel|call|mobile|fax|whatsapp|anruf|appel|llam)",
+)
 #: Feature names and their numbers of values; their product bounds the cells.
-FEATURES = {"kind": 3, "digits": 8, "groups": 4, "plus": 2, "paren": 2, "luhn": 2, "dots": 3, "context": 2, "edge": 2}
+FEATURES = {"kind": 4, "digits": 8, "groups": 4, "plus": 2, "form": 3, "valid": 2, "dots": 3, "cue": 2, "edge": 2}
 CELLS = math.prod(FEATURES.values())
 
 
@@ -64,10 +80,11 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _find(df: DataFrame, name: str, pattern: str, when: str) -> DataFrame:
-    """Adds array __name of struct(start, end, value), in code points, of all leftmost non-overlapping matches."""
+    """Adds array __name of struct(start, end, value, before, after), in code points, of all leftmost non-overlapping
+    matches; before and after are of the gaps, and hold no part of another match."""
     add = "0L, (a, x) -> a + x"
     ends = f"p[cast(i div {BLOCK} as int)] + aggregate(slice(l, cast((i div {BLOCK}) * {BLOCK} + 1 as int), cast(i % {BLOCK} + 1 as int)), {add})"
-    out = "transform(m, (x, i) -> named_struct('start', e[i] - length(x), 'end', e[i], 'value', x))"
+    out = f"transform(m, (x, i) -> named_struct('start', e[i] - length(x), 'end', e[i], 'value', x, 'before', right(g[i], {NEAR}), 'after', left(g[i + 1], 1)))"
     out = _let("e", f"transform(m, (x, i) -> {ends})", out)
     out = _let("p", f"transform(s, (x, i) -> aggregate(slice(s, 1, i + 1), {add}) - x)", out)  # before each block
     out = _let("s", f"transform(sequence(0, (size(l) - 1) div {BLOCK}), b -> aggregate(slice(l, cast(b * {BLOCK} + 1 as int), {BLOCK}), {add}))", out)
@@ -95,61 +112,109 @@ VALID = {
     "phone": f"length({DIGITS}) between 10 and 15",
 }
 
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
-    """docs with __t (the text, null as empty), the raw matches __email, ..., and __base: valid ones, by start, kind."""
+    """docs with __t (the text, null as empty), the raw matches __email, ..., and __base: valid ones, by start, kind, with what
+    they match and stand between."""
     df = docs.withColumn("__t", F.coalesce(F.col("text").cast("string"), F.lit("")))
     df = df.withColumn("__any", F.expr(r"rlike(__t, r'[0-9@]|[(\[]at[)\]]')"))
     for kind, pattern in PATTERNS.items():
-        needs = {"email": "contains(__t, '@')", "phone": "contains(__t, '+')"}.get(kind, "true")
-        df = _find(df, kind, pattern, f"__any and {needs}")
+        df = _find(df, kind, pattern, f"__any and {NEEDS.get(kind, 'true')}")
     parts = [
-        f"transform(filter(__{kind}, x -> {VALID[kind]}), x -> named_struct('start', x.start, 'no', {no}, 'end', x.end, 'kind', '{kind}'))"
+        f"transform(filter(__{kind}, x -> {VALID[kind]}), x -> named_struct('start', x.start, 'no', {no}, 'end', x.end, 'kind', '{kind}', 'value', x.value, 'before', x.before, 'after', x.after))"
         for no, kind in enumerate(KINDS)
     ]
     return df.withColumn("__base", F.expr(f"if(__any, array_sort(concat({', '.join(parts)})), array())"))
 
 
+def _running(array: str, start: str, merge: str) -> str:
+    """SQL: for each element x of the array, `start` merged with a value of all elements before it.
+
+    merge is over the value a so far and the element's own value x; elements are their own values.
+    """
+    k = f"cast(i div {BLOCK} as int)"
+    whole = f"transform(sequence(0, (size(w) - 1) div {BLOCK}), j -> aggregate(slice(w, cast(j * {BLOCK} + 1 as int), {BLOCK}), {start}, (a, x) -> {merge}))"
+    ahead = f"transform(h, (y, j) -> aggregate(slice(h, 1, j), {start}, (a, x) -> {merge}))"
+    out = f"transform(w, (y, i) -> aggregate(slice(w, cast({k} * {BLOCK} + 1 as int), cast(i % {BLOCK} as int)), q[{k}], (a, x) -> {merge}))"
+    return f"if(size({array}) > 0, " + _let("w", array, _let("h", whole, _let("q", ahead, out))) + ", array())"
+
+
+MOST = "9223372036854775807L"
+SPANS = "transform(__base, x -> named_struct('start', x.start, 'no', x.no, 'end', x.end, 'kind', x.kind))"
+
+
+def _apart(cands: str, spans: str) -> str:
+    """SQL: those of the array of cands that overlap none of the array of spans (both with start and end)."""
+    both = "array_sort(concat(transform(u, x -> named_struct('start', x.start, 'c', 0, 'end', x.end, 'at', -1)), transform(v, (x, i) -> named_struct('start', x.start, 'c', 1, 'end', x.end, 'at', i))))"
+    ended = _running("transform(s, x -> if(x.c = 0, x.end, -1L))", "-1L", "greatest(a, x)")
+    begun = _running(f"transform(reverse(s), x -> if(x.c = 0, x.start, {MOST}))", MOST, "least(a, x)")
+    free = "filter(transform(s, (x, i) -> if(x.c = 1 and before[i] <= x.start and behind[size(s) - 1 - i] >= x.end, x.at, -1)), x -> x >= 0)"
+    found = "transform(" + _let("s", both, _let("before", ended, _let("behind", begun, free))) + ", x -> v[x])"
+    return _let("u", spans, _let("v", cands, f"if(size(u) = 0 or size(v) = 0, v, {found})"))
+
+
 # ---------------------------------------------------------------- candidates
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """Adds __cands: (start, end, kind, features..., y) of every proposal; found is of base_spans()."""
-    df = found
+def _proposals(df: DataFrame) -> DataFrame:
+    """Adds __address, __host and __number, the generators' matches, and __cands: (kind, start, end, value, before, after)
+    of every proposal, as often as there are kinds that it may be."""
     for name, pattern in LOOSE.items():
-        df = _find(df, name, pattern, "__any" + (r" and rlike(__t, r'@|[(\[]at[)\]]')" if name == "address" else ""))
-    raw = [
-        "transform(__email, x -> named_struct('kind', 0, 'x', x))",
-        "transform(__address, x -> named_struct('kind', 0, 'x', x))",
-        f"transform(filter(__card, x -> length({DIGITS}) between 13 and 19), x -> named_struct('kind', 1, 'x', x))",
-        f"transform(filter(__phone, x -> length({DIGITS}) between 7 and 16), x -> named_struct('kind', 2, 'x', x))",
-        f"transform(filter(__number, x -> length({DIGITS}) between 13 and 19), x -> named_struct('kind', 1, 'x', x))",
-        f"transform(filter(__number, x -> length({DIGITS}) between 7 and 16), x -> named_struct('kind', 2, 'x', x))",
-    ]
-    df = df.withColumn("__raw", F.expr(f"if(__any, array_distinct(concat({', '.join(raw)})), array())"))
-    v, before = "c.x.value", "substring(__t, cast(greatest(c.x.start - 24, 0) + 1 as int), cast(least(c.x.start, 24) as int))"
+        df = _find(df, name, pattern, f"__any and {NEEDS.get(name, 'true')}")
+    kinds = (("address", 0, "true"), ("host", 1, "true"), ("number", 2, f"length({DIGITS}) between 13 and 19"), ("number", 3, f"length({DIGITS}) between 7 and 16"))
+    raw = [f"transform(filter(__{name}, x -> {fits}), x -> named_struct('kind', {kind}, 'start', x.start, 'end', x.end, 'value', x.value, 'before', x.before, 'after', x.after))" for name, kind, fits in kinds]
+    return df.withColumn("__cands", F.expr(f"if(__any, concat({', '.join(raw)}), array())")).drop(*(f"__{x}" for x in LOOSE))
+
+
+def _features(c: str = "c") -> str:
+    """SQL: the fields of a candidate's features, after its kind."""
+    v, before, after = f"{c}.value", f"{c}.before", f"{c}.after"
     d = f"regexp_replace({v}, '[^0-9]', '')"
-    after = "substring(__t, cast(c.x.end + 1 as int), 1)"
-    context = f"case c.kind when 0 then rlike({before}, {_q(CONTEXT['email'])}) when 1 then rlike({before}, {_q(CONTEXT['card'])}) else rlike({before}, {_q(CONTEXT['phone'])}) end"
-    family = "case c.kind when 0 then b.kind = 'email' when 1 then b.kind = 'card' else b.kind = 'phone' end"
     made = {
-        "digits": f"case when c.kind = 0 then 0 when length({d}) < 10 then 1 when length({d}) = 10 then 2 when length({d}) = 11 then 3 when length({d}) < 14 then 4 when length({d}) < 16 then 5 when length({d}) = 16 then 6 else 7 end",
-        "groups": f"least(size(regexp_extract_all({v}, '[0-9]+', 0)), 4) - if(size(regexp_extract_all({v}, '[0-9]+', 0)) > 0, 1, 0)",
+        "digits": f"case when {c}.kind < 2 then 0 when length({d}) < 10 then 1 when length({d}) = 10 then 2 when length({d}) = 11 then 3 when length({d}) < 14 then 4 when length({d}) < 16 then 5 when length({d}) = 16 then 6 else 7 end",
+        "groups": f"if({c}.kind < 2, 0, least(size(regexp_extract_all({v}, '[0-9]+', 0)), 4) - 1)",
         "plus": f"cast(startswith({v}, '+') or endswith({before}, '+') as int)",
-        "paren": f"cast(rlike({v}, '[(\\\\[]') as int)",
-        "luhn": f"cast({_luhn(d)} as int)",
-        "dots": f"least(size(regexp_extract_all({v}, '[.]', 0)), 2)",
-        "context": f"cast({context} as int)",
+        "form": f"case when rlike({v}, '[(\\\\[]') or endswith({before}, '(') then 1 when rlike({v}, if({c}.kind < 2, ' ', '[^0-9]{{2}}')) then 2 else 0 end",
+        "valid": f"cast(case {c}.kind when 0 then rlike({v}, '[.][A-Za-z]{{2,}}$') when 1 then forall(regexp_extract_all({v}, '[0-9]+', 0), p -> cast(p as bigint) <= 255) when 2 then {_luhn(d)} else length({d}) between 9 and 15 end as int)",
+        "dots": f"if({c}.kind = 1, 0, least(size(regexp_extract_all({v}, '[.]', 0)), 2))",
+        "cue": f"cast(case {c}.kind " + " ".join(f"when {i} then rlike({before}, {_q(cue)})" for i, cue in enumerate(CUES)) + " end as int)",
         "edge": f"cast(rlike({after}, '[A-Za-z0-9_]') or rlike({before}, '[A-Za-z0-9_]$') as int)",
     }
-    fields = ", ".join(f"'{k}', {x}" for k, x in made.items())
-    out = f"transform(__raw, c -> named_struct('start', c.x.start, 'end', c.x.end, 'kind', c.kind, {fields}, 'y', cast(exists(__base, b -> {family} and b.start < c.x.end and c.x.start < b.end) as int)))"
-    return df.withColumn("__cands", F.expr(f"if(size(__raw) > 0 and size(__base) >= 0, {out}, array())")).drop("__raw", *(f"__{x}" for x in LOOSE))
+    return ", ".join(f"'{k}', {x}" for k, x in made.items())
+
+
+#: Other writings of a valid base span's value x.value, by kind, and the whole generator's match that each must be.
+REWRITTEN = (
+    ("array(replace(x.value, '@', ' (at) '), replace(x.value, '@', '[at]'), replace(x.value, '@', ' @ '))", "address"),
+    ("array(replace(x.value, '.', '[.]'), replace(x.value, '.', '. '), replace(x.value, '.', ' . '))", "host"),
+    (f"array(regexp_replace({DIGITS}, '([0-9]{{4}})(?=[0-9])', '$1.'), regexp_replace({DIGITS}, '([0-9]{{4}})(?=[0-9])', '$1  '))", "number"),
+    (
+        "array(substring(x.value, 2), concat('0', regexp_replace(substring(x.value, 2), '^[0-9]{2}[^0-9]*', '')), regexp_replace(substring(x.value, 2), '[^0-9]+', '.'),"
+        " regexp_replace(substring(x.value, 2), '^([0-9]{2,4}?)[^0-9]*', '$1) '))",
+        "number",
+    ),
+)
+
+
+def _evidence(df: DataFrame) -> DataFrame:
+    """Rows (features, plain, rewritten, wrong): what each text has to say of a cell; df is of _proposals(base_spans())."""
+    of = "named_struct('kind', x.no, 'value', {value}, 'before', x.before, 'after', x.after, 'plain', {plain}, 'rewritten', {rewritten}, 'wrong', 0.0D)"
+    forms = "case x.no " + " ".join(f"when {no} then filter({made}, r -> rlike(r, {_q('^(?:' + LOOSE[whole] + ')$')}))" for no, (made, whole) in enumerate(REWRITTEN)) + " end"
+    again = _let("r", forms, f"transform(r, y -> {of.format(value='y', plain='0.0D', rewritten=f'{PRIOR}D / size(r)')})")
+    parts = [f"transform(__base, x -> {of.format(value='x.value', plain='1.0D', rewritten='0.0D')})", f"flatten(transform(__base, x -> {again}))"]
+    wrong = f"transform({_apart('__cands', '__base')}, x -> named_struct('kind', x.kind, 'value', x.value, 'before', x.before, 'after', x.after, 'plain', 0.0D, 'rewritten', 0.0D, 'wrong', 1.0D))"
+    rows = df.select((F.crc32(F.encode("__t", "UTF-8")) % HELD_OUT == 0).alias("held"), F.expr(f"if(size(__cands) > 0 or size(__base) > 0, concat({', '.join(parts)}, {wrong}), array())").alias("e"))
+    # neither an inner explode nor a filter: both would be pushed below and compute all of e, or its features, twice
+    rows = rows.select("held", F.explode_outer("e").alias("c")).select("held", F.expr(f"named_struct('kind', c.kind, {_features()})").alias("k"), "c.plain", "c.rewritten", "c.wrong")
+    neither = (F.col("k.cue") == 1) & (F.col("k.valid") == 1)
+    return rows.select("held", "k.*", "plain", "rewritten", F.when(neither, 0.0).otherwise(F.col("wrong")).alias("wrong"))
 
 
 @dataclass
 class PiiModel:
     trees: list[tuple]  # (feature, cut, left, right), a leaf is a number: left if feature <= cut
-    thresholds: tuple[float, float, float]  # by kind: email, card, phone
+    thresholds: tuple[float, ...]  # by kind
 
 
 def boost(cells: list[tuple[tuple[int, ...], float, float]], rounds: int = ROUNDS) -> list[tuple]:
@@ -208,50 +273,61 @@ def _sql(tree, names: list[str]) -> str:
 
 
 def train(docs: DataFrame) -> PiiModel:
-    """Trees and thresholds from the candidates of all rows; at most CELLS rows reach the driver."""
+    """Trees and thresholds from the evidence of all rows (text); at most twice CELLS rows reach the driver.
+
+    Null and empty texts say nothing; repeated rows count as often as they occur. No evidence gives a model that adds none.
+    """
     names = list(FEATURES)
-    rows = (
-        candidates(base_spans(docs.select("text")))
-        .select(F.inline("__cands"))
-        .groupBy(*names)
-        .agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-        .collect()
-    )
-    cells = sorted((tuple(int(r[n]) for n in names), float(r["n"]), float(r["pos"])) for r in rows)
-    if not cells:
-        return PiiModel([], (math.inf,) * 3)
-    trees = boost(cells)
-    thresholds = []
-    for kind in range(3):
-        of = sorted(((sum(value(t, c[0]) for t in trees), c[1], c[2]) for c in cells if c[0][0] == kind), reverse=True)
-        least, n, pos = math.inf, 0.0, 0.0
-        for i, (s, count, yes) in enumerate(of):
-            n, pos = n + count, pos + yes
-            if (i + 1 == len(of) or of[i + 1][0] < s) and pos / (n + 1) >= PRECISION:
-                least = s
-        thresholds.append(least)
-    return PiiModel(trees, tuple(thresholds))
+    sums = [F.sum(c).alias(c) for c in ("plain", "rewritten", "wrong")]
+    rows = _evidence(_proposals(base_spans(docs.select("text")))).groupBy("held", *names).agg(*sums).collect()
+    cells: dict[bool, list] = {True: [], False: []}
+    for r in rows:
+        if r["kind"] is None or not r["plain"] + r["rewritten"] + r["wrong"]:  # of texts without candidates
+            continue
+        cells[r["held"]].append((tuple(int(r[n]) for n in names), float(r["plain"]), float(r["rewritten"]), float(r["wrong"])))
+    learnt = [(f, plain + again + wrong, plain + again) for f, plain, again, wrong in sorted(cells[False])]
+    trees = boost(learnt) if learnt else []
+    return PiiModel(trees, tuple(calibrated([c for c in cells[True] if c[0][0] == kind], trees) for kind in range(len(KINDS))))
+
+
+def calibrated(cells: list[tuple], trees: list[tuple]) -> float:
+    """The least score that keeps the precision over cells (features, plain, rewritten, wrong); infinite if none does."""
+    by: dict[float, list[float]] = {}
+    for features, _, again, wrong in cells:
+        x = by.setdefault(round(sum(value(t, features) for t in trees), 9), [0.0, 0.0])
+        x[0], x[1] = x[0] + again, x[1] + wrong
+    least, right, false = math.inf, 0.0, 0.0
+    for score in sorted(by, reverse=True):
+        right, false = right + by[score][0], false + by[score][1]
+        if right / (right + false + PRIOR / 2) >= PRECISION:
+            least = score
+    return least
 
 
 def detected(docs: DataFrame, model: PiiModel) -> DataFrame:
     """(row, text, base, spans): each row of docs whole, whatever its columns are named, and its arrays of spans.
 
-    A span is (start, no, end, kind), in order of start and the kind's number; null and empty texts have none.
+    A span is (start, no, end, kind), in order of start and the kind's number; null and empty texts have none, and their
+    text stays as it is. Repeated rows keep their number; an empty table gives no rows.
     """
     df = base_spans(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text")))
     if all(math.isinf(t) for t in model.thresholds):
-        return df.select("row", "text", F.col("__base").alias("base"), F.col("__base").alias("spans"))
-    df = candidates(df)
-    names = list(FEATURES)
-    total = " + ".join(_sql(t, names) for t in model.trees)
-    least = "case k.kind " + " ".join(f"when {i} then {'9e9D' if math.isinf(t) else f'{t - 1e-9!r}D'}" for i, t in enumerate(model.thresholds)) + " end"
-    apart = "not exists(__base, b -> b.start < k.end and k.start < b.end)"
-    chosen = f"filter(__cands, k -> {apart} and ({total}) >= {least})"
-    df = df.withColumn("__new", F.expr(f"if(size(__cands) > 0 and size(__base) >= 0, transform({chosen}, k -> named_struct('start', k.start, 'no', element_at(array(0, 2, 3), k.kind + 1), 'end', k.end, 'kind', element_at(array('email', 'card', 'phone'), k.kind + 1))), array())"))
-    longer = "(o.end - o.start > n.end - n.start or (o.end - o.start = n.end - n.start and (o.start < n.start or (o.start = n.start and o.no < n.no))))"
-    kept = f"filter(__new, n -> not exists(__new, o -> o.start < n.end and n.start < o.end and {longer}))"
-    df = df.withColumn("__all", F.expr(f"if(size(__new) > 0, array_sort(concat(__base, {kept})), __base)"))
-    return df.select("row", "text", F.col("__base").alias("base"), F.col("__all").alias("spans"))
+        return df.select("row", "text", F.expr(SPANS).alias("base"), F.expr(SPANS).alias("spans"))
+    df = _proposals(df)
+    total = " + ".join(_sql(t, list(FEATURES)) for t in model.trees) or "0.0D"
+    least = "case k.kind " + " ".join(f"when {i} then {'9e9D' if math.isinf(t) else f'{t - 1e-6!r}D'}" for i, t in enumerate(model.thresholds)) + " end"
+    # each step refers once to the one before, so that a filter on the result, which the optimiser pushes down through
+    # all of them, computes it twice and not twice a step
+    new = f"transform(filter(transform({_apart('__cands', 'b')}, c -> named_struct('start', c.start, 'end', c.end, 'kind', c.kind, {_features()})), k -> ({total}) >= {least}), k -> named_struct('start', k.start, 'no', k.kind, 'end', k.end))"
+    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    df = df.withColumn("__s", F.expr(_let("b", "__base", f"named_struct('base', {SPANS.replace('__base', 'b')}, 'new', {new})")))
+    df = df.withColumn("__s", F.expr(_let("s", "__s", "named_struct('base', s.base, 'new', s.new, 'kept', filter(s.new, x -> x.no = 0))")))
+    for no in range(1, len(KINDS)):
+        kept = f"concat(o.kept, {_apart(f'filter(o.new, x -> x.no = {no})', 'o.kept')})"
+        df = df.withColumn("__s", F.expr(_let("o", "__s", f"named_struct('base', o.base, 'new', o.new, 'kept', {kept})")))
+    added = f"transform(s.kept, x -> named_struct('start', x.start, 'no', x.no, 'end', x.end, 'kind', {names}[x.no]))"
+    df = df.withColumn("__s", F.expr(_let("s", "__s", f"named_struct('base', s.base, 'spans', if(size(s.kept) > 0, array_sort(concat(s.base, {added})), s.base))")))
+    return df.select("row", "text", F.col("__s.base").alias("base"), F.col("__s.spans").alias("spans"))
 
 
 def detect(docs: DataFrame, model: PiiModel) -> DataFrame:
@@ -261,21 +337,28 @@ def detect(docs: DataFrame, model: PiiModel) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: PiiModel) -> DataFrame:
-    """docs with each span of its texts replaced by its kind in brackets; overlapping spans become one, of the first's kind."""
-    merged = (
-        "aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint,kind:string>>), (a, s) ->"
-        " if(size(a) > 0 and element_at(a, -1).end > s.start,"
-        " concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end), 'kind', element_at(a, -1).kind))),"
-        " concat(a, array(named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))))"
-    )
-    df = detected(docs, model).withColumn("__m", F.expr(f"if(size(spans) > 0, {merged}, array())"))
-    begin = "if(i = 0, 0, __m[i - 1].end)"
-    pieces = f"transform(__m, (s, i) -> concat(substring(text, cast({begin} + 1 as int), cast(s.start - {begin} as int)), '[', upper(s.kind), ']'))"
-    text = f"if(size(__m) > 0, concat(array_join({pieces}, ''), substring(text, cast(element_at(__m, -1).end + 1 as int))), text)"
+    """docs with each span of its texts replaced by its kind in brackets; overlapping spans become one, of the first's kind.
+
+    Texts without a span, null and empty ones too, stay as they are; rows keep their number.
+    """
+    ended = _running("transform(spans, x -> x.end)", "0L", "greatest(a, x)")  # the farthest end before each span
+    firsts = "filter(transform(spans, (x, i) -> if(e[i] <= x.start, i, -1)), x -> x >= 0)"
+    last = "aggregate(spans, 0L, (a, x) -> greatest(a, x.end))"
+    merged = f"transform(f, (x, i) -> named_struct('start', spans[x].start, 'end', if(i + 1 < size(f), e[f[i + 1]], {last}), 'kind', spans[x].kind))"
+    df = detected(docs, model).withColumn("__m", F.expr(f"if(size(spans) > 0, {_let('e', ended, _let('f', firsts, merged))}, array())"))
+    # the text in as many parts as there are spans in a part, so that each piece is cut out of a short string
+    per = "cast(ceil(sqrt(size(__m))) as int)"
+    begin = "cast(if(p = 0, 0, __m[p * n - 1].end) as int)"
+    end = "cast(least((p + 1) * n, size(__m)) as int)"
+    piece = "concat(substring(z, cast(if(i = 0, 0, b[i - 1].end - o) + 1 as int), cast(s.start - if(i = 0, o, b[i - 1].end) as int)), '[', upper(s.kind), ']')"
+    part = _let("z", f"substring(text, {begin} + 1, cast(__m[{end} - 1].end as int) - {begin})", _let("o", begin, _let("b", f"slice(__m, cast(p * n + 1 as int), {end} - cast(p * n as int))", f"array_join(transform(b, (s, i) -> {piece}), '')")))
+    parts = _let("n", per, f"array_join(transform(sequence(0, (size(__m) - 1) div n), p -> {part}), '')")
+    text = f"if(size(__m) > 0, concat({parts}, substring(text, cast(element_at(__m, -1).end + 1 as int))), text)"
     return df.withColumn("__out", F.expr(text)).select(*[F.col("__out").alias("text") if c == "text" else f"row.{c}" for c in docs.columns])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    """detect() over the table documents by a model of its own texts; rows as there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = detect(docs, train(docs))
     joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
