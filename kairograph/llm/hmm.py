@@ -39,8 +39,8 @@ OWN, REST = 4096, 256
 KNOWN = 200_000
 FLUSH = 200_000
 STATES = 8
-PASSES = 3
-FREQUENT = 48  # classes whose shares of a text tell the first states apart
+PASSES = 2
+FREQUENT = 32  # classes whose shares of a text tell the first states apart
 SURE = 0.9  # of a class's first emissions from its cluster's state
 STICKY = 0.8  # of a state's first chance to follow itself
 SEGMENT = 512
@@ -232,13 +232,14 @@ def _products(classes: np.ndarray, first: np.ndarray, length: np.ndarray, model:
     return out[back], logs[back]
 
 
-def boundaries(classes: np.ndarray, of: Segments, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def boundaries(classes: np.ndarray, of: Segments, model: Hmm, single: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per segment the forward vector before it and at its end (sums are 1), the backward vector at its end (so that its
-    product with the forward one is 1), and log10 of the probability that it adds."""
+    product with the forward one is 1), and log10 of the probability that it adds; without `single`, texts of one
+    segment are passed over, as they have no cut."""
     k = len(model.start)
     ahead, behind = np.zeros((len(of.text), k)), np.ones((len(of.text), k))
     logs = np.zeros(len(of.text))
-    head = np.flatnonzero(of.number == 0)
+    head = np.flatnonzero((of.number == 0) & (single | np.append(of.number[1:] > 0, False)))
     product, logs[head] = _products(classes, of.first[head], of.length[head], model, model.start)
     ahead[head] = product[:, 0]
     rest = np.flatnonzero(of.number > 0)
@@ -267,7 +268,7 @@ def expectations(classes: np.ndarray, lengths: np.ndarray, model: Hmm) -> tuple[
     k = len(model.start)
     start, step, emit = np.zeros(k), np.zeros((k, k)), np.zeros((k, CLASSES))
     cut = Segments.of(lengths)
-    before, _, behind, _ = boundaries(classes, cut, model)
+    before, _, behind, _ = boundaries(classes, cut, model, single=False)
     groups = np.cumsum(cut.length) // GROUP
     for g in np.unique(groups):
         of = groups == g
@@ -411,7 +412,8 @@ def score(docs: DataFrame, mod: int = 10) -> DataFrame:
     model = baum_welch(learnt, class_shares(lex))
     rare = encoded.select("key", F.inline(F.arrays_zip(F.col("rare").alias("word"), F.col("rare_n").alias("times"))))
     rare = rare.toDF("key", "word", "times")
-    hot = hot_keys(rare, ["word"], rare.count(), BUCKET)  # a word may be frequent outside the training part alone
+    tokens_ = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]  # rare rows at most
+    hot = hot_keys(rare, ["word"], tokens_, BUCKET)  # a word may be frequent outside the training part alone
     rare = salted_join(rare, counts, ["word"], hot, ["key"], "left")
     sums = rare.groupBy("key").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ALPHA)).alias("rare_base"),
