@@ -41,7 +41,9 @@ TEMPLATES = {
 
 
 class Client(Protocol):
-    def ask(self, task: str, values: dict[str, str]) -> str: ...
+    def ask(self, task: str, values: dict[str, str], schema: dict | None = None) -> str:
+        """schema: the JSON schema that the output has to follow; None for plain text."""
+        ...
 
 
 def prompt(task: str, values: dict[str, str]) -> str:
@@ -88,24 +90,16 @@ def _checked(value: Any, kind: T.DataType, allowed: dict, optional: tuple[str, .
     return value
 
 
-def harden(schema: dict) -> dict:
-    """A JSON schema whose objects, at every depth, allow no properties but their own."""
-    if schema.get("type") == "object":
-        schema.setdefault("additionalProperties", False)
-    for key in ("properties", "$defs"):
-        for part in schema.get(key, {}).values():
-            harden(part)
-    if isinstance(schema.get("items"), dict):
-        harden(schema["items"])
-    return schema
-
-
-def json_schema(kind: T.DataType) -> dict:
+def json_schema(kind: T.DataType, allowed: dict[str, tuple[str, ...]] | None = None, optional: tuple[str, ...] = (), name: str = "") -> dict:
+    """The JSON schema of what validated() accepts: objects are closed, fields all listed, vocabularies enumerated."""
     if isinstance(kind, T.StructType):
-        return {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in kind.fields}, "required": kind.names}
+        fields = {f.name: json_schema(f.dataType, allowed, optional, f.name) for f in kind.fields}
+        return {"type": "object", "additionalProperties": False, "required": list(fields), "properties": fields}
     if isinstance(kind, T.ArrayType):
-        return {"type": "array", "items": json_schema(kind.elementType)}
-    return {"type": "string"}
+        return {"type": "array", "items": json_schema(kind.elementType, allowed, optional, name)}
+    null = name in optional
+    words = (allowed or {}).get(name)
+    return {"type": ["string", "null"] if null else "string"} | ({"enum": [*words, *([None] if null else [])]} if words else {})
 
 
 # ---------------------------------------------------------------- batches
@@ -120,6 +114,7 @@ def ask(rows: DataFrame, client: Client, task: str, schema: str, relations: tupl
     kind = T._parse_datatype_string(schema)  # noqa: SLF001
     wanted = [c for c in rows.columns if "{" + c + "}" in TEMPLATES[task]]
     allowed = ({"relation": relations} if relations else {}) | ({"type": types} if types else {})
+    wire = json_schema(kind, allowed)
     names, fields = rows.columns, [*rows.schema.fields, *kind.fields, *([T.StructField(failed, T.StringType())] if failed else [])]
 
     def run(batches: Iterator) -> Iterator:
@@ -133,7 +128,7 @@ def ask(rows: DataFrame, client: Client, task: str, schema: str, relations: tupl
                 key = hashlib.sha256(json.dumps([task, values], sort_keys=True).encode()).hexdigest()
                 if key not in known:
                     try:
-                        known[key] = (validated(client.ask(task, values), kind, allowed), None)
+                        known[key] = (validated(client.ask(task, values, wire), kind, allowed), None)
                     except InvalidOutput as wrong:
                         if failed is None:
                             raise
@@ -148,10 +143,8 @@ def ask(rows: DataFrame, client: Client, task: str, schema: str, relations: tupl
 # ---------------------------------------------------------------- clients
 
 
-class TransientError(Exception):
-    def __init__(self, status: int | str, body: str = ""):
-        super().__init__(f"{status}: {body[:80]}")
-        self.status = status
+class TransientError(ConnectionError):
+    """A refusal that may pass: the service is busy or asks for patience."""
 
 
 def with_retries(call: Callable[[], Any], attempts: int = 5, delay: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> Any:
@@ -159,7 +152,7 @@ def with_retries(call: Callable[[], Any], attempts: int = 5, delay: float = 5.0,
     for attempt in range(attempts):
         try:
             return call()
-        except (TransientError, TimeoutError, ConnectionError):
+        except (TimeoutError, ConnectionError):
             if attempt + 1 == attempts:
                 raise
             sleep(delay * 2**attempt)
@@ -175,10 +168,10 @@ class HttpClient:
         if not self.key:
             raise ValueError(f"a key, or {key_variable} in the environment, is needed")
 
-    def ask(self, task: str, values: dict[str, str], schema: T.DataType | None = None) -> str:
+    def ask(self, task: str, values: dict[str, str], schema: dict | None = None) -> str:
         body: dict[str, Any] = {"model": self.model, "input": prompt(task, values)}
         if schema is not None:
-            body["text"] = {"format": {"type": "json_schema", "name": task, "schema": harden(json_schema(schema))}}
+            body["text"] = {"format": {"type": "json_schema", "name": task, "strict": True, "schema": schema}}
         answer = with_retries(lambda: (self.post or self._post)(body))
         return answer["output"][0]["content"][0]["text"]
 
@@ -189,7 +182,7 @@ class HttpClient:
                 return json.load(answer)
         except urllib.error.HTTPError as wrong:
             if wrong.code in (429, 503):
-                raise TransientError(wrong.code, wrong.read().decode(errors="replace")) from wrong
+                raise TransientError(f"{wrong.code}: {wrong.read(200).decode(errors='replace')}") from wrong
             raise
 
 
@@ -205,7 +198,7 @@ class RulesClient:
         """entities: name as it stands in texts (any case) -> type."""
         self.entities = entities
 
-    def ask(self, task: str, values: dict[str, str]) -> str:
+    def ask(self, task: str, values: dict[str, str], schema: dict | None = None) -> str:
         return {"extract": self._extract, "route": self._route, "consolidate": self._consolidate, "answer": self._answer}[task](values)
 
     def _found(self, text: str) -> list[tuple[int, str]]:

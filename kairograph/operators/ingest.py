@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kairograph.functions.text import normalize
 from kairograph.operators.lookup import Graph, first_per
 from kairograph.operators.resolve import canonical
-from kairograph.schema import MENTION
+from kairograph.schema import MENTION, MENTION_FACT
 
 
 @dataclass
@@ -53,7 +53,7 @@ def plan(nodes: DataFrame, edges: DataFrame, graph: Graph) -> Ingested:
     distinct = named.groupBy("id", "episode_id").agg(F.min("reference_time").alias("valid_from"))
     mentions = distinct.select(
         F.col("id").alias("source"), F.col("episode_id").alias("target"), F.lit(MENTION).alias("relation"),
-        F.lit("named in this episode").alias("fact"), "valid_from",
+        F.lit(MENTION_FACT).alias("fact"), "valid_from",
     )
     mentions = mentions.join(graph.open_edges().select(*key).distinct(), key, "left_anti")
     rejects = linked.where(~whole).select("episode_id", F.col("source_name").alias("source"), F.col("target_name").alias("target"), "relation", "fact")
@@ -74,7 +74,11 @@ def new_episodes(incoming: DataFrame, graph: Graph) -> DataFrame:
 
 
 def write(store, episodes: DataFrame, extracted: DataFrame) -> dict[str, int]:
-    """Append a batch to a Store: episodes (id, text, ...), extracted (episode_id, seq, reference_time, nodes, edges)."""
+    """Append a batch to a Store: episodes (id, text, ...), extracted (episode_id, seq, reference_time, nodes, edges).
+
+    Episodes come last: after a crash in between, the batch's source ids aren't in the store yet, the batch runs again,
+    and what it had written by then is known to the plan and left out.
+    """
     from kairograph.operators.settle import settle
     from kairograph.operators.store import edge_id
 
@@ -84,7 +88,6 @@ def write(store, episodes: DataFrame, extracted: DataFrame) -> dict[str, int]:
     nodes, edges, mentions, rejects = settle(found.nodes), settle(found.edges), settle(found.mentions), settle(found.rejects)
     dirty = settle(graph.entities.where(F.coalesce("consolidated", F.lit(False))).join(found.touched, "id", "left_semi").select("id"))
     now = F.current_timestamp()
-    store.append("episodes", episodes)
     order = F.struct("seq", "pos").alias("__order")
     store.append("entities", nodes.select("id", "type", "name", F.lit(False).alias("consolidated"), now.alias("created_at"), order))
     for rows, more in ((edges, [order]), (mentions, [])):
@@ -92,4 +95,5 @@ def write(store, episodes: DataFrame, extracted: DataFrame) -> dict[str, int]:
         store.append("edges", rows.select(*base, F.lit(1.0).alias("confidence"), now.alias("ingested_at"), *more))
     if not dirty.isEmpty():
         store.patch_many("entities", dirty.withColumn("consolidated", F.lit(False)))
+    store.append("episodes", episodes)
     return {"episodes": episodes.count(), "nodes": nodes.count(), "edges": edges.count(), "mentions": mentions.count(), "rejects": rejects.count()}

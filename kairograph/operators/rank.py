@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.functions.temporal import iso, score, utc
+from kairograph.operators.settle import settle
 from kairograph.schema import MENTION
 
 
@@ -18,9 +19,23 @@ def live(found: DataFrame) -> DataFrame:
     return found.where(F.coalesce(F.col("score") != 0.0, F.lit(True)) & (F.col("relation") != MENTION))
 
 
+def placed(found: DataFrame, name: str, *order) -> DataFrame:
+    """With the place of each row, from 1, in the order: a range-partitioned sort, and one row a partition of how many
+    rows come before it, so that no task gets all rows."""
+    at = F.monotonically_increasing_id()
+    rows = settle(found.orderBy(*order).withColumn("__part", F.shiftright(at, 33)).withColumn("__at", at.bitwiseAND((1 << 33) - 1)))
+    sizes = sorted((r["__part"], r["n"]) for r in rows.groupBy("__part").agg(F.count("*").alias("n")).collect())  # a row a partition
+    before, ahead = [], 0
+    for part, n in sizes:
+        before.append((part, ahead))
+        ahead += n
+    offsets = found.sparkSession.createDataFrame(before, "__part long, __before long")
+    return rows.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+
+
 def ranked(found: DataFrame) -> DataFrame:
-    """With rank, from 1, by falling score, ties by seq. For results of one answer: ranking all is one sort."""
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "seq")).cast("long"))
+    """With rank, from 1, by falling score, ties by seq."""
+    return placed(found, "rank", F.desc("score"), "seq")
 
 
 def api_rows(found: DataFrame) -> DataFrame:

@@ -16,4 +16,14 @@ def settle(df: DataFrame) -> DataFrame:
 def ready(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kairograph-"))
+        context.setCheckpointDir(shared_dir(spark))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset a temporary folder, if Spark is a single process, and else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="kairograph-")
+    return found.rstrip("/")

@@ -1,8 +1,9 @@
 """A graph in append-only Parquet logs.
 
 Every write appends rows with a higher seq; the latest row of an id is its state, so the logs are also the history of
-what was known when. Edges are written in partitions by is_open and sorted by source within files, so that point
-lookups read few row groups. Checks and appends of a batch are one plan: invalid rows are returned, not raised, but for
+what was known when. An edge's id, ends and relation never change and are what its versions are grouped by, so a filter on
+them reaches the files: these are in partitions by relation and sorted by source, so that a lookup by source reads few row
+groups of few files. Whether an edge is open changes from version to version, so it can be no part of the layout. Checks and appends of a batch are one plan: invalid rows are returned, not raised, but for
 the single-row calls, which raise as a caller of one row expects.
 """
 
@@ -14,7 +15,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kairograph.functions.temporal import is_open, utc
+from kairograph.functions.temporal import utc
 from kairograph.operators.lookup import Graph, exists
 from kairograph.operators.settle import settle
 from kairograph.schema import TABLES
@@ -25,10 +26,15 @@ PATCHABLE = {
 }
 
 
+#: Columns that no later version of a row changes.
+FIXED = ("id", "source", "target", "relation")
+
+
 def latest(log: DataFrame) -> DataFrame:
     """The row of the highest seq for each id, with the first version's seq as its place in order."""
-    row = F.struct(*[c for c in log.columns if c != "seq"])
-    return log.groupBy("id").agg(F.max_by(row, "seq").alias("r"), F.min("seq").alias("seq")).select("r.*", "seq").select(*log.columns)
+    fixed = [c for c in FIXED if c in log.columns]
+    row = F.struct(*[c for c in log.columns if c != "seq" and c not in fixed])
+    return log.groupBy(*fixed).agg(F.max_by(row, "seq").alias("r"), F.min("seq").alias("seq")).select(*fixed, "r.*", "seq").select(*log.columns)
 
 
 def edge_id(*more: Column) -> Column:
@@ -65,7 +71,7 @@ class Store:
         where = f"{self.path}/{name}"
         if not self._has(where):
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(where).drop("is_open")
+        return self.spark.read.schema(TABLES[name]).parquet(where).select(*[f.split()[0] for f in TABLES[name].split(", ")])
 
     def graph(self) -> Graph:
         return Graph(*(latest(self.log(n)) for n in ("entities", "edges", "episodes")))
@@ -80,7 +86,7 @@ class Store:
                 rows = rows.withColumn(field, F.lit(None).cast(kind))
         out = rows.select(*fields)
         if name == "edges":
-            out.withColumn("is_open", is_open()).sortWithinPartitions("source").write.mode("append").partitionBy("is_open").parquet(f"{self.path}/{name}")
+            out.sortWithinPartitions("relation", "source").write.mode("append").partitionBy("relation").parquet(f"{self.path}/{name}")
         else:
             out.sortWithinPartitions("id").write.mode("append").parquet(f"{self.path}/{name}")
 

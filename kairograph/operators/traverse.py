@@ -56,9 +56,13 @@ def neighbourhood(graph: Graph, id: str, depth: int = 2) -> DataFrame:
     return _touching(edges, near, ("source", "target"))
 
 
-def reach(pairs: DataFrame, start: DataFrame, stop: str | None = None, limit: int = 100_000) -> DataFrame:
-    """(n, dist) of all that pairs (n, m) reach from start (n), itself at 0; stops at the level that meets `stop`."""
-    pairs = settle(pairs.distinct())
+def reach(pairs: DataFrame, start: DataFrame, stop: str | None = None, limit: int = 100_000, settled: bool = False) -> DataFrame:
+    """(n, dist) of all that pairs (n, m) reach from start (n), itself at 0; stops at the level that meets `stop`.
+
+    `settled`: pairs are distinct and in the shared folder already.
+    """
+    if not settled:
+        pairs = settle(pairs.distinct())
     seen = settle(start.select("n", F.lit(0).alias("dist")))
     level = seen
     for dist in range(1, limit + 1):
@@ -89,7 +93,7 @@ def path_nodes(graph: Graph, source: str, target: str, mode: str = "compat") ->
         return []
     edges = graph.edges if mode == "compat" else graph.edges.where(is_open() & (F.col("relation") != MENTION))
     pairs = settle(_both_ways(edges).where("n <> m").distinct())
-    away = settle(reach(pairs, _single(graph, target), stop=source))
+    away = settle(reach(pairs, _single(graph, target), stop=source, settled=True))
     at = away.where(F.col("n") == source).select("dist").first()
     if at is None:
         return []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kairograph.clients import Client, validated
+from kairograph.clients import Client, json_schema, validated
 from kairograph.operators import rank, traverse
 from kairograph.operators.lookup import Graph
 from kairograph.schema import DIRECTIONS, INTENT, PATTERNS, RELATIONS
@@ -25,9 +25,10 @@ class Intent:
 
 def route(question: str, client: Client) -> Intent:
     """The client's intent; anything outside the vocabularies raises."""
-    raw = client.ask("route", {"question": question})
-    allowed = {"pattern": PATTERNS, "relation": RELATIONS, "direction": DIRECTIONS}
-    return Intent(**validated(raw, T._parse_datatype_string(INTENT), allowed, optional=("relation", "direction", "target_entity")))  # noqa: SLF001
+    kind = T._parse_datatype_string(INTENT)  # noqa: SLF001
+    allowed, optional = {"pattern": PATTERNS, "relation": RELATIONS, "direction": DIRECTIONS}, ("relation", "direction", "target_entity")
+    raw = client.ask("route", {"question": question}, json_schema(kind, allowed, optional))
+    return Intent(**validated(raw, kind, allowed, optional=optional))
 
 
 def check(graph: Graph, intent: Intent) -> dict | None:
@@ -56,9 +57,7 @@ def execute(graph: Graph, intent: Intent, now, mode: str = "compat") -> DataFram
     anchor, relation = intent.anchor_entity, intent.relation
     if intent.pattern == "history":
         found = rank.scored(traverse.history(graph, anchor, relation, intent.direction or "out"), now)
-        from pyspark.sql import Window
-
-        return found.withColumn("rank", F.row_number().over(Window.orderBy("valid_from", "seq")).cast("long"))
+        return rank.placed(found, "rank", "valid_from", "seq")
     if intent.pattern == "direct_lookup":
         found = traverse.direct_lookup(graph, anchor, relation, intent.direction or "out")
     elif intent.pattern == "neighborhood":

@@ -17,6 +17,8 @@ INTENT = "pattern string, anchor_entity string, relation string, direction strin
 CONSOLIDATION = "summary string, semantic_edges array<struct<relation:string,target:string,fact:string>>, episodic_only array<string>"
 
 MENTION = "MENTIONED_IN"
+#: Fixed value: the fact of a mention.
+MENTION_FACT = "entity mentioned in this episode"
 NODE_TYPES = ("person", "service", "team", "tool", "concept")
 STANDING_RELATIONS = ("MEMBER_OF", "OWNS", "DEPENDS_ON", "USES", "REPORTED", "RESOLVED_BY")
 RELATIONS = (*STANDING_RELATIONS, MENTION)

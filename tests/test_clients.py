@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 from kairograph import clients
+from kairograph.plans import router
 from kairograph.schema import CONSOLIDATION, EXTRACTION, INTENT, PATTERNS, RELATIONS, STANDING_RELATIONS
 
 pytestmark = pytest.mark.usefixtures("spark")  # schemas are parsed by the session
@@ -66,19 +67,31 @@ def test_http_client(monkeypatch):
         clients.HttpClient("http://x", "m")
     sent = []
     client = clients.HttpClient("http://x", "m", key="k", post=lambda body: sent.append(body) or {"output": [{"content": [{"text": "out"}]}]})
-    assert client.ask("route", {"question": "q?"}, parsed(INTENT)) == "out"
+    assert client.ask("route", {"question": "q?"}, clients.json_schema(parsed(INTENT))) == "out"
     assert sent[0]["text"]["format"]["schema"]["additionalProperties"] is False and "q?" in sent[0]["input"]
 
 
-def test_harden_goes_down():
-    schema = {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "object", "properties": {}}}}, "$defs": {"b": {"type": "object"}}}
-    clients.harden(schema)
-    assert schema["properties"]["a"]["items"]["additionalProperties"] is False and schema["$defs"]["b"]["additionalProperties"] is False
+def test_schemas_are_closed_and_hold_the_vocabularies():
+    got = clients.json_schema(parsed(CONSOLIDATION), {"relation": STANDING_RELATIONS})
+    inner = got["properties"]["semantic_edges"]["items"]
+    assert got["additionalProperties"] is False and inner["additionalProperties"] is False and inner["required"] == ["relation", "target", "fact"]
+    assert inner["properties"]["relation"] == {"type": "string", "enum": list(STANDING_RELATIONS)}
+    assert clients.json_schema(parsed(INTENT), {"relation": RELATIONS}, ("relation",))["properties"]["relation"] == {"type": ["string", "null"], "enum": [*RELATIONS, None]}
+
+
+def test_every_structured_call_sends_its_schema(spark):
+    class Seen:
+        def ask(self, task, values, schema=None):
+            assert schema["additionalProperties"] is False and schema["required"]
+            return json.dumps({"nodes": [], "edges": [], "unmapped_entities": [], "unmapped_relations": []} if task == "extract" else {"pattern": "neighborhood", "anchor_entity": "a"})
+
+    assert router.route("?", Seen()).anchor_entity == "a"
+    assert clients.ask(spark.createDataFrame([("t",)], "text string"), Seen(), "extract", EXTRACTION).count() == 1
 
 
 def test_batch_keeps_errors_where_asked(spark):
     class Half:
-        def ask(self, task, values):
+        def ask(self, task, values, schema=None):
             return "{" if "bad" in values["text"] else json.dumps({"nodes": [], "edges": [], "unmapped_entities": [], "unmapped_relations": []})
 
     rows = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "i int, text string")

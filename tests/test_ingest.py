@@ -99,7 +99,7 @@ def test_unresolved_targets_are_logged(spark, tmp_path):
     store.add_edge("alice", "ep1", "MENTIONED_IN", "", "2025-01-01")
 
     class Fixed:
-        def ask(self, task, values):
+        def ask(self, task, values, schema=None):
             return json.dumps({"summary": "s", "semantic_edges": [{"relation": "USES", "target": "No\tOne", "fact": "a\nb"}], "episodic_only": []})
 
     done = consolidate_all(store, Fixed(), unresolved_path=str(tmp_path / "rest"))

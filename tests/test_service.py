@@ -35,7 +35,7 @@ def test_answers(g, question, want):
 
 def test_unknown_anchor_gets_suggestions(g):
     class Fixed:
-        def ask(self, task, values):
+        def ask(self, task, values, schema=None):
             return '{"pattern": "neighborhood", "anchor_entity": "Service"}'
 
     got = service.answer(g, "?", Fixed(), NOW)
@@ -60,7 +60,7 @@ def test_checks(g, intent, error):
 
 def test_bad_output_is_returned_in_band(g):
     class Bad:
-        def ask(self, task, values):
+        def ask(self, task, values, schema=None):
             return '{"pattern": "dance", "anchor_entity": "alice"}'
 
     got = service.answer(g, "?", Bad(), NOW)
