@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,8 +14,10 @@ from kairograph.clients import RulesClient
 from kairograph.functions import temporal, text
 from kairograph.operators import consolidate, ingest, lookup, rank, resolve, store, traverse
 from kairograph.operators.lookup import Graph
+from kairograph.operators.settle import shared_dir
 from kairograph.plans import router, service
 from kairograph.plans.testbed import NOW, SQL, graph, table
+from kairograph.schema import MENTION, MENTION_FACT
 from kairograph.sources import calendar, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,14 +136,14 @@ def open_edges(g: Graph) -> DataFrame:
 
 # ---------------------------------------------------------------- traversals
 
-PAIRS = f"pairs as (select source as n, target as m from edges where {OPEN} union all select target, source from edges where {OPEN})"
-_near = "select 'region_1' as n"
+PAIRS = f"pairs as materialized (select source as n, target as m from edges where {OPEN} union all select target, source from edges where {OPEN})"
+_levels = "near1(n) as (select 'region_1')"
 for _depth in (1, 2, 3):
-    if _depth > 1:
-        _near = f"select n from ({_near}) union select m from pairs where n in ({_near})"
-    on_graph(f", {PAIRS}, near as ({_near}) select {SHOWN} from edges where {OPEN} and (source in (select n from near) or target in (select n from near))", f"neighborhood_d{_depth}")(
-        lambda g, d=_depth: shown(traverse.neighbourhood(g, "region_1", d))
-    )
+    if _depth > 1:  # one table a level: each is used more than once by the next
+        _levels += f", near{_depth}(n) as materialized (select n from near{_depth - 1} union select m from pairs join near{_depth - 1} on pairs.n = near{_depth - 1}.n)"
+    on_graph(
+        f", {PAIRS}, {_levels} select {SHOWN} from edges where {OPEN} and (source in (select n from near{_depth}) or target in (select n from near{_depth}))", f"neighborhood_d{_depth}"
+    )(lambda g, d=_depth: shown(traverse.neighbourhood(g, "region_1", d)))
 
 for _name, _id, _near, _far in (("impact_in", "part_1", "target", "source"), ("impact_out", "part_999", "source", "target")):
     on_graph(
@@ -215,9 +219,9 @@ def expired_filter(g: Graph) -> DataFrame:
     return rank.live(rank.scored(g.edges, NOW)).groupBy("relation").agg(F.count("*").alias("n"))
 
 
-@on_graph(f"select id, source, target, relation, fact, strftime(valid_from, '%Y-%m-%dT%H:%M:%S') as valid_from, strftime(valid_until, '%Y-%m-%dT%H:%M:%S') as valid_until, 1.0::double as confidence from edges where source = 'customer_5'")
+@on_graph(f"select id, source, target, relation, fact, strftime(valid_from, '%Y-%m-%dT%H:%M:%S') as valid_from, strftime(valid_until, '%Y-%m-%dT%H:%M:%S') as valid_until, 1.0::double as confidence, round_even({SCORE}, 4) as score from edges where source = 'customer_5'")
 def api_rows(g: Graph) -> DataFrame:
-    return rank.api_rows(rank.scored(lookup.edges_of(g, "customer_5", active_only=False), NOW)).drop("score")
+    return rank.api_rows(rank.scored(lookup.edges_of(g, "customer_5", active_only=False), NOW))
 
 
 @on_graph("select edges.id, coalesce(a.name, source) as source_name, coalesce(b.name, target) as target_name from edges left join entities a on a.id = source left join entities b on b.id = target where relation <> 'MENTIONED_IN'")
@@ -274,7 +278,7 @@ def resolve_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @on_graph("select id, name, type, row_number() over (order by lower(name), seq) as place from entities")
 def list_entities(g: Graph) -> DataFrame:
-    return g.entities.select("id", "name", "type", F.row_number().over(Window.orderBy(F.lower("name"), "seq")).cast("long").alias("place"))
+    return rank.placed(g.entities.select("id", "name", "type", "seq"), "place", F.lower("name"), "seq").drop("seq")
 
 
 @on_graph("select id, name, type, null::varchar as summary from entities where contains(lower(name), 'an') or contains(lower(id), 'an')")
@@ -417,6 +421,70 @@ def reopen_edge(g: Graph) -> DataFrame:
     return store.accept_edges(g.edges.where("relation = 'OWNS'").select("source", "target", "relation", "seq"), _closed(g))[0].drop("seq")
 
 
+def _store(spark: SparkSession) -> store.Store:
+    return store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+@query(
+    """select 'nation_' || n_nationkey as id, 'team' as type, n_name as name, case when n_nationkey % 2 = 0 then 'summary of ' || n_name end as summary, n_nationkey % 2 = 0 and n_nationkey <> 4 as consolidated from nation
+    union all select 'late', 'person', 'Late One', null, false""",
+    graph_sql=False,
+)
+def store_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Created in a batch and singly, patched in a batch, marked dirty again singly, read back."""
+    kg, nation = _store(spark), table(spark, sf_dir, "nation")
+    kg.append("entities", nation.select(F.concat(F.lit("nation_"), "n_nationkey").alias("id"), F.lit("team").alias("type"), F.col("n_name").alias("name"), F.lit(False).alias("consolidated"), F.col("n_nationkey").alias("__order")))
+    kg.add_node("late", "person", "Late One")
+    even = nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("nation_"), "n_nationkey").alias("id"), F.concat(F.lit("summary of "), "n_name").alias("summary"), F.lit(True).alias("consolidated"))
+    kg.patch_many("entities", even)
+    kg.patch("entities", "nation_4", consolidated=False)
+    return kg.graph().entities.select("id", "type", "name", "summary", "consolidated")
+
+
+@query(
+    """select 'conv_' || conv_id || '_' || turn as id, text, 'conversation' as source_type, null::varchar as metadata from conversations
+    union all select 'late', 'patched', 'note', '{"k": 1}'""",
+    graph_sql=False,
+)
+def store_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Created in a batch and singly, patched, read back."""
+    kg = _store(spark)
+    kg.append("episodes", table(spark, sf_dir, "conversations").select(F.concat_ws("_", F.lit("conv"), "conv_id", "turn").alias("id"), "text", F.lit("conversation").alias("source_type")))
+    kg.add_episode("late", "first", "2024-01-01", "note", "s1", {"k": 0})
+    kg.patch("episodes", "late", text="patched", metadata={"k": 1})
+    return kg.graph().episodes.select("id", "text", "source_type", "metadata")
+
+
+class _Standing:
+    """A client whose consolidation of any entity is a summary, a known target and an unknown one."""
+
+    def ask(self, task: str, values: dict[str, str], schema: dict | None = None) -> str:
+        edges = [{"relation": "MEMBER_OF", "target": "europe!", "fact": "in Europe"}, {"relation": "USES", "target": "No Such", "fact": "nothing"}]
+        return json.dumps({"summary": f"{values['name']}: {values['episodes']}", "semantic_edges": edges, "episodic_only": []})
+
+
+@query(
+    """select 'nation_' || n_nationkey as source, 'MEMBER_OF' as relation, 'region_' || (select min(r_regionkey) from region where r_name = 'EUROPE') as target, n_name || ': 1. "text ' || n_nationkey || '"' as note from nation where n_nationkey % 3 <> 0
+    union all select 'nation_' || n_nationkey, 'USES', null, 'No Such' from nation where n_nationkey % 3 <> 0""",
+    graph_sql=False,
+)
+def store_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries and standing edges as stored, and the log of unresolved targets; nations without an episode stay pending."""
+    kg, nation, region = _store(spark), table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    named = nation.select(F.concat(F.lit("nation_"), "n_nationkey").alias("id"), F.lit("team").alias("type"), F.col("n_name").alias("name"))
+    regions = region.select(F.concat(F.lit("region_"), "r_regionkey"), F.lit("concept"), F.col("r_name"))
+    kg.append("entities", named.union(regions).withColumn("consolidated", F.col("type") == "concept"))
+    told = nation.where("n_nationkey % 3 <> 0").select("n_nationkey", F.concat(F.lit("ep_"), "n_nationkey").alias("id"), F.concat(F.lit("text "), "n_nationkey").alias("text"), temporal.utc("2024-01-01").alias("reference_time"))
+    kg.append("episodes", told.drop("n_nationkey"))
+    mentions = told.select(F.concat(F.lit("nation_"), "n_nationkey").alias("source"), F.lit(MENTION).alias("relation"), F.col("id").alias("target"), F.lit(MENTION_FACT).alias("fact"), F.col("reference_time").alias("valid_from"))
+    kg.append("edges", mentions.withColumn("id", store.edge_id()))
+    consolidate.consolidate_all(kg, _Standing(), now=dt.datetime.fromisoformat(NOW), run_id="r", unresolved_path=f"{kg.path}/unresolved")
+    g = kg.graph()
+    found = g.open_edges().where(F.col("relation") != MENTION).join(g.entities.where("consolidation_run_id = 'r'").select(F.col("id").alias("source"), F.col("summary").alias("note")), "source")
+    left = spark.read.parquet(f"{kg.path}/unresolved").select("source", "relation", F.lit(None).cast("string").alias("target"), F.col("target_name").alias("note"))
+    return found.select("source", "relation", "target", "note").union(left)
+
+
 # ---------------------------------------------------------------- episodes and consolidation
 
 
@@ -473,7 +541,10 @@ def consolidate_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENT_TEXT = "event_type || chr(10) || 'Time: ' || strftime(ts, '%Y-%m-%d') || ' to ' || chr(10) || 'Organizer: user' || user_id || '@example.com' || case when event_id % 2 = 0 then chr(10) || 'Attendees: Ann, user' || user_id else '' end || chr(10) || 'value ' || event_id"
 
 
-@query(f"select event_id, {_EVENT_TEXT} as text from events where event_id % 10 <> 9", graph_sql=False)
+@query(
+    f"select event_id, {_EVENT_TEXT} as text, strftime(ts, '%Y-%m-%d') as event_time, 'user' || user_id || '@example.com' as organizer, case when event_id % 2 = 0 then 3 else 0 end::bigint as people from events where event_id % 10 <> 9",
+    graph_sql=False,
+)
 def event_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events")
     person = "struct<displayName:string,email:string,self:boolean>"
@@ -487,7 +558,8 @@ def event_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("").alias("displayName"), F.concat(F.lit("user"), F.col("user_id")).alias("email"), F.lit(None).alias("self")).cast(person),
         )).alias("attendees"),
     )
-    return shaped.where(F.coalesce("status", F.lit("")) != "cancelled").select("event_id", calendar.event_text().alias("text"))
+    found = calendar.fetch(shaped.withColumns({"id": F.col("event_id").cast("string"), "updated": F.lit("u"), "htmlLink": F.lit("l")}), dt.datetime.fromisoformat(NOW), min_words=1)
+    return found.select(F.col("event_id").cast("long").alias("event_id"), F.col("plain_text_content").alias("text"), "event_time", "organizer", F.size("attendees").cast("long").alias("people"))
 
 
 @query("select conv_id::varchar as page_id, string_agg(text, chr(10) order by turn) as text from conversations where turn % 5 <> 4 group by conv_id", graph_sql=False)
@@ -526,17 +598,24 @@ def stats_counts(g: Graph) -> DataFrame:
 
 
 def _answer(g: Graph, question: str) -> DataFrame:
+    """Place, id and score of the response's edges, with its answer and error; a row without edges if there is none."""
     client = RulesClient({"part 1": "tool", "customer 5": "person", "part 2": "tool"})
-    import datetime as dt
-
     got = service.answer(g, question, client, dt.datetime.fromisoformat(NOW))
-    row = (question, got["error"], got["answer"], json.dumps(got["edges"], sort_keys=True))
-    return g.entities.sparkSession.createDataFrame([row], "question string, error string, answer string, edges string")
+    edges = [(i, e["id"], e["score"], e["valid_from"]) for i, e in enumerate(got["edges"], 1)] or [(0, None, None, None)]
+    return g.entities.sparkSession.createDataFrame([(*e, got["answer"], got["error"]) for e in edges], "place long, id string, score double, valid_from string, answer string, error string")
+
+
+def _answer_sql(where: str, order: str) -> str:
+    return f""", s as (select *, {SCORE} as score from edges where {where}), r as (select *, row_number() over (order by {order}) as place, count(*) over () as n from s)
+    select place, id, round_even(score, 4) as score, strftime(valid_from, '%Y-%m-%dT%H:%M:%S') as valid_from, (select n || ' facts answer this; the first is: ' || fact || ' (' || source || ' ' || relation || ' ' || target || ')' from r where place = 1) as answer,
+    null::varchar as error from r"""
 
 
-on_graph(None, "answer_direct")(lambda g: _answer(g, "Who owns part 1?"))
-on_graph(None, "answer_history")(lambda g: _answer(g, "What has customer 5 been in over time?"))
-on_graph(None, "answer_error")(lambda g: _answer(g, "Who owns the moon?"))
+on_graph(_answer_sql(f"target = 'part_1' and relation = 'OWNS' and {OPEN}", "score desc, seq"), "answer_direct")(lambda g: _answer(g, "Who owns part 1?"))
+on_graph(_answer_sql("source = 'customer_5' and relation = 'MEMBER_OF'", "edges.valid_from, seq").replace("order by edges.", "order by s."), "answer_history")(lambda g: _answer(g, "What has customer 5 been in over time?"))
+query("select 0::bigint as place, null::varchar as id, null::double as score, null::varchar as valid_from, null::varchar as answer, 'There is no entity ''who_owns_the_moon''.' as error", "answer_error", graph_sql=False)(
+    lambda spark, sf_dir: _answer(graph(spark, sf_dir), "Who owns the moon?")
+)
 
 
 @on_graph(f", s as (select *, {SCORE} as score from edges where source = 'customer_5' and relation = 'USES') select id, score, row_number() over (order by valid_from, seq) as rank from s")
@@ -550,5 +629,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
-
-

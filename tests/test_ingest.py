@@ -130,3 +130,51 @@ def test_stream_runs_once_a_row(spark, tmp_path):
 def test_extraction_schema_is_what_clients_give(spark):
     names = spark.createDataFrame([], EXTRACTION).columns
     assert names == ["nodes", "edges", "unmapped_entities", "unmapped_relations"]
+
+
+@pytest.mark.parametrize("fails", ["entities", "edges", "patch", "episodes"])
+def test_a_crash_between_writes_loses_nothing(spark, tmp_path, fails):
+    whole, broken, client = Store(spark, str(tmp_path / "a")), Store(spark, str(tmp_path / "b")), RulesClient(NAMES)
+    nameless = incoming(spark, [(None, "Alice uses Postgres.", "2025-05-01"), (None, "Alice uses Postgres.", "2025-05-01")])
+    for store in (whole, broken):
+        ingest_batch(store, incoming(spark, EPISODES[:2]), client)
+        store.patch("entities", "alice", consolidated=True)
+    batch = incoming(spark, EPISODES).union(nameless)
+    ingest_batch(whole, batch, client, "b1")
+    name = "patch_many" if fails == "patch" else "append"
+    working = getattr(broken, name)
+
+    def failing(log, rows):
+        if fails in ("patch", log):
+            raise OSError("gone")
+        working(log, rows)
+
+    setattr(broken, name, failing)
+    with pytest.raises(OSError):
+        ingest_batch(broken, batch, client, "b1")
+    setattr(broken, name, working)
+    for _ in range(2):  # again, and once more than needed
+        ingest_batch(broken, batch, client, "b1")
+
+    def state(store):
+        g = store.graph()
+        return (
+            sorted((r.id, r.name, r.consolidated) for r in g.entities.collect()), sorted((r.id, r.text) for r in g.episodes.collect()),
+            sorted((r.source, r.relation, r.target, r.fact, str(r.valid_from), str(r.valid_until)) for r in g.edges.collect()),
+        )
+
+    assert state(whole) == state(broken) and len(state(whole)[1]) == 7
+
+
+def test_lookups_by_source_reach_the_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "kg"))
+    for id in ("alice", "team"):
+        store.add_node(id, "person", id)
+    edge = store.add_edge("alice", "team", "MEMBER_OF", "f", "2025-01-01")
+    store.close_edge(edge, "2025-02-01")
+    store.add_edge("alice", "team", "OWNS", "g", "2025-01-01")
+    found = lookup.edges_of(store.graph(), "alice", relation="MEMBER_OF", active_only=False)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*relation[^\]]*MEMBER_OF", plan) and re.search(r"PushedFilters: \[[^\]]*EqualTo\(source,alice\)", plan)
+    assert [(r.fact, r.valid_until is not None) for r in found.collect()] == [("f", True)]
+    assert [r.fact for r in lookup.current_facts(store.graph(), "alice").collect()] == ["g"]
