@@ -1,8 +1,9 @@
 """Connected components by alternating star contraction, wholly in joins and aggregates.
 
-Each round is two equi-joins with a minimum per node. Nothing is collected but one row of convergence figures. A hub's
-edges are dealt over parts of at most HUB rows (more only beyond HUB * HOT_KEYS edges), each of which gets the hub's
-minimum, so no task reads a hub whole; each round's edges are a table in the shared folder.
+Each round is two equi-joins with a minimum per node. Nothing is collected but one row of figures, which tells
+convergence and the largest degree. While that is over HUB, hubs' edges are dealt over parts of at most HUB rows (more
+only beyond HUB * HOT_KEYS edges), each of which gets the hub's minimum, so no task reads a hub whole; without hubs the
+joins are plain. Each round's edges are a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ def local_components(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """Edges (u, v) with m, the least v of their u."""
+    """Edges (u, v) with m, the least v of their u; total: of edges if some u may be a hub, else 0."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    if not total:
+        return edges.join(least.hint("merge"), "u")
     return salted_join(edges, least, ["u"], hot_keys(edges, ["u"], total, HUB), ["v"])
 
 
@@ -49,6 +52,14 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
+def _figures(edges: DataFrame) -> tuple:
+    """Of distinct edges: their number, the sum of their hashes, and the largest degree."""
+    hashed = F.xxhash64("u", "v").cast("decimal(38,0)")
+    both = edges.select("u", hashed.alias("h")).union(edges.select("v", F.lit(0).cast("decimal(38,0)")))
+    row = both.groupBy("u").agg(F.count("*").alias("n"), F.sum("h").alias("h")).agg(F.sum("n"), F.sum("h"), F.max("n")).first()
+    return (row[0] or 0) // 2, row[1], row[2] or 0
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Of edges (u, v), bigint nodes, either direction, repeats and loops allowed: one row (node, component).
 
@@ -61,20 +72,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
-    figures, total = None, now.count()
-    for _ in range(rounds if total else 0):
-        star = durable(_large_star(now, total), "edges")
+    figures = _figures(now)
+    for _ in range(rounds if figures[0] else 0):
+        total = figures[0] if figures[2] > HUB else 0  # an edge's ends have as many edges at most after a large star
+        star = _large_star(now, total)
+        if total:
+            star = durable(star, "edges")
         following = durable(_small_star(star, total), "edges")
         forget(now)
         forget(star)
-        now = following
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        total = row[0]
-        if tuple(row) == figures:
+        now, before = following, figures
+        figures = _figures(now)
+        if figures[:2] == before[:2]:
             break
-        figures = tuple(row)
     else:
-        if total:
+        if figures[0]:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
