@@ -1,15 +1,18 @@
 """Paged JSON APIs as a Spark data source: one partition a feed, pages followed by their cursor, requests retried.
 
-The transport is any function (method, url, body) -> (status, headers, JSON), so that tests and other networks bring
+The transport is any function (method, url, body), with headers if any are set, -> (status, headers, JSON), so that tests and other networks bring
 their own; it is named by `transport`, "module:function", and imported where the tasks run.
 """
 
 from __future__ import annotations
 
+import functools
 import importlib
 import json
+import os
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -43,19 +46,36 @@ def request(send: Transport, method: str, url: str, body: dict | None = None, at
     raise RuntimeError(f"no answer after {attempts} attempts: {url}")
 
 
-def pages(send: Transport, method: str, url: str, body: dict, items: str, cursor_in: str, cursor_out: str, **retry: Any) -> Iterator[dict]:
-    """Items of all pages; the cursor of an answer is sent with the next request until there is none."""
+def pages(
+    send: Transport, method: str, url: str, body: dict, items: str, cursor_in: str, cursor_out: str, stop: Callable[[dict], bool] | None = None, **retry: Any
+) -> Iterator[dict]:
+    """Items of all pages; the cursor of an answer is sent with the next request until there is none.
+
+    A GET has its parameters, the cursor too, in the url's query, other methods in the body. `stop` ends a feed sorted by
+    time at the first item for which it holds, which isn't given, and asks for no further page.
+    """
     body = dict(body)
     while True:
-        answer = request(send, method, url, body, **retry)
-        yield from answer.get(items, [])
+        if method == "GET":
+            query = urllib.parse.urlencode(body)
+            answer = request(send, method, f"{url}{'&' if '?' in url else '?'}{query}" if query else url, None, **retry)
+        else:
+            answer = request(send, method, url, body, **retry)
+        for item in answer.get(items, []):
+            if stop is not None and stop(item):
+                return
+            yield item
         if not answer.get(cursor_out):
             return
         body[cursor_in] = answer[cursor_out]
 
 
 class FeedSource(DataSource):
-    """spark.read.format("json_feed").options(url, items, cursor_in, cursor_out, body, method, transport): column raw."""
+    """spark.read.format("json_feed").options(url, items, cursor_in, cursor_out, body, method, transport, ...): column raw.
+
+    headers: a JSON object of request headers. token_variable: the environment variable, where the tasks run, that holds
+    a bearer token. stop_field, stop_at: a feed sorted by that field, falling, is read while it is greater.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -79,6 +99,18 @@ class FeedReader(DataSourceReader):
         o = self.options
         module, _, name = o.get("transport", "kairograph.sources.feed:http").partition(":")
         send = getattr(importlib.import_module(module), name)
+        headers = json.loads(o.get("headers", "{}"))
+        if "token_variable" in o:
+            headers["Authorization"] = f"Bearer {os.environ[o['token_variable']]}"
+        if headers:
+            send = functools.partial(send, headers=headers)
         body = json.loads(o.get("body", "{}"))
-        for item in pages(send, o.get("method", "GET"), partition.value, body, o.get("items", "results"), o.get("cursor_in", "start_cursor"), o.get("cursor_out", "next_cursor")):
+        stop = None
+        if "stop_at" in o:
+            field, least = o["stop_field"], o["stop_at"]
+
+            def stop(item: dict) -> bool:
+                return (item.get(field) or "") <= least
+
+        for item in pages(send, o.get("method", "GET"), partition.value, body, o.get("items", "results"), o.get("cursor_in", "start_cursor"), o.get("cursor_out", "next_cursor"), stop):
             yield (json.dumps(item),)

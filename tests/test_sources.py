@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import urllib.parse
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,17 +72,28 @@ def test_cursor(spark, tmp_path):
     assert cursor.load(spark, path) == "2025-01-02T00:00:00+00:00"
 
 
-def fake(method, url, body):
-    """Transport of the tests: three pages of two."""
-    at = int(body.get("start_cursor", 0))
-    return 200, {}, {"results": [{"id": at}, {"id": at + 1}], "next_cursor": str(at + 2) if at < 4 else None}
+def fake(method, url, body, headers=None):
+    """Transport of the tests: three pages of two, times falling; a GET has its cursor in the url."""
+    asked = dict(urllib.parse.parse_qsl(urllib.parse.urlsplit(url).query)) if method == "GET" else body
+    assert (body is None) == (method == "GET")
+    at = int(asked.get("start_cursor", 0))
+    who = (headers or {}).get("Authorization")
+    return 200, {}, {"results": [{"id": i, "edited": f"2025-01-{20 - i}", "who": who} for i in (at, at + 1)], "next_cursor": str(at + 2) if at < 4 else None}
 
 
-def test_feed(spark):
-    assert [x["id"] for x in feed.pages(fake, "POST", "u", {}, "results", "start_cursor", "next_cursor")] == [0, 1, 2, 3, 4, 5]
+def test_feed(spark, monkeypatch):
+    for method in ("POST", "GET"):
+        assert [x["id"] for x in feed.pages(fake, method, "u", {}, "results", "start_cursor", "next_cursor")] == [0, 1, 2, 3, 4, 5]
+    asked = []
+    got = feed.pages(lambda *a: asked.append(a) or fake(*a), "GET", "u?x=1", {"page_size": 2}, "results", "start_cursor", "next_cursor", lambda x: x["edited"] <= "2025-01-18")
+    assert [x["id"] for x in got] == [0, 1] and [a[1] for a in asked] == ["u?x=1&page_size=2", "u?x=1&page_size=2&start_cursor=2"]  # the third page isn't asked for
     spark.dataSource.register(feed.FeedSource)
     rows = spark.read.format("json_feed").options(url="http://a http://b", transport="tests.test_sources:fake").load()
     assert rows.rdd.getNumPartitions() == 2 and rows.count() == 12
+    monkeypatch.setenv("FEED_TOKEN", "t")
+    reader = feed.FeedReader({"url": "u", "transport": "tests.test_sources:fake", "token_variable": "FEED_TOKEN", "headers": '{"Version": "1"}', "stop_field": "edited", "stop_at": "2025-01-17"})
+    got = [json.loads(x[0]) for p in reader.partitions() for x in reader.read(p)]
+    assert [x["id"] for x in got] == [0, 1, 2] and got[0]["who"] == "Bearer t"
 
 
 def test_feed_waits_only_for_429():
