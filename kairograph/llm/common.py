@@ -47,15 +47,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def durable(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage of df by a table written to the shared folder and read back.
+def durable(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """Cut the lineage of df by a table written to the shared folder (with the writer's options) and read back.
 
     A lost executor cannot lose it, and each later reader starts from the files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out._kairograph_path = path  # noqa: SLF001  read by forget()
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from kairograph.llm.alignment import op13
+from kairograph.llm.bestfit import op11
 from kairograph.llm.bpe import op1
 from kairograph.llm.embeddings import op3
 from kairograph.llm.hmm import op8
@@ -12,6 +14,7 @@ from kairograph.llm.pii import op5
 from kairograph.llm.quality import op10
 from kairograph.llm.simhash import op6
 from kairograph.llm.urls import OP9_SQL, op9
+from kairograph.llm.whitening import op12
 
 
 def queries() -> dict:
@@ -26,6 +29,9 @@ def queries() -> dict:
         "op8_hmm_lm": op8,
         "op9_url_filter": op9,
         "op10_quality": op10,
+        "op11_best_fit": op11,
+        "op12_whitening": op12,
+        "op13_alignment": op13,
     }
 
 
