@@ -1,24 +1,28 @@
 """Cross-tokenizer alignment: how two vocabularies cut the same bytes.
 
-Python only tokenises: ids and byte ends of both tokenizers, and the check that both give back the text. All else is
-Spark's higher-order functions on these arrays. array_intersect of the ends counts the groups; each end of either
-tokenizer closes one stretch in which one A token and one B token overlap, and every overlapping pair has exactly one such
-stretch, so links are a transform over the merged ends, and groups one over those where both end. Both find the other
-side's token by its number, without a search: work is linear in a text's tokens.
+Python only tokenises: ids and byte ends of both tokenizers, and the check that both give back the text. It does so by
+units: a text is cut at single spaces between other characters, where both tokenizers always end a token, and each
+distinct unit of a part of the table (some megabytes of texts) is tokenised once; a document is then a list of units.
 
-Links are written once, as one number a link. Pairs are counted over the corpus; those with more than a 2^20th of all
-links, hence fewer than 2^20 pairs, are broadcast, and only links of rarer pairs are shuffled to their counts, so no
-frequent pair meets in one task.
+All else is Spark's higher-order functions on arrays. Of a unit, array_intersect of the ends counts the groups; each end
+of either tokenizer closes one stretch in which one A token and one B token overlap, and every overlapping pair has
+exactly one such stretch, so links are a transform over the merged ends, and groups one over those where both end. Both
+find the other side's token by its number, without a search: work is linear in tokens. A document's groups are its units'.
+
+Units' links are written once, one number a link, with how often the unit occurs. Pairs are counted over the corpus; those
+with more than a 2^20th of all links, hence fewer than 2^20 pairs, are broadcast, and only rarer pairs are shuffled to
+their counts, so no frequent pair meets in one task.
 
 Edge rows: a null or empty text, or one whose tokens' bytes differ from a space and the text, has zeros and an empty
 groups_sha256. Repeated rows and null doc_ids each give a row, and each adds to the counts. An empty table gives no rows;
-other columns of documents are left behind. A text is held whole, with arrays of its tokens.
+other columns of documents are left behind. A text is held whole, with its tokens; one without spaces is one unit.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +31,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.llm.bestfit import JsonBpe, json_bpe
-from kairograph.llm.common import durable, map_arrow, table
+from kairograph.llm.common import durable, give_back, small_batches, table
 
 #: Pairs that may be broadcast at most.
 FREQUENT = 1 << 20
+#: Characters of texts whose units are made together, at least, but for the last of a batch.
+PART = 2 << 20
+NONE = np.zeros(0, np.int32)
+BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 
 
 @dataclass
@@ -39,6 +47,8 @@ class Pieces:
 
     model: object
     bytes: list[bytes]
+    sizes: np.ndarray
+    cuts_at_spaces: bool  # whether no piece goes on over a space that follows another character
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -46,7 +56,8 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-        return cls(model, [bytes([int(x[3:5], 16)]) if model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)])
+        made = [bytes([int(x[3:5], 16)]) if model.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
+        return cls(model, made, np.array([len(x) for x in made], np.int32), not any("▁" in x.lstrip("▁") for x in names))
 
 
 @functools.lru_cache(maxsize=2)
@@ -55,48 +66,80 @@ def pieces(path: str) -> Pieces:
 
 
 @functools.lru_cache(maxsize=2)
-def _sizes(path: str, by_pieces: bool) -> np.ndarray:
-    if by_pieces:
-        return np.array([len(x) for x in pieces(path).bytes], np.int32)
+def _sizes(path: str) -> np.ndarray:
     ranks = json_bpe(path).ranks
     out = np.zeros(max(ranks.values()) + 1, np.int32)
     out[list(ranks.values())] = [len(x) for x in ranks]
     return out
 
 
-def both(text: str | None, a: JsonBpe, b: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of space+text by a and of the text by b; none if either's bytes are not those of space+text."""
-    none = np.zeros(0, np.int32), np.zeros(0, np.int32)
-    if not text:
-        return none
-    spaced = " " + text
-    theirs = b.model.encode(text, num_threads=1)
-    if b"".join([b.bytes[i] for i in theirs]) != (want := spaced.encode()):
-        return none
-    return a.encode(spaced), np.array(theirs, np.int32)  # a's tokens hold all bytes, so that its join is always the text
+def in_units(text: str, b: Pieces) -> list[str]:
+    """Space+text in units without their first space: cuts at single spaces between characters that are no white space."""
+    return BOUNDARY.split(text) if b.cuts_at_spaces else [text]
+
+
+def tokenised(texts: list[str | None], a: JsonBpe, a_sizes: np.ndarray, b: Pieces) -> tuple[list[np.ndarray], list[list[np.ndarray]], np.ndarray, np.ndarray]:
+    """Of each text its units' numbers (none if it has no tokens); of each unit a, a_ends, b, b_ends; their counts of tokens (units x 2); how often each occurs."""
+    known: dict[str, int] = {}
+    rows = []
+    for text in texts:
+        # split() cuts too much at runs of white space; such words are found below, and their texts cut anew
+        words = (text.split(" ") if b.cuts_at_spaces else [text]) if text and "▁" not in text else []
+        rows.append([known.setdefault(w, len(known)) for w in words])
+    odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in known], bool)
+    if odd.any():
+        for at, row in enumerate(rows):
+            if row and odd[row].any():
+                rows[at] = [known.setdefault(w, len(known)) for w in in_units(texts[at], b)]
+    units, fine = [], np.ones(len(known), bool)
+    theirs = b.model.encode(list(known), num_threads=1)
+    for at, (word, ids) in enumerate(zip(known, theirs, strict=True)):
+        spaced = " " + word
+        if b"".join([b.bytes[i] for i in ids]) != spaced.encode():
+            fine[at], ids, ours = False, [], NONE
+        else:
+            ours = a.encode(spaced)  # its tokens hold all bytes, so that their join is always the text
+        ids = np.array(ids, np.int32)
+        units.append([ours, a_sizes[ours].cumsum(dtype=np.int32), ids, b.sizes[ids].cumsum(dtype=np.int32)])
+    found = [np.array(row, np.int32) if row and fine[row].all() else NONE for row in rows]
+    sizes = np.array([(len(u[0]), len(u[2])) for u in units], np.int64).reshape(-1, 2)
+    return found, units, sizes, np.bincount(np.concatenate(found), minlength=len(units)) if found else np.zeros(len(units), np.int64)
+
+
+def _lists(parts: list[np.ndarray], values: pa.Array | None = None) -> pa.ListArray:
+    """An array of lists of these parts, or of as many of values as each part is long."""
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(x) for x in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else NONE) if values is None else values)
 
 
 def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """__row, doc_id, and of both tokenizers ids and byte ends (arrays of ints)."""
-
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        offsets = np.zeros(len(parts) + 1, np.int32)
-        np.cumsum([len(x) for x in parts], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = json_bpe(a_path), pieces(b_path)
-        cols: list[list[np.ndarray]] = [[] for _ in range(4)]
-        for text in batch.column(2):
-            for side, ids in enumerate(both(text.as_py(), a, b)):
-                sizes = _sizes((a_path, b_path)[side], side == 1)[ids]
-                for at, made in enumerate((ids, np.cumsum(sizes, dtype=np.int32))):
-                    cols[2 * side + at].append(made)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(lists, cols)], ["__row", "doc_id", *names])
-
-    names = ["a", "a_ends", "b", "b_ends"]
+    """One row per part of the table: part, units (array of times and both tokenizers' ids and byte ends), docs (array of doc_id, n_a, n_b, units)."""
+
+    def part(ids: pa.Array, texts: list[str | None], number: int) -> pa.RecordBatch:
+        b = pieces(b_path)
+        rows, units, sizes, times = tokenised(texts, json_bpe(a_path), _sizes(a_path), b)
+        counts = np.array([sizes[row].sum(0) for row in rows], np.int64).reshape(-1, 2)
+        unit = pa.StructArray.from_arrays([pa.array(times, pa.int64()), *(_lists([u[k] for u in units]) for k in range(4))], ["times", "a", "a_ends", "b", "b_ends"])
+        doc = pa.StructArray.from_arrays([ids, pa.array(counts[:, 0]), pa.array(counts[:, 1]), _lists(rows)], ["doc_id", "n_a", "n_b", "units"])
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), _lists([units], unit), _lists([rows], doc)], ["part", "units", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, size, first = [x.as_py() for x in batch.column(2)], 0, 0
+            for at, text in enumerate(texts):
+                size += len(text or "")
+                if size >= PART or at + 1 == len(texts):
+                    yield part(batch.column(1)[first : at + 1], texts[first : at + 1], batch.column(0)[first].as_py())
+                    size, first = 0, at + 1
+        give_back()
+
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.col("text").cast("string")), fn, f"__row long, doc_id {kind}, " + ", ".join(f"{x} array<int>" for x in names))
+    unit = "times: bigint, " + ", ".join(f"{x}: array<int>" for x in ("a", "a_ends", "b", "b_ends"))
+    return docs.select(F.monotonically_increasing_id().alias("part"), "doc_id", F.col("text").cast("string")).mapInArrow(
+        run, f"part long, units array<struct<{unit}>>, docs array<struct<doc_id: {kind}, n_a: bigint, n_b: bigint, units: array<int>>>"
+    )
 
 
 #: An event is a token's end, in order of ends and A before B: end << 33 | side << 32 | the token's index.
@@ -114,8 +157,8 @@ def events(a_ends: Column, b_ends: Column) -> Column:
     return F.sort_array(F.concat(F.transform(a_ends, of(0)), F.transform(b_ends, of(1))))
 
 
-def aligned(made: DataFrame, width: int) -> DataFrame:
-    """Of tokens(): __row, doc_id, n_a, n_b, n_groups, groups_sha256 and links (array<long>: A id * width + B id).
+def aligned_unit(unit: Column, width: int) -> Column:
+    """Of a unit: times, n_groups, groups (their ids as text) and links (array<long>: A id * width + B id).
 
     An event of token i at place k of the sorted events has k - i of the other side's before it, so the other token that
     holds its last byte is that side's number k - i. Every distinct end closes one link; of two events at one end, A's
@@ -126,20 +169,35 @@ def aligned(made: DataFrame, width: int) -> DataFrame:
         index = lambda x: x.bitwiseAND(SIDE - 1).cast("int")
         end = lambda x: F.shiftright(x, END)
         a_side = lambda x: x.bitwiseAND(SIDE) == 0
-        link = lambda i, j: F.get(t.a, i).cast("long") * width + F.get(t.b, j)
+        link = lambda i, j: F.get(unit.a, i).cast("long") * width + F.get(unit.b, j)
 
         def links(x: Column, k: Column) -> Column:
             own = index(x)
             return F.when(a_side(x), link(own, k - own)).when(end(F.get(t.e, k - 1)) == end(x), None).otherwise(link(k - own, own))
 
         closes = F.filter(F.transform(t.e, lambda x, k: F.when(a_side(x) & (end(F.get(t.e, k + 1)) == end(x)), F.struct(index(x).alias("i"), (k - index(x)).alias("j")))), lambda x: x.isNotNull())
-        return F.struct(F.filter(F.transform(t.e, links), lambda x: x.isNotNull()).alias("links"), grouped(t.a, t.b, closes).alias("groups"))
+        return F.struct(
+            unit.times.alias("times"),
+            F.size(F.array_intersect(unit.a_ends, unit.b_ends)).alias("n_groups"),
+            grouped(unit.a, unit.b, closes).alias("groups"),
+            F.filter(F.transform(t.e, links), lambda x: x.isNotNull()).alias("links"),
+        )
 
-    found = _bound({"a": F.col("a"), "b": F.col("b"), "e": events(F.col("a_ends"), F.col("b_ends"))}, of)
-    count = lambda c: F.size(c).cast("long")
-    return made.select("__row", "doc_id", count("a").alias("n_a"), count("b").alias("n_b"), count(F.array_intersect("a_ends", "b_ends")).alias("n_groups"), found.alias("found")).select(
-        "__row", "doc_id", "n_a", "n_b", "n_groups", F.when(F.col("n_a") > 0, F.sha2("found.groups", 256)).otherwise("").alias("groups_sha256"), "found.links"
-    )
+    return _bound({"e": events(unit.a_ends, unit.b_ends)}, of)
+
+
+def aligned(made: DataFrame, width: int) -> DataFrame:
+    """Of tokens(): part, units (array of times, n_groups, links) and docs (array of doc_id, n_a, n_b, groups_sha256, units)."""
+
+    def of(t: Column) -> Column:
+        def doc(d: Column) -> Column:
+            groups = F.array_join(F.transform(d.units, lambda u: F.get(t.u, u).groups), ";")
+            return F.struct(d.doc_id.alias("doc_id"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), F.when(d.n_a > 0, F.sha2(groups, 256)).otherwise("").alias("groups_sha256"), d.units.alias("units"))
+
+        kept = F.transform(t.u, lambda u: F.struct(u.times.alias("times"), u.n_groups.alias("n_groups"), u.links.alias("links")))
+        return F.struct(kept.alias("units"), F.transform("docs", doc).alias("docs"))
+
+    return made.select("part", _bound({"u": F.transform("units", lambda u: aligned_unit(u, width))}, of).alias("made")).select("part", "made.*")
 
 
 def grouped(a: Column, b: Column, closes: Column) -> Column:
@@ -156,30 +214,41 @@ def grouped(a: Column, b: Column, closes: Column) -> Column:
 
 
 def counted(links: DataFrame, width: int) -> DataFrame:
-    """pair, count over the corpus, best (whether it is the highest of its B id, ties included)."""
-    counts = durable(links.groupBy("pair").agg(F.count("*").alias("count")), "pair-counts").withColumn("b", F.col("pair") % width)
+    """Of pair and times: pair, count over the corpus, best (whether it is the highest of its B id, ties included)."""
+    counts = durable(links.groupBy("pair").agg(F.sum("times").alias("count")).where(F.col("count") > 0), "pair-counts").withColumn("b", F.col("pair") % width)
     top = counts.groupBy("b").agg(F.max("count").alias("top"))  # a row for each id of B's vocabulary at most
     return counts.join(F.broadcast(top), "b").select("pair", "count", (F.col("count") == F.col("top")).cast("long").alias("best"))
 
 
+def unit_sums(kept: DataFrame, width: int) -> DataFrame:
+    """part, sums: an array by unit of struct(u, n_groups, n_best, count_sum)."""
+    units = kept.select("part", F.posexplode("units").alias("u", "unit")).select("part", "u", "unit.*")
+    links = units.select("part", "u", "times", F.explode("links").alias("pair"))
+    counts = counted(links.select("pair", "times"), width)
+    often = (counts.agg(F.sum("count").alias("n")).first()["n"] or 0) // FREQUENT
+    frequent, rare = F.broadcast(counts.where(F.col("count") > often)), counts.where(F.col("count") <= often)
+    some = lambda found: found.groupBy("part", "u").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    found = some(links.join(frequent, "pair"))
+    if often:
+        found = found.unionByName(some(links.join(frequent, "pair", "left_anti").join(rare.hint("merge"), "pair")))
+    zero = F.lit(0).cast("long")
+    every = units.select("part", "u", "n_groups", zero.alias("n_best"), zero.alias("count_sum")).unionByName(found.select("part", "u", F.lit(0).alias("n_groups"), "n_best", "count_sum"))
+    whole = every.groupBy("part", "u").agg(*[F.sum(c).alias(c) for c in ("n_groups", "n_best", "count_sum")])
+    return whole.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("u", "n_groups", "n_best", "count_sum"))).alias("sums"))
+
+
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     width = pieces(b_path).model.get_piece_size()
     kept = durable(aligned(tokens(docs, a_path, b_path), width), "links", compression="zstd", **{"parquet.enable.dictionary": "false"})
-    links = kept.select("__row", F.explode("links").alias("pair"))
-    counts = counted(links, width)
-    total = kept.agg(F.coalesce(F.sum(F.size("links")), F.lit(0)).alias("n")).first()["n"]
-    often = total // FREQUENT
-    frequent = F.broadcast(counts.where(F.col("count") > often))
-    rare = counts.where(F.col("count") <= often)
-    gathered = [F.sum("n").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count_sum").alias("count_sum")]
-    some = lambda found: found.groupBy("__row").agg(F.count("*").alias("n"), F.sum("best").alias("best"), F.sum("count").alias("count_sum"))
-    sums = some(links.join(frequent, "pair"))
-    if often:
-        sums = sums.unionByName(some(links.join(frequent, "pair", "left_anti").join(rare.hint("merge"), "pair")))
-    sums = sums.groupBy("__row").agg(*gathered)
-    zero = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
-    return kept.drop("links").join(sums.hint("merge"), "__row", "left").select("doc_id", "n_a", "n_b", "n_groups", zero("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
+    both = kept.select("part", "docs").join(unit_sums(kept, width).hint("merge"), "part", "left")
+
+    def of(d: Column) -> Column:
+        total = lambda name: F.aggregate(d.units, F.lit(0).cast("long"), lambda s, u: s + F.get(F.col("sums"), u)[name])
+        return F.struct(d.doc_id.alias("doc_id"), d.n_a.alias("n_a"), d.n_b.alias("n_b"), *[total(x).alias(x) for x in ("n_groups", "n_best", "count_sum")], d.groups_sha256.alias("groups_sha256"))
+
+    out = both.select(F.explode(F.transform("docs", of)).alias("d")).select("d.*")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", (F.col("n_a") + F.col("n_b") - F.col("n_groups")).alias("n_links"), "n_best", "count_sum", "groups_sha256")
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
