@@ -15,11 +15,19 @@ from kairograph.schema import MENTION
 
 @dataclass
 class Graph:
-    """entities, edges, episodes: latest versions, with the columns of kairograph.schema."""
+    """entities, edges, episodes: latest versions, with the columns of kairograph.schema.
+
+    by_target: the edges again, from files sorted by target, if there are such files.
+    """
 
     entities: DataFrame
     edges: DataFrame
     episodes: DataFrame
+    by_target: DataFrame | None = None
+
+    def edges_from(self, near: str) -> DataFrame:
+        """The edges, as they are best read by that end."""
+        return self.by_target if near == "target" and self.by_target is not None else self.edges
 
     def ids(self) -> DataFrame:
         """Ids of either kind of node."""
@@ -69,7 +77,8 @@ def ends(direction: str) -> tuple[str, str]:
 
 
 def edges_of(graph: Graph, id: str, direction: str = "out", relation: str | None = None, active_only: bool = True) -> DataFrame:
-    return graph.edges.where(edge_filter(ends(direction)[0], id, relation, active_only))
+    near = ends(direction)[0]
+    return graph.edges_from(near).where(edge_filter(near, id, relation, active_only))
 
 
 def _known(graph: Graph, id: str) -> None:

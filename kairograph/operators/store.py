@@ -5,12 +5,23 @@ what was known when. An edge's id, ends and relation never change and are what i
 them reaches the files: these are in partitions by relation and sorted by source, so that a lookup by source reads few row
 groups of few files. Whether an edge is open changes from version to version, so it can be no part of the layout. Checks and appends of a batch are one plan: invalid rows are returned, not raised, but for
 the single-row calls, which raise as a caller of one row expects.
+
+compact() rewrites a log, with all its versions, into a few sorted files; edges twice, by source and by target, so that
+lookups from either end prune. A manifest names the new files and those of the log that they replace, and its rename is
+the commit: a crash before leaves files that nothing names, and what is written meanwhile is in files that no manifest
+names as replaced. Replaced files go with the next compact(), so that readers may finish. One writer at a time numbers
+rows; one compact() at a time commits, a second one fails.
+
+Every version has the time of its writing, in the files only: graph(as_of) reads what was known at a moment, whatever
+was written since, beside the valid time that facts have themselves.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +39,10 @@ PATCHABLE = {
 
 #: Columns that no later version of a row changes.
 FIXED = ("id", "source", "target", "relation")
+#: When a version was written. Files without it were written before all others.
+RECORDED = "recorded_at"
+#: What the compacted copies of a log are sorted by; the first is read unless another is asked for.
+COPIES = {"entities": ("id",), "edges": ("source", "target"), "episodes": ("id",)}
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -64,17 +79,92 @@ def accept_edges(new: DataFrame, graph: Graph) -> tuple[DataFrame, DataFrame]:
 class Store:
     """The three logs under one path, which any Spark file system may hold."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], dt.datetime] | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def log(self, name: str) -> DataFrame:
-        where = f"{self.path}/{name}"
-        if not self._has(where):
+        self.clock = clock or (lambda: dt.datetime.now(dt.UTC))
+
+    def log(self, name: str, by: str | None = None, as_of: dt.datetime | None = None) -> DataFrame:
+        """All versions, or those written up to as_of; the compacted ones from the copy sorted by `by`."""
+        schema, where = f"{TABLES[name]}, {RECORDED} timestamp", f"{self.path}/{name}"
+        _, manifest = self._manifest(name)
+        parts = []
+        if manifest:
+            parts.append(self.spark.read.schema(schema).parquet(f"{self.path}/compact/{name}/{manifest['folder']}/{by or COPIES[name][0]}"))
+            if files := sorted(set(self._files(where)) - set(manifest["replaced"])):
+                parts.append(self.spark.read.schema(schema).option("basePath", where).parquet(*[f"{where}/{f}" for f in files]))
+        elif self._has(where):
+            parts.append(self.spark.read.schema(schema).parquet(where))
+        fields = [f.split()[0] for f in TABLES[name].split(", ")]
+        if not parts:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(where).select(*[f.split()[0] for f in TABLES[name].split(", ")])
-
-    def graph(self) -> Graph:
-        return Graph(*(latest(self.log(n)) for n in ("entities", "edges", "episodes")))
+        rows = parts[0].select(*fields, RECORDED)
+        for more in parts[1:]:
+            rows = rows.unionByName(more.select(*fields, RECORDED))
+        return (rows if as_of is None else rows.where(F.col(RECORDED).isNull() | (F.col(RECORDED) <= utc(as_of)))).drop(RECORDED)
+
+    def graph(self, as_of: dt.datetime | None = None) -> Graph:
+        """The latest versions, or those that were the latest at the moment as_of."""
+        copies = {c: latest(self.log("edges", c, as_of)) for c in COPIES["edges"]}
+        return Graph(latest(self.log("entities", as_of=as_of)), copies["source"], latest(self.log("episodes", as_of=as_of)), copies["target"] if self._manifest("edges")[1] else None)
+
+    def compact(self, name: str) -> None:
+        """Rewrite all versions of a log in few files for each of its copies, and delete what the compaction before replaced."""
+        number, before = self._manifest(name)
+        where, files = f"{self.path}/{name}", self._files(f"{self.path}/{name}")
+        if not files and not before:
+            return
+        schema, folder = f"{TABLES[name]}, {RECORDED} timestamp", uuid.uuid4().hex
+        old = set(before["replaced"]) if before else set()
+        parts = [self.spark.read.schema(schema).option("basePath", where).parquet(*[f"{where}/{f}" for f in files if f not in old])] if set(files) - old else []
+        if before:
+            parts.append(self.spark.read.schema(schema).parquet(f"{self.path}/compact/{name}/{before['folder']}/{COPIES[name][0]}"))
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        for copy in COPIES[name]:
+            keys = [*(["relation"] if name == "edges" else []), copy]
+            out = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "seq").write
+            (out.partitionBy("relation") if name == "edges" else out).parquet(f"{self.path}/compact/{name}/{folder}/{copy}")
+        self._commit(name, number + 1, {"folder": folder, "replaced": sorted(set(files))})
+        for gone in [f"{where}/{f}" for f in old] + ([f"{self.path}/compact/{name}/{before['gone']}"] if before and before.get("gone") else []):
+            self._delete(gone)
+
+    def _manifest(self, name: str) -> tuple[int, dict | None]:
+        """The number of the newest manifest and what it says: folder, replaced files, gone (the folder before)."""
+        numbers = [int(f.removesuffix(".json")) for f in self._files(f"{self.path}/manifests/{name}", deep=False) if f.endswith(".json")]
+        if not numbers:
+            return 0, None
+        text = self.spark.read.text(f"{self.path}/manifests/{name}/{max(numbers)}.json", wholetext=True).first()[0]
+        return max(numbers), json.loads(text)
+
+    def _commit(self, name: str, number: int, said: dict) -> None:
+        _, before = self._manifest(name)
+        said["gone"] = before["folder"] if before else None
+        fs, path = self._fs(f"{self.path}/manifests/{name}/{number}.json")
+        draft = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests/{name}/{uuid.uuid4().hex}.draft")  # noqa: SLF001
+        stream = fs.create(draft)
+        stream.write(bytearray(json.dumps(said).encode()))
+        stream.close()
+        if fs.exists(path) or not fs.rename(draft, path):
+            raise RuntimeError(f"another compaction of {name} has been committed")
+
+    def _files(self, where: str, deep: bool = True) -> list[str]:
+        """Data files under a folder, as paths from there on; none if it doesn't exist."""
+        fs, path = self._fs(where)
+        if not fs.exists(path):
+            return []
+        root, found, at = f"{fs.makeQualified(path).toUri().getPath().rstrip('/')}/", [], fs.listFiles(path, deep)
+        while at.hasNext():
+            inner = at.next().getPath().toUri().getPath().removeprefix(root)
+            if not any(x[0] in "_." for x in inner.split("/")):
+                found.append(inner)
+        return found
+
+    def _delete(self, where: str) -> None:
+        fs, path = self._fs(where)
+        fs.delete(path, True)
+
+    def _fs(self, where: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)  # noqa: SLF001
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path  # noqa: SLF001
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Rows without seq are numbered after the highest in the log, in the order of their __order, if they have it."""
@@ -84,7 +174,7 @@ class Store:
         for field, kind in (f.split()[:2] for f in TABLES[name].replace(" not null", "").split(", ")):
             if field not in rows.columns:
                 rows = rows.withColumn(field, F.lit(None).cast(kind))
-        out = rows.select(*fields)
+        out = rows.select(*fields, utc(self.clock()).alias(RECORDED))
         if name == "edges":
             out.sortWithinPartitions("relation", "source").write.mode("append").partitionBy("relation").parquet(f"{self.path}/{name}")
         else:
@@ -100,8 +190,8 @@ class Store:
         return rows.withColumn("seq", F.monotonically_increasing_id() + self.top_seq(name) + 1).drop("__order")
 
     def _has(self, where: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)  # noqa: SLF001
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)  # noqa: SLF001
+        fs, path = self._fs(where)
+        return fs.exists(path)
 
     def _row(self, log: str, /, **values) -> None:
         typed = dict(f.split()[:2] for f in TABLES[log].replace(" not null", "").split(", "))
@@ -145,7 +235,7 @@ class Store:
         """closes (id, valid_until): a batch of closes; unknown ids are ignored."""
         self.append("edges", self.graph().edges.drop("seq", "valid_until").join(closes, "id"))
 
-    def patch(self, name: str, id: str, **values) -> None:
+    def patch(self, name: str, id: str, /, **values) -> None:
         """Set properties of an entity or episode; nothing happens if it is missing. Dicts become JSON."""
         if unknown := set(values) - PATCHABLE[name]:
             raise ValueError(f"can't be set: {', '.join(sorted(unknown))}")

@@ -7,7 +7,9 @@ and edges are fetched at the end by a semi-join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kairograph.functions.temporal import is_open
@@ -84,22 +86,78 @@ def impact(graph: Graph, id: str, relation: str, direction: str = "in") -> DataF
     return edges.join(reach(pairs, _single(graph, id)).select(F.col("n").alias(near)), near, "left_semi").select(*graph.edges.columns)
 
 
-def path_nodes(graph: Graph, source: str, target: str, mode: str = "compat") -> list[str]:
+#: A level of so many nodes at most is named in the filter, which reaches the files; a larger one is joined.
+NAMED = 1000
+
+
+def _neighbours(graph: Graph, where: Column, level: DataFrame, size: int) -> DataFrame:
+    """Distinct (n, m): the steps from a level's `size` nodes (n) along edges in either direction."""
+    ids = [r["n"] for r in level.collect()] if size <= NAMED else None
+    found = None
+    for near, far in (ends("out"), ends("in")):
+        steps = graph.edges_from(near).where(where).select(F.col(near).alias("n"), F.col(far).alias("m"))
+        steps = steps.join(level, "n") if ids is None else steps.where(F.col("n").isin(ids))
+        found = steps if found is None else found.union(steps)
+    return found.where("n <> m").distinct()
+
+
+@dataclass
+class _Side:
+    """A search from one end: the steps taken so far and the nodes of the last level, with their number."""
+
+    level: DataFrame
+    seen: DataFrame  # n, dist
+    size: int
+    steps: list[DataFrame]  # of each level: n, m with n nearer to this end
+
+    @classmethod
+    def at(cls, graph: Graph, id: str) -> _Side:
+        start = _single(graph, id)
+        return cls(start, start.select("n", F.lit(0).alias("dist")), 1, [])
+
+    def grow(self, graph: Graph, where: Column) -> None:
+        steps = settle(_neighbours(graph, where, self.level, self.size))
+        self.steps.append(steps)
+        self.level = settle(steps.select(F.col("m").alias("n")).distinct().join(self.seen.select("n"), "n", "left_anti"))
+        self.size = self.level.count()
+        self.seen = self.seen.union(self.level.select("n", F.lit(len(self.steps)).alias("dist")))
+
+
+def path_nodes(graph: Graph, source: str, target: str, mode: str = "compat", touched: list[int] | None = None) -> list[str]:
     """The lexicographically least shortest path, as ids; [] if there is none or the ends are the same.
 
-    compat: over all edges, closed ones and mentions too. semantic: over open edges but mentions.
+    compat: over all edges, closed ones and mentions too. semantic: over open edges but mentions. Both ends are searched,
+    a level at a time from the one whose last level has fewer nodes, until the levels meet; only edges of searched nodes
+    are read into the search. The least path is then walked from the source, at each step among the nodes that some
+    shortest path leads through. `touched` gets the number of steps that the search looked at.
     """
     if source == target:
         return []
-    edges = graph.edges if mode == "compat" else graph.edges.where(is_open() & (F.col("relation") != MENTION))
-    pairs = settle(_both_ways(edges).where("n <> m").distinct())
-    away = settle(reach(pairs, _single(graph, target), stop=source, settled=True))
-    at = away.where(F.col("n") == source).select("dist").first()
-    if at is None:
-        return []
+    where = F.lit(True) if mode == "compat" else is_open() & (F.col("relation") != MENTION)
+    left, right = _Side.at(graph, source), _Side.at(graph, target)
+    while True:
+        side, other = (left, right) if left.size <= right.size else (right, left)
+        side.grow(graph, where)
+        if touched is not None:
+            touched.append(side.steps[-1].count())
+        if not side.size:
+            return []
+        if not side.level.join(other.seen, "n", "left_semi").limit(1).isEmpty():
+            break
+    length = len(left.steps) + len(right.steps)
+    # nodes where the two searches meet, and backwards from them the nodes of the left side's shortest paths
+    on_path = left.seen.where(F.col("dist") == len(left.steps)).join(right.seen.where(F.col("dist") == len(right.steps)), "n", "left_semi").select("n")
+    allowed = [on_path]
+    for steps in reversed(left.steps):
+        on_path = settle(steps.join(on_path.withColumnRenamed("n", "m"), "m", "left_semi").select("n").distinct())
+        allowed.append(on_path)
+    allowed.reverse()  # by distance from the source, up to where the searches meet
     path = [source]
-    for dist in range(at[0] - 1, -1, -1):  # as many steps as the path is long
-        following = pairs.where(F.col("n") == path[-1]).join(away.where(F.col("dist") == dist).select(F.col("n").alias("m")), "m")
+    for at in range(1, length + 1):  # as many steps as the path is long
+        if at <= len(left.steps):
+            following = left.steps[at - 1].where(F.col("n") == path[-1]).join(allowed[at].withColumnRenamed("n", "m"), "m", "left_semi")
+        else:  # the right side's steps lead away from the target
+            following = right.steps[length - at].where(F.col("m") == path[-1]).select(F.col("n").alias("m"))
         path.append(following.agg(F.min("m")).first()[0])
     return path
 

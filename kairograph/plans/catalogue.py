@@ -485,6 +485,34 @@ def store_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", "relation", "target", "note").union(left)
 
 
+def _owned_store(spark: SparkSession, sf_dir: str) -> store.Store:
+    """A store of all nodes and owned parts, written on 2024-01-01 and compacted; on 2024-01-02 each seventh edge is closed."""
+    g, now = graph(spark, sf_dir), [dt.datetime(2024, 1, 1, tzinfo=dt.UTC)]
+    kg = store.Store(spark, _store(spark).path, clock=lambda: now[0])
+    kg.append("entities", g.entities)
+    kg.append("edges", g.edges.where("relation = 'OWNS'"))
+    kg.compact("edges")
+    now[0] = dt.datetime(2024, 1, 2, tzinfo=dt.UTC)
+    kg.close_edges(kg.graph().edges.where("seq % 7 = 0").select("id", temporal.utc("2010-01-01").alias("valid_until")))
+    return kg
+
+
+@query(f", {_CLOSED} select {SHOWN} from closed where relation = 'OWNS' and target in ('part_7', 'part_8') and {OPEN}")
+def store_in_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners of two parts, read from the copy by target and what was written after it."""
+    g = _owned_store(spark, sf_dir).graph()
+    return shown(lookup.edges_of(g, "part_7", "in", "OWNS").union(lookup.edges_of(g, "part_8", "in", "OWNS")))
+
+
+@query(f""", {_CLOSED} select 'early' as known, source, count(*) as n, count(*) as open from closed where relation = 'OWNS' group by source
+    union all select 'late', source, count(*), count(*) filter ({OPEN}) from closed where relation = 'OWNS' group by source""")
+def store_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owned parts by owner as they were known before and after the closes were written."""
+    kg = _owned_store(spark, sf_dir)
+    seen = [kg.graph(dt.datetime(2024, 1, day, 12, tzinfo=dt.UTC)).edges.withColumn("known", F.lit(known)) for day, known in ((1, "early"), (2, "late"))]
+    return seen[0].unionByName(seen[1]).groupBy("known", "source").agg(F.count("*").alias("n"), F.count_if(F.col("valid_until").isNull()).alias("open"))
+
+
 # ---------------------------------------------------------------- episodes and consolidation
 
 

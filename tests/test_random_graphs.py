@@ -71,3 +71,28 @@ def test_patterns(spark, seed):
     for direction in ("in", "out"):
         assert numbers(traverse.impact(g, start, "R", direction)) == plain_impact(links, start, "R", direction)
     assert traverse.path_nodes(g, start, end) == plain_path(links, start, end)
+
+
+def star_chain(arms, length):
+    """Two hubs with many leaves, at the ends of a chain: c0 - c1 - ... ; the hub `big` hangs at the far end."""
+    chain = [(f"c{i}", "R", f"c{i + 1}", "2025-01-01") for i in range(length)]
+    return chain + [(f"leaf{i}", "R", f"c{length}", "2025-01-01") for i in range(arms)] + [(f"leaf{i}", "R", f"twig{i}", "2025-01-01") for i in range(arms)]
+
+
+@pytest.mark.parametrize("seed", range(4, 10))
+def test_least_path_from_both_ends(spark, seed):
+    links = draw(seed)
+    g = make(spark, links)
+    names = sorted({x for link in links for x in (link[0], link[2])})
+    for start, end in [(names[0], names[-1]), (links[0][0], links[-1][2])]:
+        assert traverse.path_nodes(g, start, end) == plain_path(links, start, end)
+
+
+def test_search_takes_the_smaller_side(spark, monkeypatch):
+    """From the hub's end 60 leaves would be expanded; the chain's end is taken instead, and the leaves' twigs are never looked at."""
+    links = star_chain(60, 5)
+    touched = []
+    assert traverse.path_nodes(make(spark, links), "c5", "c0", touched=touched) == ["c5", "c4", "c3", "c2", "c1", "c0"]
+    assert sum(touched) < 90 < 2 * len(links)
+    monkeypatch.setattr(traverse, "NAMED", 0)  # levels joined rather than named
+    assert traverse.path_nodes(make(spark, links), "c0", "c5") == ["c0", "c1", "c2", "c3", "c4", "c5"]
