@@ -18,7 +18,7 @@ from kairograph.operators.settle import shared_dir
 from kairograph.plans import router, service
 from kairograph.plans.testbed import NOW, SQL, graph, table
 from kairograph.schema import MENTION, MENTION_FACT
-from kairograph.sources import calendar, pages
+from kairograph.sources import blocks, calendar, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -602,6 +602,23 @@ def notion_blocks_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_texts(turns.select(parent.alias("parent"), F.col("turn").cast("int").alias("pos"), raw.alias("raw")))
 
 
+@query("select conv_id::varchar as page_id, string_agg(text, chr(10) order by turn) as text from conversations group by conv_id", graph_sql=False)
+def fetched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as pages of a service that is asked for their blocks by waves: two turns a level, each level below the second of the one above."""
+    turns = table(spark, sf_dir, "conversations")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    placed = turns.withColumn("k", place).withColumn("level", F.expr("k div 2"))
+    content = F.struct(F.array(F.struct(F.col("text").alias("plain_text"))).alias("rich_text"))
+    last = F.max("k").over(Window.partitionBy("conv_id"))
+    shaped = placed.withColumn("last", last).withColumn("inner", F.expr("k % 2 = 1 and k < last"))
+    parent = F.when(F.col("level") == 0, F.col("conv_id").cast("string")).otherwise(F.concat_ws("-", "conv_id", F.col("level") * 2 - 1))
+    raw = F.to_json(F.struct(F.concat_ws("-", "conv_id", "k").alias("id"), F.lit("paragraph").alias("type"), F.col("inner").alias("has_children"), content.alias("paragraph")))
+    served = f"{shared_dir(spark)}/service-{uuid.uuid4().hex}"
+    shaped.select(parent.alias("parent"), F.col("k").cast("int").alias("pos"), raw.alias("raw")).sort("parent", "pos").write.parquet(served)
+    options = {"transport": "kairograph.sources.feed:from_table", "url": served + "?parent={id}", "items": "results"}
+    return pages.page_texts(blocks.fetch_blocks(turns.select(F.col("conv_id").cast("string").alias("id")).distinct(), options))
+
+
 @query("select page_id, 'Title ' || page_id as title from pages", graph_sql=False)
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = F.from_json(

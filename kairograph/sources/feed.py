@@ -31,6 +31,17 @@ def http(method: str, url: str, body: dict | None, headers: dict | None = None,
         return wrong.code, dict(wrong.headers), None
 
 
+def from_table(method: str, url: str, body: dict | None, headers: dict | None = None) -> tuple[int, dict, Any]:
+    """A transport that answers from a Parquet table of (parent, pos, raw): ?parent=... has its rows by pos, two an answer."""
+    import pyarrow.dataset as ds
+
+    split = urllib.parse.urlsplit(url)
+    asked = dict(urllib.parse.parse_qsl(split.query))
+    rows = ds.dataset(split.path, format="parquet").to_table(filter=ds.field("parent") == asked["parent"]).sort_by("pos")["raw"].to_pylist()
+    at = int(asked.get("start_cursor", 0))
+    return 200, {}, {"results": [json.loads(x) for x in rows[at : at + 2]], "next_cursor": str(at + 2) if at + 2 < len(rows) else None}
+
+
 def request(send: Transport, method: str, url: str, body: dict | None = None, attempts: int = 6, most: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> Any:
     """The answer's JSON; a 429 waits for Retry-After, or 1, 2, 4 ... seconds, and tries again; other failures raise."""
     delay = 1.0
@@ -88,6 +99,24 @@ class FeedSource(DataSource):
         return FeedReader(dict(self.options))
 
 
+def sender(options: dict) -> Transport:
+    """The transport that the options name, with their headers and the token in the environment of this process."""
+    module, _, name = options.get("transport", "kairograph.sources.feed:http").partition(":")
+    send = getattr(importlib.import_module(module), name)
+    headers = json.loads(options.get("headers", "{}"))
+    if "token_variable" in options:
+        if not os.environ.get(options["token_variable"]):
+            raise ValueError(f"{options['token_variable']} must hold a token in the environment of driver and executors")
+        headers["Authorization"] = f"Bearer {os.environ[options['token_variable']]}"
+    return functools.partial(send, headers=headers) if headers else send
+
+
+def items(options: dict, url: str, stop: Callable[[dict], bool] | None = None, **body: Any) -> Iterator[dict]:
+    """All items of one feed by its options; `body` adds to the request's parameters."""
+    names = (options.get("items", "results"), options.get("cursor_in", "start_cursor"), options.get("cursor_out", "next_cursor"))
+    return pages(sender(options), options.get("method", "GET"), url, {**json.loads(options.get("body", "{}")), **body}, *names, stop)
+
+
 class FeedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
@@ -96,21 +125,12 @@ class FeedReader(DataSourceReader):
         return [InputPartition(url) for url in self.options["url"].split(" ")]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        o = self.options
-        module, _, name = o.get("transport", "kairograph.sources.feed:http").partition(":")
-        send = getattr(importlib.import_module(module), name)
-        headers = json.loads(o.get("headers", "{}"))
-        if "token_variable" in o:
-            headers["Authorization"] = f"Bearer {os.environ[o['token_variable']]}"
-        if headers:
-            send = functools.partial(send, headers=headers)
-        body = json.loads(o.get("body", "{}"))
-        stop = None
+        o, stop = self.options, None
         if "stop_at" in o:
             field, least = o["stop_field"], o["stop_at"]
 
             def stop(item: dict) -> bool:
                 return (item.get(field) or "") <= least
 
-        for item in pages(send, o.get("method", "GET"), partition.value, body, o.get("items", "results"), o.get("cursor_in", "start_cursor"), o.get("cursor_out", "next_cursor"), stop):
+        for item in items(o, partition.value, stop):
             yield (json.dumps(item),)
