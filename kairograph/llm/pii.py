@@ -65,8 +65,12 @@ CUES = (
     "(?i)(?:card|visa|mastercard|amex|karte|carte|tarjeta|payment|credit)",
     "(?i)(?:phone|tel|call|mobile|fax|whatsapp|anruf|appel|llam)",
 )
+#: What may stand between a cue and what it names: the rest of its word, signs, and words that say that a value follows.
+DIRECT = r"[\w-]*(?:[\s:;.,#=*>(\[-]|\b(?:is|no|nr|number|address|at|via|ist|nummer|est|es|n\u00fam|num[e\u00e9]ro)\b)*[+(\[]?$"
 #: Feature names and their numbers of values; their product bounds the cells.
-FEATURES = {"kind": 4, "digits": 8, "groups": 4, "plus": 2, "form": 3, "valid": 2, "dots": 3, "cue": 2, "edge": 2}
+FEATURES = {"kind": 4, "digits": 8, "groups": 4, "plus": 2, "form": 3, "valid": 2, "dots": 3, "cue": 3, "edge": 2}
+#: Features that say nothing of how a candidate is written: where it stands, and how long it is.
+BESIDE = ("cue", "edge", "digits")
 CELLS = math.prod(FEATURES.values())
 
 
@@ -178,7 +182,7 @@ def _features(c: str = "c") -> str:
         "form": f"case when rlike({v}, '[(\\\\[]') or endswith({before}, '(') then 1 when rlike({v}, if({c}.kind < 2, ' ', '[^0-9]{{2}}')) then 2 else 0 end",
         "valid": f"cast(case {c}.kind when 0 then rlike({v}, '[.][A-Za-z]{{2,}}$') when 1 then forall(regexp_extract_all({v}, '[0-9]+', 0), p -> cast(p as bigint) <= 255) when 2 then {_luhn(d)} else length({d}) between 9 and 15 end as int)",
         "dots": f"if({c}.kind = 1, 0, least(size(regexp_extract_all({v}, '[.]', 0)), 2))",
-        "cue": f"cast(case {c}.kind " + " ".join(f"when {i} then rlike({before}, {_q(cue)})" for i, cue in enumerate(CUES)) + " end as int)",
+        "cue": f"case {c}.kind " + " ".join(f"when {i} then if(rlike({before}, {_q(cue)}), if(rlike({before}, {_q(cue + DIRECT)}), 2, 1), 0)" for i, cue in enumerate(CUES)) + " end",
         "edge": f"cast(rlike({after}, '[A-Za-z0-9_]') or rlike({before}, '[A-Za-z0-9_]$') as int)",
     }
     return ", ".join(f"'{k}', {x}" for k, x in made.items())
@@ -198,7 +202,11 @@ REWRITTEN = (
 
 
 def _evidence(df: DataFrame) -> DataFrame:
-    """Rows (features, plain, rewritten, wrong): what each text has to say of a cell; df is of _proposals(base_spans())."""
+    """Rows (features, plain, rewritten, wrong, unsure): what each text has to say of a cell; df is of _proposals(base_spans()).
+
+    A proposal apart from all base spans is wrong, unless it may be valid and a cue stands directly before it: then it is
+    unsure, and train() decides.
+    """
     of = "named_struct('kind', x.no, 'value', {value}, 'before', x.before, 'after', x.after, 'plain', {plain}, 'rewritten', {rewritten}, 'wrong', 0.0D)"
     forms = "case x.no " + " ".join(f"when {no} then filter({made}, r -> rlike(r, {_q('^(?:' + LOOSE[whole] + ')$')}))" for no, (made, whole) in enumerate(REWRITTEN)) + " end"
     again = _let("r", forms, f"transform(r, y -> {of.format(value='y', plain='0.0D', rewritten=f'{PRIOR}D / size(r)')})")
@@ -207,8 +215,8 @@ def _evidence(df: DataFrame) -> DataFrame:
     rows = df.select((F.crc32(F.encode("__t", "UTF-8")) % HELD_OUT == 0).alias("held"), F.expr(f"if(size(__cands) > 0 or size(__base) > 0, concat({', '.join(parts)}, {wrong}), array())").alias("e"))
     # neither an inner explode nor a filter: both would be pushed below and compute all of e, or its features, twice
     rows = rows.select("held", F.explode_outer("e").alias("c")).select("held", F.expr(f"named_struct('kind', c.kind, {_features()})").alias("k"), "c.plain", "c.rewritten", "c.wrong")
-    neither = (F.col("k.cue") == 1) & (F.col("k.valid") == 1)
-    return rows.select("held", "k.*", "plain", "rewritten", F.when(neither, 0.0).otherwise(F.col("wrong")).alias("wrong"))
+    neither = (F.col("k.cue") == 2) & (F.col("k.valid") == 1)
+    return rows.select("held", "k.*", "plain", "rewritten", F.when(neither, 0.0).otherwise(F.col("wrong")).alias("wrong"), F.when(neither, F.col("wrong")).otherwise(0.0).alias("unsure"))
 
 
 @dataclass
@@ -275,16 +283,22 @@ def _sql(tree, names: list[str]) -> str:
 def train(docs: DataFrame) -> PiiModel:
     """Trees and thresholds from the evidence of all rows (text); at most twice CELLS rows reach the driver.
 
-    Null and empty texts say nothing; repeated rows count as often as they occur. No evidence gives a model that adds none.
+    An unsure proposal is wrong if it is written as no base span of the corpus is rewritten; else it is left out, as it
+    would be counted against what may well be personal data. Null and empty texts say nothing; repeated rows count as
+    often as they occur. No evidence gives a model that adds none.
     """
     names = list(FEATURES)
-    sums = [F.sum(c).alias(c) for c in ("plain", "rewritten", "wrong")]
+    sums = [F.sum(c).alias(c) for c in ("plain", "rewritten", "wrong", "unsure")]
     rows = _evidence(_proposals(base_spans(docs.select("text")))).groupBy("held", *names).agg(*sums).collect()
+    written = lambda r: tuple(r[n] for n in names if n not in BESIDE)
+    known = {written(r) for r in rows if r["rewritten"]}
     cells: dict[bool, list] = {True: [], False: []}
     for r in rows:
-        if r["kind"] is None or not r["plain"] + r["rewritten"] + r["wrong"]:  # of texts without candidates
+        if r["kind"] is None:  # of texts without candidates
             continue
-        cells[r["held"]].append((tuple(int(r[n]) for n in names), float(r["plain"]), float(r["rewritten"]), float(r["wrong"])))
+        wrong = r["wrong"] + (0.0 if written(r) in known else r["unsure"])
+        if r["plain"] + r["rewritten"] + wrong:
+            cells[r["held"]].append((tuple(int(r[n]) for n in names), float(r["plain"]), float(r["rewritten"]), float(wrong)))
     learnt = [(f, plain + again + wrong, plain + again) for f, plain, again, wrong in sorted(cells[False])]
     trees = boost(learnt) if learnt else []
     return PiiModel(trees, tuple(calibrated([c for c in cells[True] if c[0][0] == kind], trees) for kind in range(len(KINDS))))
