@@ -105,16 +105,16 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, mod: int = 5) -> LanguageMode
 def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best label of each word; words of a text are consecutive, counts gives their number by text."""
     total, labels = scores.shape
-    out = np.zeros(total, np.int8)
+    out = np.zeros(total, np.int32)
     if not total or labels == 1:
         return out
     firsts = np.cumsum(counts) - counts
     order = np.argsort(-counts, kind="stable")
     firsts, lengths = firsts[order], counts[order]
     active = np.searchsorted(-lengths, -np.arange(1, lengths.max() + 1), side="right")  # texts with at least t words
-    came = np.zeros(total, np.int8)  # best label before a word
+    came = np.zeros(total, np.int32)  # best label before a word
     moved = np.zeros((total, labels), bool)  # whether a label is reached from it
-    ends = np.zeros(len(order), np.int8)
+    ends = np.zeros(len(order), np.int32)
     v = scores[firsts[: active[0]]].copy()
     for t in range(1, len(active)):
         n = active[t]
@@ -127,7 +127,7 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> n
         moved[at] = leap
         v = np.where(leap, np.float32(-switch), v - top) + scores[at]
     ends[: len(v)] = v.argmax(1)
-    label = np.zeros(len(order), np.int8)
+    label = np.zeros(len(order), np.int32)
     for t in range(len(active) - 1, -1, -1):
         n, at = active[t], firsts[: active[t]] + t
         fresh = active[t + 1] if t + 1 < len(active) else 0

@@ -66,3 +66,35 @@ def test_training_takes_as_many_jobs_whatever_the_partitions(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1]
     assert models[0].names == models[1].names and (models[0].scores == models[1].scores).all()
+
+
+def test_best_path_of_200_languages():
+    """Labels beyond 127: against the path scored cell by cell."""
+    noise = np.random.default_rng(4)
+    scores, counts = noise.normal(scale=9, size=(30, 200)).astype(np.float32), np.array([7, 1, 0, 22])
+    scores[3, 199] = scores[9, 150] = 200
+    got, at = language.viterbi(scores, counts), 0
+    for n in counts:
+        own = scores[at : at + n].astype(float)
+        best, back = own[:1].copy() if n else own, []
+        v = own[0] if n else None
+        for t in range(1, n):
+            came = np.where(v >= v.max() - language.SWITCH, np.arange(200), v.argmax())
+            v = np.maximum(v, v.max() - language.SWITCH) + own[t]
+            back.append(came)
+        if n:
+            path = [int(v.argmax())]
+            for came in reversed(back):
+                path.append(int(came[path[-1]]))
+            assert got[at : at + n].tolist() == path[::-1]
+        at += n
+    assert got[3] == 199 and got[9] == 150
+
+
+def test_two_hundred_languages_end_to_end(spark):
+    """Each language has its own words; texts of the last ones are labelled as such."""
+    word = lambda k, i: "".join("bcdfghjklm"[int(c)] + "aeiou"[(k + int(c)) % 5] for c in f"{k:03d}{i}")
+    rows = [(1000 * k + i, " ".join(word(k, (i + j) % 10) for j in range(12)), f"l{k:03d}") for k in range(200) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, language.train(docs)).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.95 * len(rows)
