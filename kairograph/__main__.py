@@ -68,6 +68,7 @@ def main(args: list[str] | None = None) -> None:
     elif given.command == "compact":
         for name in TABLES:
             store.compact(name)
+        store.answers().fold(spark)
     elif given.command == "consolidate":
         graph = store.graph()
         print(json.dumps({"nodes": graph.entities.count(), "edges": graph.edges.count(), "pending": pending(graph.entities).count()}))

@@ -6,13 +6,13 @@ JSON text, or plain text for answers. Its output is validated before it becomes
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 import re
 import time
 import urllib.error
 import urllib.request
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kairograph.operators.answers import Answers, key_column, key_of
 from kairograph.schema import DIRECTIONS, NODE_TYPES, PATTERNS, RELATIONS, STANDING_RELATIONS
 
 TEMPLATES = {
@@ -105,35 +106,69 @@ def json_schema(kind: T.DataType, allowed: dict[str, tuple[str, ...]] | None = N
 # ---------------------------------------------------------------- batches
 
 
-def ask(rows: DataFrame, client: Client, task: str, schema: str, relations: tuple[str, ...] | None = None, types: tuple[str, ...] | None = None, failed: str | None = None) -> DataFrame:
+#: Of the answers that a task remembers, and of the rows that Spark hands to Python at once.
+KEPT_BYTES, BATCH_BYTES = 16 << 20, 6 << 20
+
+
+class _Kept(OrderedDict):
+    """The latest answers by key, KEPT_BYTES of raw text at most."""
+
+    size = 0
+
+    def keep(self, key: str, raw: str, value: Any) -> None:
+        self[key] = (len(raw), value)
+        self.size += len(raw)
+        while self.size > KEPT_BYTES and len(self) > 1:
+            self.size -= self.popitem(last=False)[1][0]
+
+
+def ask(
+    rows: DataFrame, client: Client, task: str, schema: str, relations: tuple[str, ...] | None = None, types: tuple[str, ...] | None = None, failed: str | None = None,
+    answers: Answers | None = None,
+) -> DataFrame:
     """rows with the task's output columns. The client is sent to the tasks, one copy each; equal prompts of a task are asked once.
 
     The template's placeholders are taken from the columns of those names. Invalid output raises; with `failed`, a
-    column of that name gets the error and the output is null.
+    column of that name gets the error and the output is null. With `answers`, equal prompts meet in one of its `calls`
+    tasks, valid answers are written down as they come, and what is written there already isn't asked.
     """
     kind = T._parse_datatype_string(schema)  # noqa: SLF001
     wanted = [c for c in rows.columns if "{" + c + "}" in TEMPLATES[task]]
     allowed = ({"relation": relations} if relations else {}) | ({"type": types} if types else {})
-    wire = json_schema(kind, allowed)
+    wire, model = json_schema(kind, allowed), getattr(client, "model", type(client).__name__)
     names, fields = rows.columns, [*rows.schema.fields, *kind.fields, *([T.StructField(failed, T.StringType())] if failed else [])]
+    bound = rows.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")
+    if not bound.isdigit() or int(bound) > BATCH_BYTES:
+        rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if answers is not None:
+        rows = rows.withColumn("__key", key_column(task, model, [F.col(c) for c in wanted]))
+        table = answers.table(rows.sparkSession)
+        rows = rows.join(table.select(F.col("key").alias("__key"), F.col("raw").alias("__raw")), "__key", "left") if table is not None else rows.withColumn("__raw", F.lit(None).cast("string"))
+        rows = rows.repartition(answers.calls, "__key").select(*names, "__raw")
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        known: dict[str, Any] = {}
+        known = _Kept()
         for batch in batches:
             out = []
-            for row in batch[wanted].astype(object).to_dict("records"):
+            told = batch["__raw"] if answers is not None else [None] * len(batch)
+            for row, raw in zip(batch[wanted].astype(object).to_dict("records"), told, strict=True):
                 values = {k: "" if v is None else str(v) for k, v in row.items()}
-                key = hashlib.sha256(json.dumps([task, values], sort_keys=True).encode()).hexdigest()
+                key = key_of(task, model, list(values.values()))
                 if key not in known:
+                    stored = raw or (answers.get(key) if answers is not None else None)
+                    text = stored if stored is not None else client.ask(task, values, wire)
                     try:
-                        known[key] = (validated(client.ask(task, values, wire), kind, allowed), None)
+                        found = (validated(text, kind, allowed), None)
+                        if answers is not None and stored is None:
+                            answers.put(key, text)
                     except InvalidOutput as wrong:
                         if failed is None:
                             raise
-                        known[key] = (dict.fromkeys(kind.names), str(wrong))
-                value, error = known[key]
+                        found = (dict.fromkeys(kind.names), str(wrong))
+                    known.keep(key, text, found)
+                value, error = known[key][1]
                 out.append(value | ({failed: error} if failed else {}))
             yield pd.concat([batch[names].reset_index(drop=True), pd.DataFrame(out, columns=[f.name for f in fields[len(names) :]])], axis=1)
 

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kairograph.functions.temporal import utc
+from kairograph.operators.answers import Answers
 from kairograph.operators.lookup import Graph, exists
 from kairograph.operators.settle import settle
 from kairograph.schema import TABLES
@@ -104,8 +105,8 @@ class Store:
 
     def graph(self, as_of: dt.datetime | None = None) -> Graph:
         """The latest versions, or those that were the latest at the moment as_of."""
-        copies = {c: latest(self.log("edges", c, as_of)) for c in COPIES["edges"]}
-        return Graph(latest(self.log("entities", as_of=as_of)), copies["source"], latest(self.log("episodes", as_of=as_of)), copies["target"] if self._manifest("edges")[1] else None)
+        by_target = latest(self.log("edges", "target", as_of)) if self._manifest("edges")[1] else None
+        return Graph(*(latest(self.log(n, as_of=as_of)) for n in ("entities", "edges", "episodes")), by_target)
 
     def compact(self, name: str) -> None:
         """Rewrite all versions of a log in few files for each of its copies, and delete what the compaction before replaced."""
@@ -166,6 +167,10 @@ class Store:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)  # noqa: SLF001
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path  # noqa: SLF001
 
+    def answers(self) -> Answers:
+        """What models have answered for this store."""
+        return Answers(f"{self.path}/answers")
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Rows without seq are numbered after the highest in the log, in the order of their __order, if they have it."""
         fields = [f.split()[0] for f in TABLES[name].replace(" not null", "").split(", ")]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kairograph.clients import RulesClient
 from kairograph.functions import temporal, text
-from kairograph.operators import consolidate, ingest, lookup, rank, resolve, store, traverse
+from kairograph.operators import consolidate, ingest, lookup, parts, rank, resolve, store, traverse
 from kairograph.operators.lookup import Graph
 from kairograph.operators.settle import shared_dir
 from kairograph.plans import router, service
@@ -530,6 +530,18 @@ def numbered_episode_text(g: Graph) -> DataFrame:
     return lookup.numbered_texts(lookup.episodes_of(g))
 
 
+@on_graph(
+    """, m as (select source as entity_id, coalesce(text, '') as text, row_number() over (partition by source order by reference_time, ep.seq) as i from edges join episodes ep on target = ep.id where relation = 'MENTIONED_IN'),
+    l as (select entity_id, i, chr(10) || i || '. "' || text || '"' as line from m),
+    p as (select entity_id, i, k, substring(line, k * 1000 + 1, 1000) as piece from l, unnest(range(0, (length(line) - 1) // 1000 + 1)) t(k)),
+    s as (select *, (sum(length(piece)) over (partition by entity_id order by i, k) - length(piece)) // 1000 as part from p)
+    select entity_id, part::bigint as part, case when string_agg(piece, '' order by i, k)[1] = chr(10) then string_agg(piece, '' order by i, k)[2:] else string_agg(piece, '' order by i, k) end as episodes from s group by entity_id, part"""
+)
+def episode_text_parts(g: Graph) -> DataFrame:
+    """Each entity's numbered episodes in rows of at most 2000 characters."""
+    return parts.texts_in_parts(lookup.episodes_of(g), 2000)
+
+
 @on_graph("select id, name from entities where seq % 3 <> 0")
 def pending_entities(g: Graph) -> DataFrame:
     return lookup.pending(g.entities).select("id", "name")
@@ -537,7 +549,7 @@ def pending_entities(g: Graph) -> DataFrame:
 
 @on_graph("select count(*) as pending, count_if(id in (select source from edges where relation = 'MENTIONED_IN'))::bigint as with_episodes from entities where seq % 3 <> 0")
 def consolidation_counts(g: Graph) -> DataFrame:
-    marked = lookup.pending(g.entities).select("id").join(consolidate.material(g).select("id", F.lit(1).alias("has")), "id", "left")
+    marked = lookup.pending(g.entities).select("id").join(consolidate.material(g).select("id", F.lit(1).alias("has")).distinct(), "id", "left")
     return marked.agg(F.count("*").alias("pending"), F.count("has").alias("with_episodes"))
 
 

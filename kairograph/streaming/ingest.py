@@ -36,7 +36,7 @@ def ingest_batch(store: Store, incoming: DataFrame, client: Client, batch: str |
     fresh = settle(named.join(graph.episodes.select("id"), "id", "left_anti"))
     ingested = fresh.count()
     if ingested:
-        asked = ask(fresh.select(F.col("id").alias("episode_id"), "seq", "reference_time", "text"), client, "extract", EXTRACTION)
+        asked = ask(fresh.select(F.col("id").alias("episode_id"), "seq", "reference_time", "text"), client, "extract", EXTRACTION, answers=store.answers())
         write(store, fresh.withColumn("ingested_at", F.current_timestamp()), asked)
     return {"fetched": fetched, "ingested": ingested, "skipped": fetched - ingested}
 
