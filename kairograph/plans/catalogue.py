@@ -126,7 +126,7 @@ def facts_at_bulk(g: Graph) -> DataFrame:
 for _direction, _near, _id in (("out", "source", "customer_5"), ("in", "target", "part_1")):
     on_graph(
         f"select {SHOWN}, row_number() over (order by edges.valid_from, seq) as rank from edges where {_near} = '{_id}' and relation = 'USES'", f"history_{_direction}"
-    )(lambda g, d=_direction, i=_id: shown(traverse.history(g, i, "USES", d), F.row_number().over(Window.orderBy("valid_from", "seq")).cast("long").alias("rank")))
+    )(lambda g, d=_direction, i=_id: shown(rank.placed(traverse.history(g, i, "USES", d), "rank", "valid_from", "seq"), "rank"))
 
 
 @on_graph(f"select relation, {OPEN} as is_open, count(*) as n from edges group by all")
@@ -519,7 +519,7 @@ def store_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @on_graph("select ep.id, strftime(reference_time, '%Y-%m-%d %H:%M:%S') as reference_time, row_number() over (order by reference_time, ep.seq) as place from edges join episodes ep on target = ep.id where source = 'nation_3' and relation = 'MENTIONED_IN'")
 def episodes_for_entity(g: Graph) -> DataFrame:
     found = lookup.episodes_of(g, "nation_3")
-    return found.select("id", F.date_format("reference_time", STAMP).alias("reference_time"), F.row_number().over(Window.orderBy("reference_time", "seq")).cast("long").alias("place"))
+    return rank.placed(found, "place", "reference_time", "seq").select("id", F.date_format("reference_time", STAMP).alias("reference_time"), "place")
 
 
 @on_graph(

@@ -50,7 +50,9 @@ def since(cursor: str | None, now: dt.datetime, days_back: int = LOOK_BACK_DAYS)
 def fetch(events: DataFrame, now: dt.datetime, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows of events that aren't cancelled and have enough words. attendees includes the calendar's owner."""
     started = F.lit(now.isoformat())
-    rows = events.where(F.coalesce("status", F.lit("")) != "cancelled").withColumn("__text", event_text()).where(word_count(F.col("__text")) >= min_words)
+    # generated, as a filter on a projected text would be pushed below and make every text twice
+    long_enough = F.explode_outer(F.filter(F.array(event_text()), lambda t: word_count(t) >= min_words)).alias("__text")
+    rows = events.where(F.coalesce("status", F.lit("")) != "cancelled").select("*", long_enough).where("__text is not null")
     return rows.select(
         F.col("id").alias("event_id"), F.coalesce("summary", F.lit(UNTITLED)).alias("title"), F.col("__text").alias("plain_text_content"),
         F.coalesce(first_truthy(F.col("start.dateTime"), F.col("start.date")), started).alias("event_time"), F.coalesce("updated", started).alias("updated"),
