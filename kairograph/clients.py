@@ -195,7 +195,10 @@ def with_retries(call: Callable[[], Any], attempts: int = 5, delay: float = 5.0,
 
 
 class HttpClient:
-    """Posts prompts to an endpoint that takes {input, text.format} and answers {output: [{content: [{text}]}]}."""
+    """Posts prompts to an endpoint that takes {input, text.format} and answers {output: [{content: [{text}]}]}.
+
+    Fixed values: the fields of request and answer, the status codes that may pass, and the number and delays of attempts.
+    """
 
     def __init__(self, url: str, model: str, key: str | None = None, key_variable: str = "KAIROGRAPH_MODEL_KEY", timeout: float = 120.0, post: Callable | None = None):
         self.url, self.model, self.timeout, self.post = url, model, timeout, post

@@ -32,7 +32,7 @@ def route(question: str, client: Client) -> Intent:
 
 
 def check(graph: Graph, intent: Intent) -> dict | None:
-    """An error as a dict, or None. One job looks up both ids."""
+    """An error as a dict, or None. One job looks up both ids. The errors' texts and keys, which callers read."""
     wanted = [x for x in (intent.anchor_entity, intent.target_entity) if x is not None]
     found = {(r.id, r.kind) for r in graph.entities.select("id", F.lit("entity").alias("kind")).union(graph.episodes.select("id", F.lit("episode").alias("kind"))).where(F.col("id").isin(wanted)).collect()}
     ids = {i for i, _ in found}

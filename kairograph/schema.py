@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: The fields' names.
 ENTITIES = "id string not null, type string, name string, summary string, consolidated boolean not null, consolidation_run_id string, created_at timestamp, seq bigint"
 EDGES = (
     "id string not null, source string not null, target string not null, relation string not null, fact string, valid_from timestamp, valid_until timestamp,"
@@ -19,6 +20,7 @@ CONSOLIDATION = "summary string, semantic_edges array<struct<relation:string,tar
 MENTION = "MENTIONED_IN"
 #: Fixed value: the fact of a mention.
 MENTION_FACT = "entity mentioned in this episode"
+#: The vocabularies that stores, prompts and answers share.
 NODE_TYPES = ("person", "service", "team", "tool", "concept")
 STANDING_RELATIONS = ("MEMBER_OF", "OWNS", "DEPENDS_ON", "USES", "REPORTED", "RESOLVED_BY")
 RELATIONS = (*STANDING_RELATIONS, MENTION)
