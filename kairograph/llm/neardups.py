@@ -11,10 +11,17 @@ Texts with equal words in order are one node, named by their 64-bit hash.
 
 A large group of near copies has links in the square of its size, so neither candidates nor links are made as rows.
 First each node is compared with the next few of each of its exact segments' buckets, and joined to the least node of
-each of its bands, a number of pairs linear in the nodes; the full search then returns only pairs that lie in different components of those, and both together give the
-components of the candidate graph. These are verified in blocks: a component's nodes are dealt into blocks of about
-BLOCK nodes or BLOCK_BYTES of shingles, small components share one, and each pair of blocks is a group that compares
-its candidates and returns one row a node, its component there. No candidate pair is left out.
+each of its bands and fingerprints, a number of pairs linear in the nodes. Nodes of one fingerprint are so in one
+component, and the full search takes distinct fingerprints and returns pairs of components; a bucket of over BUCKET
+fingerprints is dealt in blocks, each pair of which returns one row a component. Both together give the components of
+the candidate graph.
+
+These are verified in two steps. A component's nodes are dealt into blocks of about BLOCK nodes or BLOCK_BYTES of
+shingles (small components share one), and each block compares its own candidates and those with REPS nodes that all
+blocks of the component get. What that joins is a class. Only nodes of different classes are left to compare: each large
+class has blocks of its own, the small ones of a component are mixed, and each pair of blocks but those of one large
+class is a group. A group of copies that the first step joins whole is so never spread in its square. No candidate pair
+is left out, and joins on keys that many nodes share are dealt over parts.
 """
 
 from __future__ import annotations
@@ -23,13 +30,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kairograph.llm.chars import mix
-from kairograph.llm.common import durable, map_arrow
-from kairograph.llm.components import components
-from kairograph.llm.simhash import MOST_BITS, SEGMENTS, fuzzy_keys
+from kairograph.llm.common import HOT_KEYS, durable, hot_keys, map_arrow, salted_join
+from kairograph.llm.components import components, local_components
+from kairograph.llm.simhash import CELLS, MOST_BITS, MOST_KEYS, SEGMENTS, fuzzy_keys
 
 SEEDS = 3
 BANDS, ROWS = 24, 5
@@ -39,8 +46,8 @@ NEXT = 4  # nodes of a bucket that each is compared with at first
 BUCKET = 512
 BLOCK = 256
 BLOCK_BYTES = 8 << 20
+REPS = 4  # nodes that all blocks of a component are compared with
 MINIMA = 1 << 12  # shingles hashed at once
-MASKS = [((1 << bits) - 1) << low for low, bits in SEGMENTS]
 
 
 def words(text: str | None) -> list[bytes]:
@@ -126,44 +133,79 @@ def window_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def band_pairs(nodes: DataFrame) -> DataFrame:
-    """(u, v): each node with the least node of each of its bands; one key's nodes are so joined without their square."""
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u < most").select("key", "u")
-    return keyed.join(shared.hint("merge"), "key").where("node > u").select("u", F.col("node").alias("v")).distinct()
+def _hot(counted: DataFrame, keys: list[str], total: int, most: int = BUCKET) -> DataFrame:
+    """As common.hot_keys(), of a table that holds the numbers of rows n of its keys already."""
+    least = max(most, -(-total // HOT_KEYS))
+    return counted.where(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("parts"))
 
 
-def _fuzzy(nodes: DataFrame, second: bool) -> DataFrame:
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows, keys, fps = [], [], []
-        for seed in range(SEEDS):
-            of = batch.column(2 + seed).to_numpy(zero_copy_only=False)
-            r, k = fuzzy_keys(of, second)
-            rows.append(r)
-            keys.append(k + (np.int64(seed) << 26))
-            fps.append(of[r])
-        at = pa.array(np.concatenate(rows))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(fps)), batch.column(0).take(at), batch.column(1).take(at)], ["key", "fp", "node", "comp"])
+def shared_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v): each node with the least node of each of its bands and fingerprints; so a key's nodes meet without their square."""
+    prints = F.array(*[F.struct(F.lit(s).alias("of"), F.col(f"f{s}").alias("key")) for s in range(SEEDS)])
+    bands = F.transform("bands", lambda key: F.struct(F.lit(SEEDS).alias("of"), key.alias("key")))
+    keyed = nodes.select("node", F.explode(F.concat(prints, bands)).alias("k")).select("node", "k.of", "k.key")
+    shared = keyed.groupBy("of", "key").agg(F.min("node").alias("u"), F.count("*").alias("n")).where("n > 1")
+    shared = durable(shared, "shared")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    met = salted_join(keyed, shared.select("of", "key", "u"), ["of", "key"], _hot(shared, ["of", "key"], total), ["node"])
+    return met.where("node > u").select("u", F.col("node").alias("v")).distinct()
 
-    return map_arrow(nodes.select("node", "comp", *(f"f{k}" for k in range(SEEDS))), fn, "key long, fp long, node long, comp long")
 
+def _fuzzy(prints: DataFrame, second: bool) -> DataFrame:
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, keys = fuzzy_keys(batch.column(1).to_numpy(zero_copy_only=False), second)
+        at = pa.array(rows)
+        keys = keys + (batch.column(0).to_numpy().astype(np.int64)[rows] << 26)
+        return pa.RecordBatch.from_arrays([pa.array(keys), batch.column(1).take(at), batch.column(2).take(at)], ["key", "fp", "comp"])
+
+    return map_arrow(prints.select("seed", "fp", "comp"), fn, "key long, fp long, comp long")
+
+
+def joined_components(block: pa.Table) -> pa.Table:
+    """(u, v) of rows (side, fp, comp): each component with the least that pairs of unlike sides within four bits join it to here."""
+    side, fp = block.column("side").to_numpy(), block.column("fp").to_numpy()
+    names, comp = np.unique(block.column("comp").to_numpy(), return_inverse=True)
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    label = np.arange(len(names))
+    step = max(1, CELLS // max(len(b), 1))
+    for first in range(0, len(a), step):
+        part = a[first : first + step]
+        near = (comp[part, None] != comp[None, b]) & (np.bitwise_count((fp[part, None] ^ fp[None, b]).view(np.uint64)) <= MOST_BITS)
+        i, j = np.nonzero(near)
+        label = local_components(len(names), np.concatenate([comp[part[i]], np.arange(len(names))]), np.concatenate([comp[b[j]], label]))
+    moved = label != np.arange(len(names))
+    return pa.table({"u": names[moved], "v": names[label[moved]]})
+
+
+def _close(a: DataFrame, b: DataFrame, rows: int) -> DataFrame:
+    """(u, v) that join the components of all pairs of a and b (key, fp, comp) of one key and within four bits.
+
+    A pair must meet in both orders of a and b. A key of up to BUCKET of the `rows` rows is compared within the join; a
+    larger one is dealt by a hash into blocks, each pair of which is a group.
+    """
+    both = a.withColumn("side", F.lit(0)).union(b.withColumn("side", F.lit(1)))
+    hot = F.broadcast(durable(hot_keys(both, ["key"], rows, BUCKET), "hot"))
+    close = F.expr(f"a.key = b.key and a.comp < b.comp and bit_count(a.fp ^ b.fp) <= {MOST_BITS}")
+    cold_a, cold_b = (x.join(hot, "key", "left_anti") for x in (a, b))
+    found = cold_a.alias("a").hint("merge").join(cold_b.alias("b"), close).select(F.col("a.comp").alias("u"), F.col("b.comp").alias("v"))
+    dealt = both.join(hot, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    first = F.col("side") == 0
+    dealt = dealt.select("key", F.when(first, F.col("mine")).otherwise(F.col("other")).alias("x"), F.when(first, F.col("other")).otherwise(F.col("mine")).alias("y"), "side", "fp", "comp")
+    return found.union(dealt.groupBy("key", "x", "y").applyInArrow(joined_components, "u long, v long"))
 
-def cross_pairs(nodes: DataFrame) -> DataFrame:
-    """(u, v): all pairs of nodes in different components and within four bits of one fingerprint, each once."""
-    pair = f"a.key = b.key and a.node < b.node and a.comp <> b.comp and bit_count(a.fp ^ b.fp) <= {MOST_BITS}"
-    first, second, _ = _signed(MASKS)
-    # at a fingerprint's first equal segment; without one, by the Golay keys
-    exact_once = f"case (a.key >> 22) % 3 when 0 then true when 1 then ((a.fp ^ b.fp) & {first}L) <> 0 else ((a.fp ^ b.fp) & {first}L) <> 0 and ((a.fp ^ b.fp) & {second}L) <> 0 end"
-    fuzzy_once = " and ".join(f"((a.fp ^ b.fp) & {m}L) <> 0" for m in _signed(MASKS))
-    keyed = nodes.select(F.explode(F.array(*[F.struct(k.alias("key"), F.col(f"f{s}").alias("fp")) for s in range(SEEDS) for k in _segments(s)])).alias("k"), "node", "comp").select("k.key", "k.fp", "node", "comp")
-    exact = keyed.alias("a").hint("merge").join(keyed.alias("b"), F.expr(f"{pair} and {exact_once}"))
-    fuzzy = _fuzzy(nodes, False).alias("a").hint("merge").join(_fuzzy(nodes, True).alias("b"), F.expr(f"{pair} and {fuzzy_once}"))
-    ends = [F.col("a.node").alias("u"), F.col("b.node").alias("v")]
-    return exact.select(*ends).union(fuzzy.select(*ends)).distinct()
 
+def cross_pairs(nodes: DataFrame) -> DataFrame:
+    """(u, v) that join the components of all nodes (node, comp, f0, ...) within four bits of one fingerprint.
 
-def _signed(masks: list[int]) -> list[int]:
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    Nodes of one fingerprint must be in one component, as shared_pairs() puts them.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("seed"), F.col(f"f{s}").alias("fp")) for s in range(SEEDS)]))
+    prints = durable(nodes.select("comp", each.alias("p")).groupBy("p.seed", "p.fp").agg(F.first("comp").alias("comp")), "distinct")
+    number = prints.count()
+    segments = F.array(*[(F.col("seed") * 3 + i) * (1 << 22) + F.shiftrightunsigned("fp", low).bitwiseAND((1 << bits) - 1) for i, (low, bits) in enumerate(SEGMENTS)])
+    exact = prints.select(F.explode(segments).alias("key"), "fp", "comp")
+    same = _close(exact, exact, 2 * len(SEGMENTS) * number)
+    return same.union(_close(_fuzzy(prints, False), _fuzzy(prints, True), 2 * len(SEGMENTS) * MOST_KEYS * number)).distinct()
 
 
 def shingle_sets(nodes: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
@@ -179,16 +221,20 @@ def shingle_sets(nodes: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFr
 
 
 def joined_in_block(block: pa.Table, similarity: float = SIMILARITY) -> pa.Table:
-    """(u, v) of the rows (node, comp, fps, bands, s) of a pair of blocks: each node with the least of its component there."""
+    """(u, v) of the rows (node, comp, class, fps, bands, s) of a pair of blocks: each node with the least of its component there.
+
+    Nodes of one class are joined already.
+    """
     node, comp = block.column("node").to_numpy(), block.column("comp").to_numpy()
     order = np.argsort(node)
     node, comp = node[order], comp[order]
+    _, least, own = np.unique(block.column("class").to_numpy()[order], return_index=True, return_inverse=True)
     prints = [block.column(f"f{k}").to_numpy()[order] for k in range(SEEDS)]
     bands = np.ascontiguousarray(pc.list_flatten(block.column("bands")).to_numpy().reshape(-1, BANDS)[order].T)
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in block.column("s")]
     sets = [sets[i] for i in order.tolist()]
     sizes = np.array([len(x) for x in sets])
-    parent = list(range(len(node)))
+    parent = least[own].tolist()
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -202,7 +248,7 @@ def joined_in_block(block: pa.Table, similarity: float = SIMILARITY) -> pa.Table
         for f in prints:
             near |= np.bitwise_count((f[rest] ^ f[i]).view(np.uint64)) <= MOST_BITS
         near |= (bands[:, rest] == bands[:, i, None]).any(0)
-        near &= (comp[rest] == comp[i]) & (np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i])) & (sizes[rest] > 0)
+        near &= (comp[rest] == comp[i]) & (own[rest] != own[i]) & (np.minimum(sizes[rest], sizes[i]) >= similarity * np.maximum(sizes[rest], sizes[i])) & (sizes[rest] > 0)
         for j in (np.flatnonzero(near) + i + 1).tolist():
             if (a := find(i)) != (b := find(j)):
                 small, large = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
@@ -215,24 +261,79 @@ def joined_in_block(block: pa.Table, similarity: float = SIMILARITY) -> pa.Table
     return pa.table({"u": node[moved], "v": node[root[moved]]})
 
 
+def _blocks() -> Column:
+    """How many blocks n nodes with shingles of `bytes` bytes make."""
+    return F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("long")
+
+
+def representatives(big: DataFrame) -> DataFrame:
+    """Up to REPS rows of each comp, which its hashes choose; big holds comp, node and other columns."""
+    chosen = big.groupBy("comp").agg(*[F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node"))["node"].alias(f"r{k}") for k in range(REPS)])
+    chosen = chosen.select(F.explode(F.array_distinct(F.array(*[f"r{k}" for k in range(REPS)]))).alias("node"))
+    return big.join(chosen, "node", "left_semi")
+
+
+def first_blocks(dealt: DataFrame, bins: int) -> DataFrame:
+    """dealt (placed columns, class, blocks) with (big, x, y): small components share bins; large ones lie in blocks with the representatives."""
+    zero = F.lit(0).cast("long")
+    one = dealt.where("blocks = 1").select(zero.alias("big"), F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("x"), zero.alias("y"), *dealt.columns)
+    big, mine = dealt.where("blocks > 1"), F.pmod(F.xxhash64("node"), "blocks")
+    many = big.select(F.col("comp").alias("big"), mine.alias("x"), zero.alias("y"), *dealt.columns)
+    others = F.explode(F.filter(F.sequence(zero, F.col("blocks") - 1), lambda x: x != mine))
+    guests = representatives(big).select(F.col("comp").alias("big"), others.alias("x"), zero.alias("y"), *dealt.columns)
+    return one.union(many).union(guests)
+
+
+def class_blocks(rows: DataFrame, total: int) -> DataFrame | None:
+    """rows (placed columns, class) with (big, x, y): all pairs of blocks of a component that hold unlike classes; None if there are none.
+
+    A class of a quarter of a block or more has blocks of its own; the others of a component are mixed, slot 0.
+    """
+    sizes = durable(rows.groupBy("comp", "class").agg(F.count("*").alias("n"), F.sum(F.octet_length("s")).alias("bytes")), "classes")
+    own = (F.col("n") >= BLOCK // 4) | (F.col("bytes") >= BLOCK_BYTES // 4)
+    slotted = sizes.withColumn("own", own).withColumn("slot", F.when(own, F.col("class")).otherwise(0))
+    slots = slotted.groupBy("comp", "own", "slot").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("classes")).withColumn("blocks", _blocks())
+    of, before = Window.partitionBy("comp"), Window.partitionBy("comp").orderBy("own", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.select("*", F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("low"), F.sum("blocks").over(of).alias("all"), F.sum("classes").over(of).alias("unlike"))
+    slots = durable(slots.where("unlike > 1"), "slots")
+    if slots.isEmpty():
+        return None
+    keys = ["comp", "own", "slot"]
+    hot = _hot(slots.select(*keys, F.col("classes").alias("n")), keys, total)
+    laid = salted_join(slotted.select("class", *keys), slots.select(*keys, "blocks", "low", "all"), keys, hot, ["class"]).drop("slot")
+    rows = salted_join(rows, laid, ["comp", "class"], _hot(sizes, ["comp", "class"], total), ["node"])
+    none = F.array().cast("array<bigint>")
+    up_to = lambda low, high: F.when(high > low, F.sequence(low.cast("long"), high.cast("long") - 1)).otherwise(none)
+    zero, end = F.lit(0), F.col("low") + F.col("blocks")
+    others = F.when(F.col("own"), F.concat(up_to(zero, F.col("low")), up_to(end, F.col("all")))).otherwise(up_to(zero, F.col("all")))
+    met = rows.withColumn("mine", F.col("low") + F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(others))
+    return met.select(F.col("comp").alias("big"), F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), *[c for c in rows.columns if c not in ("own", "blocks", "low", "all")])
+
+
 def verified(candidates: DataFrame, nodes: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v) that join what is alike in each component of candidates (node, component)."""
     placed = durable(nodes.join(candidates, "node").join(shingle_sets(candidates, prints, docs), "node").withColumnRenamed("component", "comp"), "sets")
     spread = placed.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("s")).alias("bytes"))
-    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))
-    spread = durable(spread.withColumn("parts", parts), "spread")
-    small = spread.where("parts = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    spread = durable(spread.withColumn("blocks", _blocks()), "spread")
+    small = spread.where("blocks = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     bins = int(max(1, small[0] // BLOCK, small[1] // BLOCK_BYTES))
-    dealt = placed.join(spread.select("comp", "parts"), "comp")
-    one = dealt.where("parts = 1").select(F.lit(0).cast("long").alias("big"), F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("x"), F.lit(0).cast("long").alias("y"), *placed.columns)
-    mine = F.pmod(F.xxhash64("node"), "parts")
-    many = dealt.where("parts > 1").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    many = many.select(F.col("comp").alias("big"), F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), *placed.columns)
+    total = spread.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = salted_join(placed, spread.select("comp", "blocks"), ["comp"], _hot(spread, ["comp"], total), ["node"])
 
     def join(block: pa.Table) -> pa.Table:
         return joined_in_block(block)
 
-    return one.union(many).groupBy("big", "x", "y").applyInArrow(join, "u long, v long")
+    def found(blocks: DataFrame) -> DataFrame:
+        return blocks.drop("blocks").groupBy("big", "x", "y").applyInArrow(join, "u long, v long")
+
+    first = found(first_blocks(dealt.withColumn("class", F.col("node")), bins))
+    if spread.where("blocks > 1").isEmpty():
+        return first
+    first = durable(first, "first")
+    classes = durable(components(first), "joined")
+    rows = dealt.where("blocks > 1").drop("blocks").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
+    rest = class_blocks(rows, total)
+    return first if rest is None else first.union(found(rest))
 
 
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -240,7 +341,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = durable(_prints(docs), "prints")
     fps = [f"f{k}" for k in range(SEEDS)]
     nodes = durable(prints.where("doc_id is not null").groupBy("node").agg(*[F.first(f).alias(f) for f in (*fps, "bands")]), "nodes")
-    first = durable(window_pairs(nodes).union(band_pairs(nodes)), "near")
+    first = durable(window_pairs(nodes).union(shared_pairs(nodes)), "near")
     joined = durable(components(first), "joined")
     placed = durable(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), *fps), "placed")
     candidates = durable(components(first.union(cross_pairs(placed))), "candidates")
@@ -268,7 +369,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     ids = prints.where("doc_id is not null").join(joined, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("comp"))
     pairs = durable(ids.groupBy("doc_id", "node").agg(F.min("comp").alias("comp"), F.count("*").alias("times")), "ids")
     least = pairs.groupBy("comp").agg(F.min(F.struct("doc_id", "node")).alias("least"))
-    judged = durable(pairs.join(least, "comp").select("doc_id", "node", "times", (F.struct("doc_id", "node") == F.col("least")).alias("stays")), "judged")
+    sizes = durable(pairs.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET), "sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    judged = durable(salted_join(pairs, least, ["comp"], _hot(sizes, ["comp"], total), ["node"]).select("doc_id", "node", "times", (F.struct("doc_id", "node") == F.col("least")).alias("stays")), "judged")
     per_id = judged.groupBy("doc_id").agg(F.sum("times").alias("times"), F.bool_or("stays").alias("stays"))
     gone = durable(per_id.where("not stays or times > 1").select(F.col("doc_id").alias("__id"), F.col("stays").alias("__again")), "gone")
     ids, again = gone.select("__id").alias("g"), gone.where("__again").select("__id").alias("g")
