@@ -110,7 +110,7 @@ def test_one_of_each_group_stays(spark):
     want, got = set(least.values()), {r.doc_id for r in neardups.one_of_each(docs).collect()}
     assert want <= got  # nothing else is dropped
     gone = len(rows) - len(want)
-    assert gone > 50 and len(got - want) <= 0.05 * gone
+    assert gone > 50 and got <= want  # and none is missed
 
 
 def test_a_dense_group_becomes_one(spark):
