@@ -344,7 +344,8 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = durable(window_pairs(nodes).union(shared_pairs(nodes)), "near")
     joined = durable(components(first), "joined")
     placed = durable(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), *fps), "placed")
-    candidates = durable(components(first.union(cross_pairs(placed))), "candidates")
+    stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))  # all that `first` joins, an edge a node
+    candidates = durable(components(stars.union(cross_pairs(placed))), "candidates")
     return prints, components(verified(candidates, nodes, prints, docs))
 
 
