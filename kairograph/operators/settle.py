@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def filed(df: DataFrame) -> DataFrame:
+    """df, computed once into Parquet files of the shared folder; unlike a settled table it may be joined with itself."""
+    spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/filed-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ready(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:

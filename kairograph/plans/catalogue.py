@@ -626,7 +626,7 @@ def fetched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = F.when(F.col("level") == 0, F.col("conv_id").cast("string")).otherwise(F.concat_ws("-", "conv_id", F.col("level") * 2 - 1))
     raw = F.to_json(F.struct(F.concat_ws("-", "conv_id", "k").alias("id"), F.lit("paragraph").alias("type"), F.col("inner").alias("has_children"), content.alias("paragraph")))
     served = f"{shared_dir(spark)}/service-{uuid.uuid4().hex}"
-    shaped.select(parent.alias("parent"), F.col("k").cast("int").alias("pos"), raw.alias("raw")).sort("parent", "pos").write.parquet(served)
+    shaped.select(parent.alias("parent"), F.col("k").cast("int").alias("pos"), raw.alias("raw")).sort("parent", "pos").write.option("parquet.block.row.count.limit", 1000).parquet(served)
     options = {"transport": "kairograph.sources.feed:from_table", "url": served + "?parent={id}", "items": "results"}
     return pages.page_texts(blocks.fetch_blocks(turns.select(F.col("conv_id").cast("string").alias("id")).distinct(), options))
 

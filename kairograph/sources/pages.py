@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kairograph.functions.temporal import parse_time
 from kairograph.functions.text import word_count
-from kairograph.operators.settle import settle
+from kairograph.operators.settle import filed, settle
 
 MIN_WORDS = 50
 #: The block types whose own text counts.
@@ -40,20 +40,27 @@ def page_title(properties: Column) -> Column:
 def page_texts(blocks: DataFrame, levels: int = 1000) -> DataFrame:
     """(page_id, text) of blocks (parent, pos, raw): top blocks have the page as parent.
 
-    One join a level of nesting carries each block's page and path of positions; paths sort a parent before its
-    children, so one ordered aggregate a page gives pre-order.
+    Blocks with children find their page and path of positions by doubling: each round joins a block with the one that it
+    has got up to, so a depth of n takes log n rounds. A block whose way up never ends belongs to no page. Paths sort a
+    parent before its children, so one ordered aggregate a page gives pre-order.
     """
     own = settle(blocks.select("parent", "pos", F.get_json_object("raw", "$.id").alias("id"), block_text(F.col("raw")).alias("text")))
-    inner = own.select(F.col("id").alias("parent")).distinct()
-    level = settle(own.join(inner, "parent", "left_anti").select(F.col("parent").alias("page_id"), "id", F.array("pos").alias("path"), "text"))
-    found = level
-    for _ in range(levels):
-        level = settle(own.alias("c").join(level.alias("p"), F.expr("c.parent = p.id")).select("p.page_id", "c.id", F.expr("p.path || array(c.pos)").alias("path"), "c.text"))
-        if level.isEmpty():
-            break
-        found = found.union(level)
-    else:
+    parents = own.where("parent is not null").select(F.col("parent").alias("id")).distinct()
+    inner = own.select("id", F.col("parent").alias("up"), F.array("pos").alias("path")).join(parents, "id", "left_semi")
+    ids = inner.select(F.col("id").alias("up"), F.lit(False).alias("__top")).distinct()
+    state = filed(inner.join(ids, "up", "left").select("id", "up", "path", F.coalesce("__top", F.lit(True)).alias("done")))
+    while True:
+        left = state.where("not done")
+        found = filed(left.alias("c").join(state.alias("p"), F.expr("c.up = p.id")).select("c.id", "p.up", F.expr("p.path || c.path").alias("path"), "p.done"))
+        if found.where("done").isEmpty():
+            break  # what is left, if anything, goes round in circles
+        state = filed(state.where("done").union(found))
+    ways = state.where("done").select(F.col("id").alias("parent"), F.col("up").alias("page_id"), "path")
+    if not ways.where(F.size("path") >= levels).isEmpty():
         raise RuntimeError(f"blocks nest over {levels} levels")
+    below = own.join(ways, "parent").select("page_id", F.expr("path || array(pos)").alias("path"), "text")
+    top = own.join(ids.select(F.col("up").alias("parent")), "parent", "left_anti").select(F.col("parent").alias("page_id"), F.array("pos").alias("path"), "text")
+    found = top.union(below)
     ordered = F.array_sort(F.collect_list(F.struct("path", "text")))
     lines = F.filter(F.transform(ordered, lambda x: x["text"]), lambda t: t != "")
     return found.groupBy("page_id").agg(F.array_join(lines, "\n").alias("text"))

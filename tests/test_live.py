@@ -7,7 +7,7 @@ import pytest
 from kairograph.__main__ import main
 from kairograph.clients import RulesClient
 from kairograph.operators.store import Store
-from kairograph.sources import pages
+from kairograph.sources import blocks, feed, pages
 from kairograph.sources.blocks import fetch_blocks
 from kairograph.sources.changes import ChangesReader
 from kairograph.streaming import live
@@ -142,3 +142,40 @@ def test_cursor_of_dumps(spark, tmp_path, capsys):
     main(args)
     told = [json.loads(line) for line in capsys.readouterr().out.split("\n") if line.startswith("{")]
     assert [(x["fetched"], x["ingested"]) for x in told] == [(1, 1), (0, 0)]
+
+
+def test_deep_blocks_take_few_waves(spark, tmp_path, monkeypatch):
+    """A chain of 300 levels beside a flat page: few waves, one call a parent, whole text; too deep a chain is an error."""
+    service = Service(tmp_path)
+    service.data["children"] = {"p": [block("b0", "t0", True)], **{f"b{i}": [block(f"b{i + 1}", f"t{i + 1}", i < 299)] for i in range(300)}, "q": [block("x", "flat")]}
+    service.save()
+    waves, asked = [], blocks.children
+    monkeypatch.setattr(blocks, "children", lambda *a: waves.append(1) or asked(*a))
+    made = spark.createDataFrame([("p",), ("q",)], "id string")
+    got = fetch_blocks(made, service.options()[1])
+    assert len(waves) <= 3
+    calls = service.calls()
+    assert len(calls) == len(set(calls)) == 302
+    assert {r.page_id: r.text for r in pages.page_texts(got).collect()} == {"p": "\n".join(f"t{i}" for i in range(301)), "q": "flat"}
+    with pytest.raises(RuntimeError, match="levels"):
+        fetch_blocks(made, service.options()[1], levels=250)
+    with pytest.raises(RuntimeError, match="levels"):
+        pages.page_texts(got, levels=250)
+
+
+def test_blocks_in_a_circle_belong_to_no_page(spark):
+    rows = [("p", 0, "a"), ("a", 0, "b"), ("c", 0, "d"), ("d", 0, "c"), ("d", 1, "e")]
+    made = spark.createDataFrame([(parent, pos, json.dumps(block(id, id))) for parent, pos, id in rows], "parent string, pos int, raw string")
+    assert {r.page_id: r.text for r in pages.page_texts(made).collect()} == {"p": "a\nb"}
+
+
+def test_a_served_table_is_read_by_row_groups(spark, tmp_path):
+    """One footer a file and process, and of 50 row groups only those of the parent asked for."""
+    rows = [(f"p{i:04}", pos, json.dumps({"id": f"{i}-{pos}"})) for i in range(1000) for pos in range(5)]
+    path = str(tmp_path / "served")
+    spark.createDataFrame(rows, "parent string, pos int, raw string").coalesce(1).sort("parent", "pos").write.option("parquet.block.row.count.limit", 100).parquet(path)
+    feed._answers.cache_clear()  # noqa: SLF001
+    for i in (0, 500, 999):
+        assert [x["id"] for x in feed.items({"transport": "kairograph.sources.feed:from_table"}, f"{path}?parent=p{i:04}")] == [f"{i}-{pos}" for pos in range(5)]
+    assert list(feed.items({"transport": "kairograph.sources.feed:from_table"}, f"{path}?parent=none")) == []
+    assert feed._row_groups.cache_info().misses and feed._answers.cache_info().misses <= 4  # noqa: SLF001
