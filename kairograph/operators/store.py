@@ -47,10 +47,13 @@ COPIES = {"entities": ("id",), "edges": ("source", "target"), "episodes": ("id",
 
 
 def latest(log: DataFrame) -> DataFrame:
-    """The row of the highest seq for each id, with the first version's seq as its place in order."""
+    """The row of the highest seq for each id, with the first version's seq as its place in order.
+
+    Each column is an aggregate of its own, so that those a reader leaves out are neither shuffled nor sorted.
+    """
     fixed = [c for c in FIXED if c in log.columns]
-    row = F.struct(*[c for c in log.columns if c != "seq" and c not in fixed])
-    return log.groupBy(*fixed).agg(F.max_by(row, "seq").alias("r"), F.min("seq").alias("seq")).select(*fixed, "r.*", "seq").select(*log.columns)
+    rest = [F.max_by(c, "seq").alias(c) for c in log.columns if c != "seq" and c not in fixed]
+    return log.groupBy(*fixed).agg(*rest, F.min("seq").alias("__seq")).select(*[F.col("__seq").alias("seq") if c == "seq" else c for c in log.columns])
 
 
 def edge_id(*more: Column) -> Column:
@@ -58,17 +61,19 @@ def edge_id(*more: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", "source", "relation", "target", *more), 256)
 
 
-def accept_edges(new: DataFrame, graph: Graph) -> tuple[DataFrame, DataFrame]:
+def accept_edges(new: DataFrame, graph: Graph, relations: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): edges between known nodes whose (source, target, relation) isn't open yet, the first of each.
 
-    new has source, target, relation and seq; rejected adds a reason.
+    new has source, target, relation and seq; rejected adds a reason. relations, if given, must name all that new has:
+    versions of edges of others are then not gone through.
     """
     key = ["source", "target", "relation"]
     ids = graph.ids().distinct()
+    held = graph.open_edges() if relations is None else graph.open_edges().where(F.col("relation").isin(*relations))
     marked = (
         new.join(ids.select(F.col("id").alias("source"), F.lit(True).alias("__s")), "source", "left")
         .join(ids.select(F.col("id").alias("target"), F.lit(True).alias("__t")), "target", "left")
-        .join(graph.open_edges().select(*key, F.lit(True).alias("__o")).distinct(), key, "left")
+        .join(held.select(*key).distinct().withColumn("__o", F.lit(True)), key, "left")
     )
     reason = F.when(F.col("__s").isNull() | F.col("__t").isNull(), "missing node").when(F.col("__o"), "already open")
     marked = marked.withColumn("reason", reason)

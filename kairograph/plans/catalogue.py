@@ -418,7 +418,7 @@ def latest_version(g: Graph) -> DataFrame:
 @on_graph(f", {_CLOSED} select source, target, relation from closed where relation = 'OWNS' and valid_until is not null")
 def reopen_edge(g: Graph) -> DataFrame:
     """Every owned pair offered again: those whose edge was closed are accepted."""
-    return store.accept_edges(g.edges.where("relation = 'OWNS'").select("source", "target", "relation", "seq"), _closed(g))[0].drop("seq")
+    return store.accept_edges(g.edges.where("relation = 'OWNS'").select("source", "target", "relation", "seq"), _closed(g), ("OWNS",))[0].drop("seq")
 
 
 def _store(spark: SparkSession) -> store.Store:

@@ -6,6 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from kairograph.operators import store
+from kairograph.operators.lookup import Graph
 from kairograph.operators import lookup
 from kairograph.operators.store import Store
 
@@ -131,3 +133,23 @@ def test_as_of_a_moment_of_writing(spark, tmp_path):
         assert state(store, dt.datetime(2024, 1, 1, tzinfo=dt.UTC)) == ([], []) and state(store, now[0]) == state(store)
         for name in ("entities", "edges"):
             store.compact(name)
+
+
+def test_latest_gathers_only_what_is_read(spark):
+    """Facts are in no shuffle where they aren't read; a later version's null counts."""
+    rows = [("e", "a", "b", "R", "old", None, 1), ("e", "a", "b", "R", None, None, 5), ("f", "a", "c", "R", "kept", None, 3)]
+    log = spark.createDataFrame(rows, "id string, source string, target string, relation string, fact string, valid_until timestamp, seq long")
+    found = store.latest(log)
+    assert found.columns == log.columns
+    assert sorted((r.id, r.fact, r.seq) for r in found.collect()) == [("e", None, 1), ("f", "kept", 3)]
+    plan = found.select("id", "valid_until")._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    assert "max_by(fact" not in plan and "struct" not in plan
+
+
+def test_edges_are_checked_against_their_own_relations(spark):
+    edges = spark.createDataFrame([("1", "a", "b", "R", None, 1), ("2", "a", "b", "S", None, 2)], "id string, source string, target string, relation string, valid_until timestamp, seq long")
+    ids = spark.createDataFrame([("a",), ("b",)], "id string")
+    new = spark.createDataFrame([("a", "b", "R", 3), ("b", "a", "R", 4), ("b", "a", "R", 5)], "source string, target string, relation string, seq long")
+    for relations in (None, ("R",)):
+        accepted, rejected = store.accept_edges(new, Graph(ids, edges, ids.limit(0)), relations)
+        assert [r.seq for r in accepted.collect()] == [4] and sorted(r.seq for r in rejected.collect()) == [3, 5]
