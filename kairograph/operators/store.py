@@ -127,7 +127,7 @@ class Store:
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         for copy in COPIES[name]:
             keys = [*(["relation"] if name == "edges" else []), copy]
-            out = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "seq").write
+            out = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "seq").write.option("compression", "zstd")
             (out.partitionBy("relation") if name == "edges" else out).parquet(f"{self.path}/compact/{name}/{folder}/{copy}")
         self._commit(name, number + 1, {"folder": folder, "replaced": sorted(set(files))})
         for gone in [f"{where}/{f}" for f in old] + ([f"{self.path}/compact/{name}/{before['gone']}"] if before and before.get("gone") else []):
@@ -186,9 +186,9 @@ class Store:
                 rows = rows.withColumn(field, F.lit(None).cast(kind))
         out = rows.select(*fields, utc(self.clock()).alias(RECORDED))
         if name == "edges":
-            out.sortWithinPartitions("relation", "source").write.mode("append").partitionBy("relation").parquet(f"{self.path}/{name}")
+            out.sortWithinPartitions("relation", "source").write.option("compression", "zstd").mode("append").partitionBy("relation").parquet(f"{self.path}/{name}")
         else:
-            out.sortWithinPartitions("id").write.mode("append").parquet(f"{self.path}/{name}")
+            out.sortWithinPartitions("id").write.option("compression", "zstd").mode("append").parquet(f"{self.path}/{name}")
 
     def top_seq(self, name: str) -> int:
         return self.log(name).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
@@ -243,7 +243,9 @@ class Store:
 
     def close_edges(self, closes: DataFrame) -> None:
         """closes (id, valid_until): a batch of closes; unknown ids are ignored."""
-        self.append("edges", self.graph().edges.drop("seq", "valid_until").join(closes, "id"))
+        log = self.log("edges")
+        closed = latest(log.join(closes.select("id"), "id", "left_semi").select(*log.columns))  # only these edges' versions are gathered
+        self.append("edges", closed.drop("seq", "valid_until").join(closes, "id"))
 
     def patch(self, name: str, id: str, /, **values) -> None:
         """Set properties of an entity or episode; nothing happens if it is missing. Dicts become JSON."""

@@ -3,6 +3,7 @@
 import datetime as dt
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,14 @@ def test_edges_are_checked_against_their_own_relations(spark):
     for relations in (None, ("R",)):
         accepted, rejected = store.accept_edges(new, Graph(ids, edges, ids.limit(0)), relations)
         assert [r.seq for r in accepted.collect()] == [4] and sorted(r.seq for r in rejected.collect()) == [3, 5]
+
+
+def test_closes_gather_their_edges_only_in_small_files(spark, tmp_path, monkeypatch):
+    """The whole log is not gathered for a batch of closes, and files are written in zstd."""
+    kg = filled(spark, tmp_path / "kg")
+    monkeypatch.setattr(Store, "graph", None)  # the latest versions of all edges
+    id = next(r.id for r in kg.log("edges").collect() if r.source == "infra")
+    kg.close_edges(spark.createDataFrame([(id, dt.datetime(2025, 3, 1)), ("unknown", dt.datetime(2025, 3, 1))], "id string, valid_until timestamp"))
+    monkeypatch.undo()
+    assert [str(r.valid_until) for r in kg.graph().edges.where("source = 'infra'").collect()] == ["2025-03-01 00:00:00"]
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files(tmp_path) if pq.ParquetFile(f).metadata.num_rows} == {"ZSTD"}
