@@ -1,10 +1,8 @@
 """Cross-tokenizer alignment: how two vocabularies cut the same bytes.
 
-Python only tokenises: ids and byte ends of both tokenizers, and the check that both give back the text. All else is
-Spark's higher-order functions on these arrays. array_intersect of the ends counts the groups; each end of either
-tokenizer closes one stretch in which one A token and one B token overlap, and every overlapping pair has exactly one such
-stretch, so links are a transform over the merged ends, and groups one over those where both end. Both find the other
-side's token by its number, without a search: work is linear in a text's tokens.
+Arrow batches are tokenised by both, checked to give back the text, and aligned by numpy over the sorted byte ends: each
+distinct end closes one stretch in which one A token and one B token overlap, and every overlapping pair has exactly one
+such stretch, so links are the two tokens found at each end by binary search, and groups end where both end.
 
 Links are written once, as one number a link. Pairs are counted over the corpus; those with more than a 2^20th of all
 links, hence fewer than 2^20 pairs, are broadcast, and only links of rarer pairs are shuffled to their counts, so no
@@ -18,12 +16,12 @@ other columns of documents are left behind. A text is held whole, with arrays of
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kairograph.llm.bestfit import JsonBpe, json_bpe
@@ -76,83 +74,62 @@ def both(text: str | None, a: JsonBpe, b: Pieces) -> tuple[np.ndarray, np.ndarra
     return a.encode(spaced), np.array(theirs, np.int32)  # a's tokens hold all bytes, so that its join is always the text
 
 
-def tokens(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """__row, doc_id, and of both tokenizers ids and byte ends (arrays of ints)."""
+def cuts(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """links (A id * width + B id), and the numbers of the A and of the B token that close each group.
 
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        offsets = np.zeros(len(parts) + 1, np.int32)
-        np.cumsum([len(x) for x in parts], out=offsets[1:])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-
-    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = json_bpe(a_path), pieces(b_path)
-        cols: list[list[np.ndarray]] = [[] for _ in range(4)]
-        for text in batch.column(2):
-            for side, ids in enumerate(both(text.as_py(), a, b)):
-                sizes = _sizes((a_path, b_path)[side], side == 1)[ids]
-                for at, made in enumerate((ids, np.cumsum(sizes, dtype=np.int32))):
-                    cols[2 * side + at].append(made)
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(lists, cols)], ["__row", "doc_id", *names])
-
-    names = ["a", "a_ends", "b", "b_ends"]
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.col("text").cast("string")), fn, f"__row long, doc_id {kind}, " + ", ".join(f"{x} array<int>" for x in names))
-
-
-#: An event is a token's end, in order of ends and A before B: end << 33 | side << 32 | the token's index.
-SIDE, END = 1 << 32, 33
-
-
-def _bound(values: dict[str, Column], then: Callable[[Column], Column]) -> Column:
-    """then(a struct of values), each value made once: what a lambda names from outside is made anew for every element."""
-    return F.get(F.transform(F.array(F.struct(*[c.alias(k) for k, c in values.items()])), then), 0)
-
-
-def events(a_ends: Column, b_ends: Column) -> Column:
-    """The ends of both in one sorted array: two ascending runs, which the sort merges."""
-    of = lambda side: lambda end, i: F.shiftleft(end.cast("long"), END) + (i.cast("long") + side * SIDE)
-    return F.sort_array(F.concat(F.transform(a_ends, of(0)), F.transform(b_ends, of(1))))
-
-
-def aligned(made: DataFrame, width: int) -> DataFrame:
-    """Of tokens(): __row, doc_id, n_a, n_b, n_groups, groups_sha256 and links (array<long>: A id * width + B id).
-
-    An event of token i at place k of the sorted events has k - i of the other side's before it, so the other token that
-    holds its last byte is that side's number k - i. Every distinct end closes one link; of two events at one end, A's
-    counts. Where both end, a group ends, at A's token i and B's token k - i.
+    Every distinct end of either side closes one link: that of the tokens of both sides that hold its last byte, which
+    are each side's first to end there or later. Where both end, a group ends.
     """
+    at_a, at_b = np.searchsorted(b_ends, a_ends), np.searchsorted(a_ends, b_ends)  # the last ends are equal, so all are found
+    closes_a = np.flatnonzero(b_ends[at_a] == a_ends)
+    closes_b = at_a[closes_a]
+    alone = np.ones(len(b), bool)
+    alone[closes_b] = False
+    wide = a.astype(np.int64) * width
+    return np.concatenate([wide + b[at_a], wide[at_b[alone]] + b[alone]]), closes_a, closes_b
 
-    def of(t: Column) -> Column:
-        index = lambda x: x.bitwiseAND(SIDE - 1).cast("int")
-        end = lambda x: F.shiftright(x, END)
-        a_side = lambda x: x.bitwiseAND(SIDE) == 0
-        link = lambda i, j: F.get(t.a, i).cast("long") * width + F.get(t.b, j)
 
-        def links(x: Column, k: Column) -> Column:
-            own = index(x)
-            return F.when(a_side(x), link(own, k - own)).when(end(F.get(t.e, k - 1)) == end(x), None).otherwise(link(k - own, own))
+@functools.lru_cache(maxsize=1)
+def _names(most: int) -> list[str]:
+    return list(map(str, range(most)))
 
-        closes = F.filter(F.transform(t.e, lambda x, k: F.when(a_side(x) & (end(F.get(t.e, k + 1)) == end(x)), F.struct(index(x).alias("i"), (k - index(x)).alias("j")))), lambda x: x.isNotNull())
-        return F.struct(F.filter(F.transform(t.e, links), lambda x: x.isNotNull()).alias("links"), grouped(t.a, t.b, closes).alias("groups"))
 
-    found = _bound({"a": F.col("a"), "b": F.col("b"), "e": events(F.col("a_ends"), F.col("b_ends"))}, of)
-    count = lambda c: F.size(c).cast("long")
-    return made.select("__row", "doc_id", count("a").alias("n_a"), count("b").alias("n_b"), count(F.array_intersect("a_ends", "b_ends")).alias("n_groups"), found.alias("found")).select(
-        "__row", "doc_id", "n_a", "n_b", "n_groups", F.when(F.col("n_a") > 0, F.sha2("found.groups", 256)).otherwise("").alias("groups_sha256"), "found.links"
-    )
+def grouped(a: np.ndarray, b: np.ndarray, closes_a: np.ndarray, closes_b: np.ndarray) -> str:
+    """a1,a2|b1;a3|b2,b3 of the ids, cut after the tokens of closes."""
+    sides, known = [], _names(1 << max(16, int(max(a.max(initial=0), b.max(initial=0))).bit_length()))
+    for ids, closes in ((a, closes_a), (b, closes_b)):
+        names = [known[i] for i in ids.tolist()]
+        ends = (closes + 1).tolist()
+        sides.append([names[i] if j - i == 1 else ",".join(names[i:j]) for i, j in zip([0, *ends], ends, strict=False)])
+    return ";".join(map("|".join, zip(*sides, strict=True)))
 
 
-def grouped(a: Column, b: Column, closes: Column) -> Column:
-    """a1,a2|b1;a3|b2,b3 of the ids, cut after the tokens (i of a, j of b) of closes."""
+def aligned(docs: DataFrame, a_path: str, b_path: str, width: int) -> DataFrame:
+    """__row, doc_id, n_a, n_b, n_groups, groups_sha256 and links (array<long>: A id * width + B id)."""
 
-    def joined(ids: Column, last: Column, before: Column) -> Column:
-        return F.when(last - before == 1, F.get(ids, last).cast("string")).otherwise(F.array_join(F.slice(ids, before + 2, last - before).cast("array<string>"), ","))
-
-    def of(t: Column) -> Column:
-        before = lambda side, g: F.when(g > 0, F.get(t.c, g - 1)[side]).otherwise(-1)
-        return F.array_join(F.transform(t.c, lambda x, g: F.concat(joined(a, x.i, before("i", g)), F.lit("|"), joined(b, x.j, before("j", g)))), ";")
+    def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = json_bpe(a_path), pieces(b_path)
+        a_sizes, b_sizes = _sizes(a_path, False), _sizes(b_path, True)
+        counts, shas, links = [], [], []
+        for text in batch.column(2):
+            ours, theirs = both(text.as_py(), a, b)
+            made, closes_a, closes_b = cuts(ours, theirs, np.cumsum(a_sizes[ours]), np.cumsum(b_sizes[theirs]), width)
+            counts.append((len(ours), len(theirs), len(closes_a)))
+            shas.append(hashlib.sha256(grouped(ours, theirs, closes_a, closes_b).encode()).hexdigest() if len(ours) else "")
+            links.append(made)
+        offsets = np.zeros(len(links) + 1, np.int32)
+        np.cumsum([len(x) for x in links], out=offsets[1:])
+        numbers = np.ascontiguousarray(np.array(counts, np.int64).T)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *map(pa.array, numbers), pa.array(shas, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(links)))],
+            ["__row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links"],
+        )
 
-    return _bound({"c": closes}, of)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(
+        docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", F.col("text").cast("string")), fn,
+        f"__row long, doc_id {kind}, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>",
+    )
 
 
 def counted(links: DataFrame, width: int) -> DataFrame:
@@ -165,7 +142,7 @@ def counted(links: DataFrame, width: int) -> DataFrame:
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     width = pieces(b_path).model.get_piece_size()
-    kept = durable(aligned(tokens(docs, a_path, b_path), width), "links", compression="zstd", **{"parquet.enable.dictionary": "false"})
+    kept = durable(aligned(docs, a_path, b_path, width), "links", compression="zstd", **{"parquet.enable.dictionary": "false"})
     links = kept.select("__row", F.explode("links").alias("pair"))
     counts = counted(links, width)
     total = kept.agg(F.coalesce(F.sum(F.size("links")), F.lit(0)).alias("n")).first()["n"]

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -96,3 +97,12 @@ def test_long_texts_take_linear_time(spark):
 def test_query(spark, libraries):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     assert rows(alignment.op13(spark, "/root/testdata/sf0.001")) == expected(libraries, [(r.doc_id, r.text) for r in docs])
+
+
+def test_texts_are_aligned_in_their_batch(spark):
+    """No interpreted functions over arrays of tokens in the plan; links of three ends, two of them shared."""
+    links, closes_a, closes_b = alignment.cuts(*(np.array(x) for x in ([5, 6], [7, 8, 9], [2, 6], [2, 3, 6])), 10)
+    assert sorted(links.tolist()) == [57, 68, 69] and alignment.grouped(np.array([5, 6]), np.array([7, 8, 9]), closes_a, closes_b) == "5|7;6|8,9"
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    plan = alignment.aligned(docs, A, B, 32_000)._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    assert "lambda" not in plan and "MapInArrow" in plan
