@@ -86,7 +86,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, mod: int = 5) -> LanguageMode
             n.append(got[at])
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(cells).astype(np.int32)), pa.array(np.concatenate(n))], ["lang", "cell", "n"])
 
-    counted = map_arrow(sample.select("__lang", "__text"), fn, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    counted = map_arrow(sample.select("__lang", "__text"), fn, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     names = sorted(counted["lang"].unique())
     scores = np.zeros((1 << BITS, max(len(names), 1)))
     scripts = np.zeros((len(chars.SCRIPTS) + 2, max(len(names), 1)), bool)

@@ -119,7 +119,7 @@ def _segments(seed: int) -> list:
 
 
 def window_pairs(nodes: DataFrame) -> DataFrame:
-    """(u, v): each node with the next NEXT nodes of each bucket of its exact segments, if within four bits.
+    """(u, v): each node with the next NEXT nodes of each bucket of its exact segments, if within four bits; repeats are possible.
 
     A bucket of over BUCKET nodes is dealt by a hash into parts of about that size, so that no task orders it whole.
     """
@@ -129,8 +129,7 @@ def window_pairs(nodes: DataFrame) -> DataFrame:
     order = Window.partitionBy("key", "part").orderBy("node")
     ahead = dealt.select("node", "fp", F.array(*[F.struct(F.lead("node", i).over(order).alias("node"), F.lead("fp", i).over(order).alias("fp")) for i in range(1, NEXT + 1)]).alias("ahead"))
     close = F.filter("ahead", lambda m: F.coalesce(F.bit_count(F.col("fp").bitwiseXOR(m["fp"])) <= MOST_BITS, F.lit(False)))
-    pairs = ahead.select(F.col("node").alias("u"), F.explode(F.transform(close, lambda m: m["node"])).alias("v"))
-    return pairs.distinct()
+    return ahead.select(F.col("node").alias("u"), F.explode(F.transform(close, lambda m: m["node"])).alias("v"))
 
 
 def _hot(counted: DataFrame, keys: list[str], total: int, most: int = BUCKET) -> DataFrame:
@@ -140,7 +139,10 @@ def _hot(counted: DataFrame, keys: list[str], total: int, most: int = BUCKET) ->
 
 
 def shared_pairs(nodes: DataFrame) -> DataFrame:
-    """(u, v): each node with the least node of each of its bands and fingerprints; so a key's nodes meet without their square."""
+    """(u, v): each node with the least node of each of its bands and fingerprints; so a key's nodes meet without their square.
+
+    Repeats are possible.
+    """
     prints = F.array(*[F.struct(F.lit(s).alias("of"), F.col(f"f{s}").alias("key")) for s in range(SEEDS)])
     bands = F.transform("bands", lambda key: F.struct(F.lit(SEEDS).alias("of"), key.alias("key")))
     keyed = nodes.select("node", F.explode(F.concat(prints, bands)).alias("k")).select("node", "k.of", "k.key")
@@ -148,7 +150,7 @@ def shared_pairs(nodes: DataFrame) -> DataFrame:
     shared = durable(shared, "shared")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     met = salted_join(keyed, shared.select("of", "key", "u"), ["of", "key"], _hot(shared, ["of", "key"], total), ["node"])
-    return met.where("node > u").select("u", F.col("node").alias("v")).distinct()
+    return met.where("node > u").select("u", F.col("node").alias("v"))
 
 
 def _fuzzy(prints: DataFrame, second: bool) -> DataFrame:
@@ -205,7 +207,7 @@ def cross_pairs(nodes: DataFrame) -> DataFrame:
     segments = F.array(*[(F.col("seed") * 3 + i) * (1 << 22) + F.shiftrightunsigned("fp", low).bitwiseAND((1 << bits) - 1) for i, (low, bits) in enumerate(SEGMENTS)])
     exact = prints.select(F.explode(segments).alias("key"), "fp", "comp")
     same = _close(exact, exact, 2 * len(SEGMENTS) * number)
-    return same.union(_close(_fuzzy(prints, False), _fuzzy(prints, True), 2 * len(SEGMENTS) * MOST_KEYS * number)).distinct()
+    return same.union(_close(_fuzzy(prints, False), _fuzzy(prints, True), 2 * len(SEGMENTS) * MOST_KEYS * number))
 
 
 def shingle_sets(nodes: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
@@ -315,9 +317,9 @@ def verified(candidates: DataFrame, nodes: DataFrame, prints: DataFrame, docs: D
     placed = durable(nodes.join(candidates, "node").join(shingle_sets(candidates, prints, docs), "node").withColumnRenamed("component", "comp"), "sets")
     spread = placed.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("s")).alias("bytes"))
     spread = durable(spread.withColumn("blocks", _blocks()), "spread")
-    small = spread.where("blocks = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    bins = int(max(1, small[0] // BLOCK, small[1] // BLOCK_BYTES))
-    total = spread.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    small = F.col("blocks") == 1
+    total, number, size, blocks = (x or 0 for x in spread.agg(F.sum("n"), F.sum(F.when(small, F.col("n"))), F.sum(F.when(small, F.col("bytes"))), F.max("blocks")).first())
+    bins = int(max(1, number // BLOCK, size // BLOCK_BYTES))
     dealt = salted_join(placed, spread.select("comp", "blocks"), ["comp"], _hot(spread, ["comp"], total), ["node"])
 
     def join(block: pa.Table) -> pa.Table:
@@ -327,7 +329,7 @@ def verified(candidates: DataFrame, nodes: DataFrame, prints: DataFrame, docs: D
         return blocks.drop("blocks").groupBy("big", "x", "y").applyInArrow(join, "u long, v long")
 
     first = found(first_blocks(dealt.withColumn("class", F.col("node")), bins))
-    if spread.where("blocks > 1").isEmpty():
+    if blocks <= 1:
         return first
     first = durable(first, "first")
     classes = durable(components(first), "joined")
@@ -341,10 +343,9 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prints = durable(_prints(docs), "prints")
     fps = [f"f{k}" for k in range(SEEDS)]
     nodes = durable(prints.where("doc_id is not null").groupBy("node").agg(*[F.first(f).alias(f) for f in (*fps, "bands")]), "nodes")
-    first = durable(window_pairs(nodes).union(shared_pairs(nodes)), "near")
-    joined = durable(components(first), "joined")
+    joined = durable(components(window_pairs(nodes).union(shared_pairs(nodes))), "joined")
     placed = durable(nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), *fps), "placed")
-    stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))  # all that `first` joins, an edge a node
+    stars = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))  # all that those pairs join, an edge a node
     candidates = durable(components(stars.union(cross_pairs(placed))), "candidates")
     return prints, components(verified(candidates, nodes, prints, docs))
 

@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,14 +137,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, mod: int =
         return pa.RecordBatch.from_arrays([batch.column(0), *parts, batch.column(2)], ["doc_id", "ids", "x", "y"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = map_arrow(joined, fn, f"doc_id {kind}, ids binary, x binary, y int").toPandas()
-    got = got.sort_values(["doc_id", "ids"]).reset_index(drop=True)
+    got = map_arrow(joined, fn, f"doc_id {kind}, ids binary, x binary, y int").toArrow().combine_chunks()
+    sorted_at = pc.sort_indices(got, [("doc_id", "ascending"), ("ids", "ascending")]).to_numpy()
+    ids, x, y = got.column("ids"), got.column("x"), got.column("y").to_numpy()
     model = Ftrl()
     order = np.random.default_rng(7)
-    for _ in range(EPOCHS if len(got) else 0):
-        for i in order.permutation(len(got)).tolist():
-            model.learn(np.frombuffer(got["ids"][i], np.int32), np.frombuffer(got["x"][i], np.float32), int(got["y"][i]))
-    return model.weights()
+    for _ in range(EPOCHS if len(sorted_at) else 0):
+        for i in sorted_at[order.permutation(len(sorted_at))].tolist():
+            model.learn(np.frombuffer(ids[i].as_buffer(), np.int32), np.frombuffer(x[i].as_buffer(), np.float32), int(y[i]))
+    weights = model.weights()
+    del got, ids, x, y
+    give_back()
+    return weights
 
 
 def score_texts(texts: list[str | None], weights: np.ndarray) -> np.ndarray:
