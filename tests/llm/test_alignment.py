@@ -1,3 +1,4 @@
+import dataclasses
 import hashlib
 import random
 from collections import Counter
@@ -106,3 +107,34 @@ def test_texts_are_aligned_in_their_batch(spark):
     docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
     plan = alignment.aligned(docs, A, B, 32_000)._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
     assert "lambda" not in plan and "MapInArrow" in plan
+
+
+def by_batch(texts, b):
+    a_sizes, b_sizes = alignment._sizes(A, False), alignment._sizes(B, True)  # noqa: SLF001
+    return [([int(x) for x in n], names, sorted(links.tolist())) for n, names, links in alignment.each(texts, alignment.json_bpe(A), b, a_sizes, b_sizes, 32_000)]
+
+
+def test_distinct_words_of_a_batch_are_encoded_once():
+    """The same words in 50 orders: the batch's texts as before, though the model sees each word once."""
+    seen = []
+
+    class Counting:
+        def encode(self, text, **how):
+            seen.append(len(text))
+            return alignment.pieces(B).model.encode(text, **how)
+
+    rng, words = random.Random(3), [f"word{i}ing," for i in range(400)]
+    texts = [" ".join(rng.sample(words, len(words))) for _ in range(50)]
+    found = by_batch(texts, dataclasses.replace(alignment.pieces(B), model=Counting()))
+    assert sum(seen) < 1.1 * len(" ".join(words))
+    assert found == by_batch(texts, dataclasses.replace(alignment.pieces(B), apart=False))
+
+
+def test_cuts_between_words_change_nothing(monkeypatch):
+    """Texts of spaces of every kind, marks of the model and contractions, together and each whole."""
+    monkeypatch.setattr(alignment, "CHUNK", 64)
+    b, rng = alignment.pieces(B), random.Random(9)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "▁", "word", "the", "ing", "'s", "'", "é", "漢字", "7", "42", "!", ".", "<s>", "<0x20>", "\x00", "😀", "e\u0301"]
+    texts = [None, "", " ", "▁", *("".join(rng.choices(parts, k=rng.randint(1, 24))) for _ in range(4000))]
+    assert b.apart and sum(len(b.words(x)) > 1 for x in texts) > 1000
+    assert by_batch(texts, b) == by_batch(texts, dataclasses.replace(b, apart=False)) == [by_batch([x], dataclasses.replace(b, apart=False))[0] for x in texts]
